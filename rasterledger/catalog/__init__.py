@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["pixels"]
+_MODULES = ["pixels", "rollup"]
 
 
 def load() -> None:
