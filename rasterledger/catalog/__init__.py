@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["pixels", "rollup"]
+_MODULES = ["pixels", "rollup", "regions"]
 
 
 def load() -> None:

@@ -61,3 +61,9 @@ def blank(value: Column) -> Column:
 
 def safe_divide(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
+
+
+def round_to(value: Column, digits: int) -> Column:
+    """Round a double on its binary value (``F.round`` rounds its shortest text)."""
+    scale = 10.0 ** digits
+    return F.floor(value * scale + 0.5) / F.lit(scale)

@@ -15,32 +15,28 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def running_number(df: DataFrame, keys: list[str], major: list[Column], minor: str, out: str = "rn", block: int = BLOCK) -> DataFrame:
+def running_number(df: DataFrame, keys: list[str], major: list[tuple[Column, bool]], minor: str, out: str = "rn",
+                   block: Column | None = None) -> DataFrame:
     """1-based number per ``keys`` in the order ``major`` then ``minor``.
 
-    ``minor`` is a whole-number column, unique within (keys, major values).
-    ``major`` are sort expressions on plain columns, such as ``F.desc("score")``.
+    ``major`` holds (value, descending) pairs; descending ones must be numbers.
+    ``minor`` settles the rest of the order. Rows with equal keys and major values
+    are cut into blocks: by default ranges of a whole-number ``minor``, else by
+    ``block``, which must not decrease as ``minor`` grows.
     """
     names = [f"_m{i}" for i in range(len(major))]
-    # a sort expression holds its child column; keep the child as a value and
-    # turn a descending order into an ascending one on the negated value
     tagged = df
     for name, (value, descending) in zip(names, major):
         tagged = tagged.withColumn(name, -value if descending else value)
-    tagged = tagged.withColumn("_blk", F.floor(F.col(minor) / block))
+    tagged = tagged.withColumn("_blk", F.floor(F.col(minor) / BLOCK) if block is None else block)
     group = [*keys, *names, "_blk"]
     counts = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    w = W.partitionBy(*keys) if keys else W.partitionBy()
     before = F.sum("_n").over(w.orderBy(*names, "_blk").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select(*group, F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy(*group).orderBy(minor))
-    cond = None
-    left, right = tagged.alias("l"), offsets.alias("r")
-    for g in group:
-        c = F.col("l." + g).eqNullSafe(F.col("r." + g))
-        cond = c if cond is None else cond & c
-    joined = left.join(right, cond).select("l.*", "r._before")
-    return joined.withColumn(out, (F.col("_before") + inside).cast("bigint")).drop(*names, "_blk", "_before")
+    local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*group).orderBy(minor)))
+    return (local.join(offsets, group).withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint"))
+            .drop(*names, "_blk", "_before", "_local"))
 
 
 def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
