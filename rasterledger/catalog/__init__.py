@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["pixels", "rollup", "regions", "evidence"]
+_MODULES = ["pixels", "rollup", "regions", "evidence", "texts"]
 
 
 def load() -> None:
