@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["pixels", "rollup", "regions", "evidence", "texts"]
+_MODULES = ["pixels", "rollup", "regions", "evidence", "texts", "gates", "scans", "stateful"]
 
 
 def load() -> None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..operators import regions as rg
 from ..operators.pixels import luma
+from ..plans import text_layer
 from .pixels import rounded
 from .registry import query, sql_case
 
@@ -291,3 +292,15 @@ def _(t):
     return rounded(rg.feather_alpha(crop).select("slide", "id", "i", "j", "edges", "alpha"), "alpha")
 
 
+
+
+@query("detect_regions")
+def _(t):
+    man = manual(t).select("slide", "id", "x", "y", "w", "h", "confidence")
+    return text_layer.detect_regions(man, t.fx_candidates.withColumn("text", F.when(c("detector") == "ocr", c("cand_key"))))
+
+
+@query("plan_repair", f"""WITH {JOINED_CTE} SELECT slide, region_key, background_type, repair_method, repair_status, residual FROM rt""", "fx_regions fx_backgrounds")
+def _(t):
+    bg = t.fx_backgrounds.where("notes <> ''").select("slide", "region_key", "background_type")
+    return text_layer.plan_repair(t.fx_regions, bg, "region_key").select("slide", "region_key", "background_type", "repair_method", "repair_status", "residual")

@@ -329,3 +329,24 @@ def package_summary(parts: DataFrame, violations: DataFrame) -> DataFrame:
     counts = parts.groupBy("pkg").agg(F.count(F.lit(1)).alias("entries"), F.count_if(c("part").rlike(r"\.(xml|rels)$")).alias("parsed_parts"))
     bad = violations.groupBy("pkg").agg(F.count_if(c("level") == "error").alias("errors"), F.count_if(c("level") == "warning").alias("warnings"))
     return (counts.join(bad, "pkg", "left").fillna(0, ["errors", "warnings"]).withColumn("passed", c("errors") == 0))
+
+
+def normalize_geometry(objects: DataFrame, width: int = vocab.CANVAS_W) -> DataFrame:
+    """Lines with positive extent and an orientation, plus inch and point sizes."""
+    def num(name):
+        v = c(name)
+        return F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(v)
+    x, y, w, h = (num(n) for n in "xywh")
+    flat, upright = F.abs(h) < 1e-4, F.abs(w) < 1e-4
+    nx, ny = F.when(w < 0, x + w).otherwise(x), F.when(h < 0, y + h).otherwise(y)
+    wide, high = F.greatest(F.abs(w), F.lit(0.25)), F.greatest(F.abs(h), F.lit(0.25))
+    zero = F.lit(0.0)
+    inch, point = 13.333 / width, 72 * 13.333 / width
+    kept = [n for n in objects.columns if n not in ("x", "y", "w", "h")]
+    return objects.select(
+        *kept, nx.alias("x"), ny.alias("y"),
+        F.when(flat, wide).when(upright, zero).otherwise(wide).alias("w"), F.when(flat, zero).otherwise(high).alias("h"),
+        F.when(flat, "horizontal").when(upright, "vertical").otherwise("diagonal").alias("orientation"),
+        round_to(nx * inch, 3).alias("x_inch"), round_to(ny * inch, 3).alias("y_inch"),
+        F.when(F.abs(w) == 0, 0.25).otherwise(F.abs(w)).alias("safe_w"), F.when(F.abs(h) == 0, 0.25).otherwise(F.abs(h)).alias("safe_h"),
+        round_to(F.greatest(F.abs(w) * point, F.lit(0.1)), 3).alias("w_point"))

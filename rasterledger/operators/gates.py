@@ -122,7 +122,7 @@ def gate_crop_budget(coverage: DataFrame, crops: DataFrame, excused_slides: Data
         (c("largest_ratio") > 0.35, "largest_over_budget", "error"),
         ((c("total_ratio") > 0.45) & ~_true("image_led"), "total_over_budget", "error"),
         (c("text_ratio") > 0.10, "text_over_budget", "error"),
-        (c("dense_ratio") > 0.25, "dense_over_budget", "error")], F.lit("slide"))
+        (c("dense_ratio") > 0.25, "dense_over_budget", "error")], "slide")
     kind = F.lower(F.coalesce("content_type", F.lit("")))
     each = apply_rules(crops, "crop_budget", [
         (crop_metadata_incomplete(), "incomplete_metadata", "error"),
