@@ -339,10 +339,10 @@ def _(t):
 
 @query("normalize_geometry", """
 WITH q AS (SELECT slide, ord, x, CASE WHEN isnan(y) THEN 0.0::DOUBLE ELSE y END AS y, CASE WHEN ord % 7 = 0 THEN 0.0::DOUBLE ELSE w END AS w, CASE WHEN ord % 5 = 0 THEN 0.0::DOUBLE ELSE h END AS h FROM fx_objects),
-n AS (SELECT slide, ord, x + least(w, 0) AS x, y + least(h, 0) AS y, abs(w) AS w, abs(h) AS h FROM q)
-SELECT slide, ord, x, y, CASE WHEN h < 1e-4 THEN greatest(w, 0.25::DOUBLE) WHEN w < 1e-4 THEN 0.0 ELSE greatest(w, 0.25::DOUBLE) END AS w, CASE WHEN h < 1e-4 THEN 0.0::DOUBLE ELSE greatest(h, 0.25::DOUBLE) END AS h,
+n AS (SELECT slide, ord, CASE WHEN w < 0 THEN x + w ELSE x END AS x, CASE WHEN h < 0 THEN y + h ELSE y END AS y, abs(w) AS w, abs(h) AS h FROM q)
+SELECT slide, ord, round(x, 6) AS x, y, CASE WHEN h < 1e-4 THEN greatest(w, 0.25::DOUBLE) WHEN w < 1e-4 THEN 0.0 ELSE greatest(w, 0.25::DOUBLE) END AS w, CASE WHEN h < 1e-4 THEN 0.0::DOUBLE ELSE greatest(h, 0.25::DOUBLE) END AS h,
   CASE WHEN h < 1e-4 THEN 'horizontal' WHEN w < 1e-4 THEN 'vertical' ELSE 'diagonal' END AS orientation, floor(x*(13.333::DOUBLE/1672)*1000+0.5)/1000 AS x_inch, floor(y*(13.333::DOUBLE/1672)*1000+0.5)/1000 AS y_inch,
   CASE WHEN w = 0 THEN 0.25::DOUBLE ELSE w END AS safe_w, CASE WHEN h = 0 THEN 0.25::DOUBLE ELSE h END AS safe_h, floor(greatest(w*(72*13.333::DOUBLE/1672), 0.1::DOUBLE)*1000+0.5)/1000 AS w_point FROM n""", "fx_objects")
 def _(t):
     o = t.fx_objects.select("slide", "ord", "x", "y", F.when(c("ord") % 7 == 0, 0.0).otherwise(c("w")).alias("w"), F.when(c("ord") % 5 == 0, 0.0).otherwise(c("h")).alias("h"))
-    return ev.normalize_geometry(o)
+    return rounded(ev.normalize_geometry(o), "x")

@@ -22,7 +22,7 @@ def exact_quantile(values: DataFrame, keys: list[str], value: str, q: float, buc
     """
     cnt = F.sum(weight) if weight else F.count(F.lit(1))
     counted = (values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(cnt.alias("_n"))
-               .withColumn("_bucket", bucket))
+               .withColumn("_bucket", F.coalesce(bucket, F.lit(-1))))  # never null: both uses below then share one exchange
     per_bucket = counted.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
     upto = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(*keys)

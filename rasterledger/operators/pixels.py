@@ -110,10 +110,32 @@ def palette_drift(pairs: DataFrame) -> DataFrame:
         (F.sum(F.abs(F.col("s") - F.col("t"))) / (F.sum("s") * 2)).alias("color_palette_drift"))
 
 
+def surface_drift(surfaces: DataFrame) -> DataFrame:
+    """``palette_drift`` of all comparisons from per-surface histograms.
+
+    Pixels are counted where they are read (at most 512 bins per surface leave a
+    task), so no pixel is shuffled.
+    """
+    def part(c):
+        return F.least(F.floor(F.col(c) * 8 / 255), F.lit(7))
+    names = sorted({s for a, b, _ in vocab.COMPARISONS.values() for s in (a, b)})
+    bins = (surfaces.groupBy("slide", "surface", (part("r") * 64 + part("g") * 8 + part("b")).cast("int").alias("bin"))
+            .agg(F.count(F.lit(1)).alias("n")))
+    wide = bins.groupBy("slide", "bin").agg(*[F.sum(F.when(F.col("surface") == n, F.col("n")).otherwise(0)).alias(n) for n in names])
+    total = W.partitionBy("slide")
+    wide = wide.select("slide", *names, *[F.sum(n).over(total).alias("all_" + n) for n in names])
+    gaps = [F.struct(F.lit(label).alias("comparison"),
+                     (F.sum(F.abs(F.col(a) * F.col("all_" + b) - F.col(b) * F.col("all_" + a)))
+                      / (F.max(F.col("all_" + a) * F.col("all_" + b)) * 2)).alias("color_palette_drift"))
+            for label, (a, b, _) in vocab.COMPARISONS.items()]
+    return wide.groupBy("slide").agg(F.array(*gaps).alias("g")).select("slide", F.explode("g").alias("g")).select("slide", "g.*")
+
+
 def gradient(surfaces: DataFrame, mode: str = "central", band: int = BAND) -> DataFrame:
     """``central``: next - previous, zero on the border. ``half``: halved inside,
     one-sided on the border. Returned doubled (``gx2``, ``gy2``) so it stays whole."""
-    rows = with_bands(surfaces.withColumn("l", luma()), 1, band)
+    rows = with_bands(surfaces.select("slide", "surface", "x", "y", luma().alias("l")), 1, band)
+    rows = rows.select("slide", "surface", "band", "owned", "x", "y", "l")
     along_x, along_y = _axes("surface")
 
     def slope(w):
@@ -202,18 +224,26 @@ def ssim(pairs: DataFrame, band: int = BAND) -> DataFrame:
 def compare_surfaces(surfaces: DataFrame, threshold: float = 0.08, band: int = BAND) -> DataFrame:
     """All comparison metrics of every slide.
 
-    The pixel rows cross the network once, on ``(slide, band)``: the pivot to one
-    row per position, both window directions and the threshold join all reuse that
-    placement. What follows is aggregated per slide before it moves.
+    Two passes move pixels, each once, on ``(slide, band)``: a slim one (gray values
+    only) finds the edge thresholds, the full one does the rest. In the full pass
+    the pivot to one row per position, both window directions and the join with the
+    thresholds all reuse that placement; what follows is folded per slide before it
+    moves. Colour histograms are counted where the pixels are read.
     """
     names = sorted({s for a, b, _ in vocab.COMPARISONS.values() for s in (a, b)})
     channels = [f"{n}_{c}" for n in names for c in "rgb"]
+    mags = gradient(surfaces, "central", band).withColumn("mag", _magnitude())
+    limits = edge_thresholds(mags).groupBy("slide").agg(
+        *[F.max(F.when(F.col("surface") == n, F.col("edge_threshold"))).alias("limit_" + n) for n in names])
+    bands = surfaces.groupBy("slide").agg(F.floor(F.max("y") / band).alias("last"))
+    limits = (limits.join(bands, "slide").select(
+        "slide", *["limit_" + n for n in names], F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("band")))
+
     placed = with_bands(surfaces, 3, band)
     wide = placed.groupBy("slide", "band", "y", "x").agg(
         F.max("owned").alias("owned"),
         *[F.max(F.when(F.col("surface") == n, F.col(c))).alias(f"{n}_{c}") for n in names for c in "rgb"])
-    for n in names:
-        wide = wide.withColumn("l_" + n, luma(f"{n}_r", f"{n}_g", f"{n}_b"))
+    wide = wide.select("*", *[luma(f"{n}_r", f"{n}_g", f"{n}_b").alias("l_" + n) for n in names])
 
     along_x, along_y = _axes()
     seven_x, seven_y = along_x.rowsBetween(-3, 3), along_y.rowsBetween(-3, 3)
@@ -230,31 +260,20 @@ def compare_surfaces(surfaces: DataFrame, threshold: float = 0.08, band: int = B
                          *[F.sum(v).over(seven_x).alias("x_" + k) for k, v in terms.items()])
     full = across.select(*keys, *["gx_" + n for n in names], *[step(n, along_y).alias("gy_" + n) for n in names],
                          *[F.sum("x_" + k).over(seven_y).alias("b_" + k) for k in terms]).where("owned")
-
-    def mag(n):
-        gx, gy = F.col("gx_" + n), F.col("gy_" + n)
-        return F.when(F.col("l_" + n).isNotNull(), F.sqrt((gx * gx + gy * gy).cast("double")) / 2)
-
-    full = full.select("*", *[mag(n).alias("mag_" + n) for n in names])
-    stacked = full.select("slide", "band", F.explode(F.array(
-        *[F.struct(F.lit(n).alias("surface"), F.col("mag_" + n).alias("mag")) for n in names])).alias("m")
-    ).select("slide", "band", "m.*")
-    limits = (edge_thresholds(stacked).groupBy("slide").agg(
-        *[F.max(F.when(F.col("surface") == n, F.col("edge_threshold"))).alias("limit_" + n) for n in names]))
-    bands = full.groupBy("slide").agg(F.max("band").alias("last"))
-    limits = (limits.join(bands, "slide")
-              .select("slide", *["limit_" + n for n in names], F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("band")))
     flagged = full.join(limits.hint("shuffle_hash"), ["slide", "band"])
 
     def edge(n):
-        return (F.col("mag_" + n) > F.col("limit_" + n)).cast("int")
+        gx, gy = F.col("gx_" + n), F.col("gy_" + n)
+        return (F.sqrt((gx * gx + gy * gy).cast("double")) / 2 > F.col("limit_" + n)).cast("int")
+
+    flagged = flagged.select("*", *[edge(n).alias("e_" + n) for n in names])
 
     def side(label, a, b):
         index = _ssim_index(*[F.col("b_" + k) for k in (a, b, a + "_sq", b + "_sq", label)])
         return F.struct(
             F.lit(label).alias("comparison"),
             *[F.col(f"{a}_{c}").alias("s" + c) for c in "rgb"], *[F.col(f"{b}_{c}").alias("r" + c) for c in "rgb"],
-            edge(a).alias("s"), edge(b).alias("t"), F.when(F.col("b_n") == 49, _fixed(index)).alias("index"))
+            F.col("e_" + a).alias("s"), F.col("e_" + b).alias("t"), F.when(F.col("b_n") == 49, _fixed(index)).alias("index"))
 
     pairs = (flagged.select("slide", "x", "y", F.explode(F.array(
         *[side(label, a, b) for label, (a, b, _) in vocab.COMPARISONS.items()])).alias("c"))
@@ -267,10 +286,7 @@ def compare_surfaces(surfaces: DataFrame, threshold: float = 0.08, band: int = B
         (F.max(F.greatest(a, b, c)) / F.lit(255)).alias("max_channel_error"),
         (F.sum("index") / F.count("index") / F.lit(1e9)).alias("approx_ssim"),
         *_edge_aggs(), *_box(_changed(threshold), "diff_"))
-    drift = palette_drift(stack_comparisons(
-        wide.where("owned").select("slide", "x", "y", *[F.when(F.col(n + "_r").isNotNull(), F.struct(
-            *[F.col(f"{n}_{c}").alias(c) for c in "rgb"])).alias(n) for n in names]), ["slide", "x", "y"]))
-    return main.join(drift, ["slide", "comparison"])
+    return main.join(surface_drift(surfaces), ["slide", "comparison"])
 
 
 def box_rows(boxes: DataFrame, keep: list[str] = ()) -> DataFrame:

@@ -14,31 +14,20 @@ from ..functions.colors import darken, lighten, mix, pick, solid_over
 from ..functions.columns import blank, contains_any
 
 c = F.col
-RANGE = r"^\s*([0-9]{1,9})\s*-\s*([0-9]{1,9})\s*$"
-SINGLE = r"^\s*([0-9]{1,9})\s*$"
-
-
-def range_tokens(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
-
-
-def token_ok(p: Column) -> Column:
-    lo, hi = F.regexp_extract(p, RANGE, 1).try_cast("bigint"), F.regexp_extract(p, RANGE, 2).try_cast("bigint")
-    one = F.regexp_extract(p, SINGLE, 1).try_cast("bigint")
-    return F.coalesce((lo > 0) & (hi >= lo), F.lit(False)) | F.coalesce(one > 0, F.lit(False))
+TOKEN = r"^\s*([0-9]{1,9})\s*(?:-\s*([0-9]{1,9})\s*)?$"
 
 
 def token_ids(p: Column) -> Column:
-    lo, hi = F.regexp_extract(p, RANGE, 1).try_cast("bigint"), F.regexp_extract(p, RANGE, 2).try_cast("bigint")
-    one = F.regexp_extract(p, SINGLE, 1).try_cast("bigint")
-    return F.when(one.isNotNull(), F.array(one)).when((lo > 0) & (hi >= lo), F.sequence(lo, hi))
+    """Ids of ``n`` or ``n-m``; null when the token is malformed, zero or reversed."""
+    low = F.regexp_extract(p, TOKEN, 1).try_cast("bigint")
+    high = F.coalesce(F.regexp_extract(p, TOKEN, 2).try_cast("bigint"), low)
+    return F.when((low > 0) & (high >= low), F.sequence(low, high))
 
 
 def range_ids(text: Column) -> Column:
     """Slide ids of ``"1-3,8"`` in input order, repeats dropped; null when a token is bad."""
-    tokens = range_tokens(text)
-    ids = F.array_distinct(F.flatten(F.transform(tokens, token_ids)))
-    return F.when(F.forall(tokens, token_ok), ids)
+    tokens = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_distinct(F.flatten(F.transform(tokens, token_ids)))  # one null token makes all null
 
 
 def parse_ranges(df: DataFrame, column: str, keep_order: bool = False) -> DataFrame:
@@ -84,11 +73,13 @@ def strip_comments(text: Column) -> Column:
 def scan_rules(files: DataFrame, patterns=vocab.FORBIDDEN_PATTERNS, tokens=vocab.BACKEND_TOKENS) -> DataFrame:
     """One row per (file, rule) hit, comments removed. Rules are constants, so the
     text is read once and nothing is joined."""
-    rows = files.withColumn("_t", strip_comments(c("text")))
-    low = F.lower("_t")
-    hits = [F.when(c("_t").rlike(p), F.lit(name)) for name, p in patterns]
-    hits += [F.when(F.contains(low, F.lit(t.lower())), F.lit("token " + t)) for t in tokens]
-    return rows.select("file", F.explode(F.array_compact(F.array(*hits))).alias("rule"))
+    def hits(text, low):
+        found = [F.when(text.rlike(p), F.lit(name)) for name, p in patterns]
+        return F.array(*found, *[F.when(F.contains(low, F.lit(t.lower())), F.lit("token " + t)) for t in tokens])
+
+    # bound as lambda arguments, the cleaned texts are computed once per file
+    found = F.transform(F.array(strip_comments(c("text"))), lambda t: F.get(F.transform(F.array(F.lower(t)), lambda low: hits(t, low)), 0))
+    return files.select("file", F.explode(F.array_compact(F.get(found, 0))).alias("rule"))
 
 
 def lint_fix_text(issues: DataFrame) -> DataFrame:
@@ -167,8 +158,7 @@ def trace_value(raw: Column) -> Column:
         *[_positive(F.get_json_object(i, "$." + k)) for k in TRACE_IDS])))
     plain = F.transform(items, _positive)
     from_plain = F.when(F.forall(plain, lambda v: v.isNotNull()), plain)
-    ids = F.when(is_list, F.when(objects, from_objects).otherwise(from_plain)).otherwise(range_ids(raw))
-    return F.when(F.size(ids) > 0, ids)
+    return F.when(is_list, F.when(objects, from_objects).otherwise(from_plain)).otherwise(range_ids(raw))
 
 
 def _deep_trace(node):
@@ -215,9 +205,9 @@ def trace_slides(traces: DataFrame, column: str = "trace") -> DataFrame:
     hit go through Python.
     """
     raws = F.array_compact(F.array(*[F.get_json_object(c(column), "$." + p) for p in TRACE_PATHS]))
-    direct = F.get(F.filter(F.transform(raws, lambda r: trace_value(r)), lambda ids: ids.isNotNull()), 0)
+    direct = F.get(F.filter(F.transform(raws, lambda r: trace_value(r)), lambda ids: F.coalesce(F.size(ids), F.lit(0)) > 0), 0)
     rows = traces.select("id", column, direct.alias("ids"))
-    hit = rows.where("ids IS NOT NULL").select("id", F.posexplode("ids").alias("place", "slide"))
+    hit = rows.select("id", F.posexplode("ids").alias("place", "slide"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -31,6 +31,12 @@ def parse_evidence(df: DataFrame, column: str, ddl: str) -> DataFrame:
                        (c("_d").isNotNull() & c("_d." + CORRUPT).isNull()).alias("readable")).drop("_d")
 
 
+# Field names of a crop entry, with their aliases.
+CROP_FIELDS = ["name", "slide", "x", "y", "w", "h", "feather_edges", "edges", "feather", "content_type", "contentType",
+               "reconstruction_reason", "reconstructionReason", "editable_replacement", "editableReplacement",
+               "allow_large_crop", "allowLargeCrop", "reason", "justification"]
+
+
 def _text_map(text: Column) -> Column:
     return F.map_entries(F.from_json(text, "map<string,string>"))
 
@@ -54,36 +60,38 @@ def normalize_crop_plan(plans: DataFrame, column: str = "doc", fallback: str = "
     keep = [n for n in plans.columns if n not in (column, fallback)]
     doc, back = c(column), c(fallback).cast("string")
     crops, slides = F.get_json_object(doc, "$.crops"), F.get_json_object(doc, "$.slides")
+    is_list = F.ltrim(doc).startswith("[")
+    rows = plans.select(*keep, doc.alias("_doc"), back.alias("_back"), F.when(~is_list, crops).alias("_crops"), F.when(~is_list & crops.isNull(), slides).alias("_slides"))
+    doc, back, slides = c("_doc"), c("_back"), c("_slides")
     by_slide = F.flatten(F.transform(_text_map(slides), lambda e: _entries(
         e["value"], F.coalesce(F.nullif(F.regexp_extract(e["key"], r"(?i)^(?:slide)?(\d+)$", 1), F.lit("")), back))))
-    is_list = F.ltrim(doc).startswith("[")
-    found = (F.when(is_list, _entries(doc, back)).when(crops.isNotNull(), _entries(crops, back))
-             .when(slides.isNotNull(), by_slide).otherwise(_entries(doc, back)))
-    rows = plans.select(*keep, F.explode(found).alias("e")).select(*keep, "e.*").withColumnRenamed("slide", "_slide")
-    arr = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>"))
-    rows = rows.withColumn("_a", arr)
+    found = F.when(slides.isNotNull(), by_slide).otherwise(_entries(F.coalesce("_crops", doc), back))
+    rows = rows.select(*keep, F.explode(found).alias("e")).select(*keep, "e.*").withColumnRenamed("slide", "_slide")
+    listed = F.ltrim("value").startswith("[")
+    # each crop's JSON is read once, into all known fields as text
+    rows = rows.withColumns({"_a": F.when(listed, F.from_json("value", "array<string>")),
+                             "_v": F.when(~listed, F.from_json("value", ", ".join(f"`{n}` STRING" for n in CROP_FIELDS)))})
     listed = c("_a").isNotNull()
 
     def field(*names: str) -> Column:
         """First alias whose value is neither missing nor empty."""
-        return F.coalesce(*[F.nullif(F.get_json_object("value", "$." + n), F.lit("")) for n in names])
+        return F.coalesce(*[F.nullif(c("_v." + n), F.lit("")) for n in names])
 
-    def number(place: int, *names: str) -> Column:
-        return bankers(F.when(listed, F.get("_a", F.lit(place))).otherwise(F.coalesce(*[F.get_json_object("value", "$." + n) for n in names])).try_cast("double"))
+    def number(place: int, name: str) -> Column:
+        return bankers(F.when(listed, F.get("_a", F.lit(place))).otherwise(c("_v." + name)).try_cast("double"))
 
-    edges = F.upper(F.coalesce(F.when(listed, F.get("_a", F.lit(5))).otherwise(F.coalesce(
-        *[F.get_json_object("value", "$." + n) for n in ("feather_edges", "edges", "feather")])), F.lit("")))
-    slide = bankers(F.when(listed, F.get("_a", F.lit(0))).otherwise(F.coalesce(F.get_json_object("value", "$.slide"), c("_slide"))).try_cast("double"))
+    edges = F.upper(F.coalesce(F.when(listed, F.get("_a", F.lit(5))).otherwise(F.coalesce("_v.feather_edges", "_v.edges", "_v.feather")), F.lit("")))
+    slide = bankers(F.when(listed, F.get("_a", F.lit(0))).otherwise(F.coalesce(c("_v.slide"), c("_slide"))).try_cast("double"))
     policy = {"content_type": ("content_type", "contentType"), "reconstruction_reason": ("reconstruction_reason", "reconstructionReason"),
               "editable_replacement": ("editable_replacement", "editableReplacement")}
     default = {"content_type": "dense_infographic", "reconstruction_reason": vocab.LEGACY_REASON, "editable_replacement": "none"}
-    missing = F.array_compact(F.array(*[F.when(listed | field(*names).isNull(), F.lit(k)) for k, names in policy.items()]))
+    missing = F.array_compact(F.array(*[F.when(field(*names).isNull(), F.lit(k)) for k, names in policy.items()]))
     out = rows.select(
-        *keep, F.coalesce(F.when(~listed, F.get_json_object("value", "$.name")), c("name")).alias("name"), slide.alias("slide"),
+        *keep, F.coalesce("_v.name", "name").alias("name"), slide.alias("slide"),
         number(1, "x").alias("x"), number(2, "y").alias("y"), number(3, "w").alias("w"), number(4, "h").alias("h"), edges.alias("feather_edges"),
-        *[F.coalesce(F.when(~listed, field(*names)), F.lit(default[k])).alias(k) for k, names in policy.items()],
-        F.when(~listed, field("allow_large_crop", "allowLargeCrop")).try_cast("boolean").alias("allow_large_crop"),
-        F.when(~listed, field("reason", "justification")).alias("reason"), missing.alias("missing_metadata"))
+        *[F.coalesce(field(*names), F.lit(default[k])).alias(k) for k, names in policy.items()],
+        field("allow_large_crop", "allowLargeCrop").try_cast("boolean").alias("allow_large_crop"),
+        field("reason", "justification").alias("reason"), missing.alias("missing_metadata"))
     error = (F.when(F.coalesce("name", F.lit("")) == "", "name missing").when(c("slide").isNull(), "slide missing")
              .when(c("x").isNull() | c("y").isNull() | c("w").isNull() | c("h").isNull(), "invalid numeric field")
              .when(~c("feather_edges").rlike("^[LRTB]*$"), "invalid feather_edges"))
