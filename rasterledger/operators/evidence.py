@@ -163,7 +163,7 @@ def discover_slides(listings: list[tuple[DataFrame, str]]) -> DataFrame:
     """Slide numbers found in file or folder names of several listings."""
     found = None
     for listing, pattern in listings:
-        part = listing.select(F.regexp_extract("path", pattern, 1).alias("d")).where("d <> ''").select(c("d").cast("bigint").alias("slide"))
+        part = listing.select(F.regexp_extract("path", pattern, 1).alias("d")).select(c("d").try_cast("bigint").alias("slide")).where("slide IS NOT NULL")
         found = part if found is None else found.union(part)
     return found.distinct()
 

@@ -126,9 +126,9 @@ def surface_drift(surfaces: DataFrame) -> DataFrame:
     wide = wide.select("slide", *names, *[F.sum(n).over(total).alias("all_" + n) for n in names])
     gaps = [F.struct(F.lit(label).alias("comparison"),
                      (F.sum(F.abs(F.col(a) * F.col("all_" + b) - F.col(b) * F.col("all_" + a)))
-                      / (F.max(F.col("all_" + a) * F.col("all_" + b)) * 2)).alias("color_palette_drift"))
+                      / F.nullif(F.max(F.col("all_" + a) * F.col("all_" + b)) * 2, F.lit(0))).alias("color_palette_drift"))
             for label, (a, b, _) in vocab.COMPARISONS.items()]
-    return wide.groupBy("slide").agg(F.array(*gaps).alias("g")).select("slide", F.explode("g").alias("g")).select("slide", "g.*")
+    return wide.groupBy("slide").agg(F.array(*gaps).alias("g")).select("slide", F.explode("g").alias("g")).select("slide", "g.*").where("color_palette_drift IS NOT NULL")
 
 
 def gradient(surfaces: DataFrame, mode: str = "central", band: int = BAND) -> DataFrame:
@@ -284,7 +284,7 @@ def compare_surfaces(surfaces: DataFrame, threshold: float = 0.08, band: int = B
         (F.sum(_changed(threshold).cast("bigint")) / n).alias("pixel_difference_ratio"),
         (F.sum(a + b + c) / (n * 765)).alias("mean_absolute_error"),
         (F.max(F.greatest(a, b, c)) / F.lit(255)).alias("max_channel_error"),
-        (F.sum("index") / F.count("index") / F.lit(1e9)).alias("approx_ssim"),
+        (F.sum("index") / F.nullif(F.count("index"), F.lit(0)) / F.lit(1e9)).alias("approx_ssim"),
         *_edge_aggs(), *_box(_changed(threshold), "diff_"))
     return main.join(surface_drift(surfaces), ["slide", "comparison"])
 

@@ -267,17 +267,17 @@ def reading_order(boxes: DataFrame, unique: str) -> DataFrame:
 def assign_ids(regions: DataFrame, unique: str) -> DataFrame:
     """Give rows without id the lowest free ``r001..`` of their slide, in reading order."""
     used = (regions.where("id IS NOT NULL").select("slide", F.regexp_extract("id", "^r([0-9]{3,})$", 1).alias("d"))
-            .where("d <> ''").select("slide", F.col("d").cast("bigint").alias("num"), "d")
+            .where("d <> ''").select("slide", F.col("d").try_cast("bigint").alias("num"), "d")
             .where(F.format_string("%03d", "num") == F.col("d")).select("slide", "num").distinct())
     missing = regions.where("id IS NULL")
-    numbered = reading_order(missing, unique).withColumnRenamed("place", "k")
+    numbered = reading_order(missing, unique).withColumnRenamed("place", "_k")
     need = missing.groupBy("slide").agg(F.count(F.lit(1)).alias("m")).join(used.groupBy("slide").agg(F.count(F.lit(1)).alias("u")), "slide", "left")
     top = F.col("m") + F.coalesce("u", F.lit(0))
     blocks = need.select("slide", top.alias("top"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(top / 4096))).alias("blk"))
     numbers = (blocks.select("slide", F.explode(F.sequence(F.greatest(F.col("blk") * 4096, F.lit(1)), F.least(F.col("blk") * 4096 + 4095, F.col("top")))).alias("num"))
                .join(used, ["slide", "num"], "left_anti"))
-    free = running_number(numbers, ["slide"], [], "num", "k")
-    filled = numbered.join(free, ["slide", "k"]).withColumn("id", F.format_string("r%03d", "num")).drop("num", "k")
+    free = running_number(numbers, ["slide"], [], "num", "_k")
+    filled = numbered.join(free, ["slide", "_k"]).withColumn("id", F.format_string("r%03d", "num")).drop("num", "_k")
     return regions.where("id IS NOT NULL").unionByName(filled.select(*regions.columns))
 
 
