@@ -243,8 +243,9 @@ def _(t):
 @query("shortcut_detection", """
 WITH e AS (SELECT slide, concat(name, '_', CAST(part_no AS VARCHAR), '_', CAST(supp_no AS VARCHAR)) AS entry, CASE supp_no % 3 WHEN 0 THEN 'areaRatio' WHEN 1 THEN 'coveragePercent' ELSE 'height' END AS key,
    CASE supp_no % 3 WHEN 1 THEN w*h*220.0::DOUBLE/1573352 ELSE w*h*2.2::DOUBLE/1573352 END AS v, CASE WHEN supp_no % 50 = 0 THEN 'Full-Slide image' WHEN supp_no % 2 = 0 THEN 'crop of photo' ELSE 'photo' END AS text FROM fx_crops),
-s AS (SELECT *, CASE WHEN key = 'areaRatio' AND v <= 1 THEN v WHEN key = 'coveragePercent' AND v <= 1 THEN v WHEN key = 'coveragePercent' AND v <= 100 THEN v/100 END AS share FROM e)
-SELECT slide, entry, CASE WHEN text LIKE 'Full%' THEN 'full_slide_marker' ELSE 'crop_coverage' END AS finding, CASE WHEN text NOT LIKE 'Full%' THEN round(share, 6) END AS share FROM s WHERE text LIKE 'Full%' OR (text LIKE 'crop%' AND share >= 0.92::DOUBLE)""", "fx_crops")
+s AS (SELECT *, CASE WHEN key = 'areaRatio' AND v <= 1 THEN v WHEN key = 'coveragePercent' AND v <= 1 THEN v WHEN key = 'coveragePercent' AND v <= 100 THEN v/100 END AS share FROM e),
+g AS (SELECT slide, entry, text, max(share) AS share FROM s GROUP BY ALL)
+SELECT slide, entry, CASE WHEN text LIKE 'Full%' THEN 'full_slide_marker' ELSE 'crop_coverage' END AS finding, CASE WHEN text NOT LIKE 'Full%' THEN round(share, 6) END AS share FROM g WHERE text LIKE 'Full%' OR (text LIKE 'crop%' AND share >= 0.92::DOUBLE)""", "fx_crops")
 def _(t):
     k = c("supp_no") % 3
     area = c("w") * c("h")

@@ -135,13 +135,25 @@ def object_counts(objects: DataFrame) -> DataFrame:
         F.sum(F.when((c("type") == "text") & c("editable"), c("text_length")).otherwise(0)).alias("editable_text_length"))
 
 
+def _occurrences(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Every row with ``first`` = is it the first of its key.
+
+    Equal rows are folded to one row with a count before anything moves, the first
+    row of a key is a partial aggregate, and it is brought back with salted keys;
+    so neither a key with very many rows nor very many copies of one row ends in a
+    single task. The copies are unfolded at the end.
+    """
+    full = [*order, *[n for n in rows.columns if n not in order]]
+    folded = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    first = folded.groupBy(*keys).agg(F.min(F.struct(*full)).alias("_first"))
+    marked = salted_lookup(folded, first, keys).withColumn("_lead", F.struct(*full).eqNullSafe(c("_first")))
+    copies = marked.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), c("_n"))))
+    return copies.withColumn("first", c("_lead") & (c("_i") == 1)).select(*rows.columns, "first")
+
+
 def duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Second and later rows of a key. The first row is found by a partial
-    aggregate; the flag is brought back with salted keys, so one key with very
-    many copies is spread over tasks."""
-    first = (rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n"))
-             .where(c("_n") > 1).drop("_n"))
-    return salted_lookup(rows, first, keys).where(F.struct(*order) != c("_first")).drop("_first")
+    """Second and later rows of a key."""
+    return _occurrences(rows, keys, order).where(~c("first")).drop("first")
 
 
 def merge_partitions(parts: list[DataFrame], key: str, order: list[str]) -> DataFrame:
@@ -149,9 +161,7 @@ def merge_partitions(parts: list[DataFrame], key: str, order: list[str]) -> Data
     merged = parts[0].withColumn("worker", F.lit(0))
     for i, p in enumerate(parts[1:], 1):
         merged = merged.unionByName(p.withColumn("worker", F.lit(i)), allowMissingColumns=True)
-    order = ["worker", *order]
-    first = merged.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    return (salted_lookup(merged, first, [key]).withColumn("duplicate", F.struct(*order) != c("_first")).drop("_first"))
+    return _occurrences(merged, [key], ["worker", *order]).withColumn("duplicate", ~c("first")).drop("first")
 
 
 def changed_keys(requested: DataFrame, cache: DataFrame, keys=("key", "sha256", "fingerprint")) -> DataFrame:

@@ -10,5 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from rasterledger.session import local_session
     session = local_session("tests", 8)
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

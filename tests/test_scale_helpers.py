@@ -47,3 +47,10 @@ def test_changed_keys(spark):
     req = spark.createDataFrame([("a", "1", "f"), ("a", "1", "f"), ("b", "2", "f"), ("c", "3", "f")], "key string, sha256 string, fingerprint string")
     cache = spark.createDataFrame([("a", "1", "f"), ("b", "2", "old"), ("c", "0", "f")], "key string, sha256 string, fingerprint string")
     assert sorted(r.key for r in ev.changed_keys(req, cache).collect()) == ["b", "c"]
+
+
+def test_exact_copies_are_counted(spark):
+    rows = spark.createDataFrame([(1, "a")] * 4 + [(1, "b"), (2, "c"), (3, None), (3, None)], "k bigint, o string")
+    assert sorted((r.k, r.o or "") for r in ev.duplicates(rows, ["k"], ["o"]).collect()) == [(1, "a")] * 3 + [(1, "b"), (3, "")]
+    both = ev.merge_partitions([rows, rows.where("k = 2")], "k", ["o"])
+    assert both.where("NOT duplicate").count() == 3 and both.count() == 9
