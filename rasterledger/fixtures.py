@@ -267,9 +267,8 @@ class Tables:
         unit = self.embeddings.select(
             F.col("vec_id"),
             F.transform("embedding", lambda v: F.least(F.greatest(v.cast("double") + 0.5, F.lit(0.0)), F.lit(1.0))).alias("v"))
-        total = self.embeddings.agg(F.count(F.lit(1)).alias("n"))
-        near = unit.crossJoin(F.broadcast(total)).select(F.col("vec_id").alias("slide"), F.col("v").alias("a"),
-                                                         ((F.col("vec_id") + 1) % F.col("n")).alias("next_id"))
+        total = self.embeddings.agg(F.count(F.lit(1)).alias("n")).scalar()
+        near = unit.select(F.col("vec_id").alias("slide"), F.col("v").alias("a"), ((F.col("vec_id") + 1) % total).alias("next_id"))
         other = unit.select(F.col("vec_id").alias("next_id"), F.col("v").alias("b"))
         px = (near.join(other, "next_id")
               .select("slide", "a", "b", ((F.col("slide") % 5) * F.lit(0.15)).alias("wt"),

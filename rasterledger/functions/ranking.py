@@ -32,8 +32,20 @@ def running_number(df: DataFrame, keys: list[str], major: list[tuple[Column, boo
     group = [*keys, *names, "_blk"]
     counts = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(*keys) if keys else W.partitionBy()
-    before = F.sum("_n").over(w.orderBy(*names, "_blk").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select(*group, F.coalesce(before, F.lit(0)).alias("_before"))
+    earlier = (W.unboundedPreceding, -1)
+    if block is None:
+        # blocks are summed in groups of BLOCK first, so that the one ordered list
+        # per key has a row per BLOCK * BLOCK numbers
+        counts = counts.withColumn("_sup", F.floor(F.col("_blk") / BLOCK))
+        supers = [*keys, *names, "_sup"]
+        tops = counts.groupBy(*supers).agg(F.sum("_n").alias("_s"))
+        tops = tops.select(*supers, F.coalesce(F.sum("_s").over(w.orderBy(*names, "_sup").rowsBetween(*earlier)), F.lit(0)).alias("_top"))
+        inner = F.sum("_n").over(W.partitionBy(*supers).orderBy("_blk").rowsBetween(*earlier))
+        offsets = (counts.withColumn("_in", F.coalesce(inner, F.lit(0))).join(tops, supers)
+                   .select(*group, (F.col("_top") + F.col("_in")).alias("_before")))
+    else:
+        before = F.sum("_n").over(w.orderBy(*names, "_blk").rowsBetween(*earlier))
+        offsets = counts.select(*group, F.coalesce(before, F.lit(0)).alias("_before"))
     local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*group).orderBy(minor)))
     return (local.join(offsets, group).withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint"))
             .drop(*names, "_blk", "_before", "_local"))
