@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts
-from .common import table
+from . import language, packing, secret_scan, token_counts
+from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,18 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = language.train(docs.where(~held_out).select(F.col("doc_id").alias("key"), "text", "lang"))
+    return language.predict(docs, model).select(F.col("id").alias("doc_id"), (crc_mod("id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    formats = secret_scan.Formats(secret_scan.labelled_strings(docs))
+    return secret_scan.scan(docs, formats).withColumnRenamed("id", "doc_id")

@@ -9,12 +9,9 @@ def docs_of(spark):
 
     def make(texts, ids=None, **more):
         ids = list(range(len(texts))) if ids is None else ids
-        names = ["doc_id", "text", "lang", "source", "n_chars", "id", *more]
-        rows = [(i, t, None, "s", len(t or ""), "x", *(v[k] for v in more.values())) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
-        kinds = "doc_id long, text string, lang string, source string, n_chars long, id string" + "".join(f", {c} string" for c in more)
-        df = spark.createDataFrame(rows, kinds)
-        assert df.columns == names
-        return df.drop("lang") if "lang" in more else df
+        columns = {"lang": [None] * len(texts), "source": ["s"] * len(texts), "n_chars": [str(len(t or "")) for t in texts], "id": ["x"] * len(texts), **more}
+        rows = list(zip(ids, texts, *columns.values(), strict=True))
+        return spark.createDataFrame(rows, "doc_id long, text string" + "".join(f", {c} string" for c in columns))
 
     return make
 
