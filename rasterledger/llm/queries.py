@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, secret_scan, token_counts
+from . import html_text, language, packing, secret_scan, token_counts
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     formats = secret_scan.Formats(secret_scan.labelled_strings(docs))
     return secret_scan.scan(docs, formats).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
