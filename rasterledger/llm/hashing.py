@@ -35,11 +35,11 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, and for each text the number of words before it (n+1 numbers)."""
+def word_spans(body: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words (runs outside the bytes of ``gap``), and for each text the number of words before it (n+1 numbers)."""
     if not len(body):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[body]
+    inside = ~gap[body]
     edge = np.zeros(len(body) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(body), bool)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, packing, secret_scan, suffix_tree, token_counts, topk
+from . import decontaminate, html_text, language, packing, secret_scan, suffix_tree, token_counts, topk
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score(table(spark, folder, "documents"), crc_mod("doc_id", 10) == 0).withColumnRenamed("id", "doc_id")
 
 
+@_query
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 @_query
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
