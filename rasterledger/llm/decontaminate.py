@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, raw_bytes, texts
+from .edits import prefix_distances
 from .hashing import mix, span_hashes, word_spans
 
 REPEATS, SAMPLES, SHARE, LEAST_WORDS, BLOCK_ITEMS = 8, 4, 0.15, 5, 5000
@@ -113,25 +114,8 @@ class _Repeat:
 
 
 def edit_distance(pattern: np.ndarray, window: np.ndarray) -> tuple[int, int]:
-    """Least edit distance in words between ``pattern`` and any beginning of ``window``, and the length of that beginning; bit-parallel."""
-    n = len(pattern)
-    ones, top = (1 << n) - 1, 1 << (n - 1)
-    masks: dict[int, int] = {}
-    for i, w in enumerate(pattern.tolist()):
-        masks[w] = masks.get(w, 0) | 1 << i
-    plus, minus, score = ones, 0, n
-    best = (n, 0)
-    for length, w in enumerate(window.tolist(), 1):
-        eq = masks.get(w, 0)
-        xv = eq | minus
-        xh = (((eq & plus) + plus) ^ plus) | eq
-        ph, mh = minus | ~(xh | plus), plus & xh
-        score += bool(ph & top) - bool(mh & top)
-        ph = (ph << 1 | 1) & ones
-        mh = mh << 1 & ones
-        plus, minus = (mh | ~(xv | ph)) & ones, ph & xv & ones
-        best = min(best, (score, length))
-    return best
+    """Least edit distance in words between ``pattern`` and any beginning of ``window``, and the length of that beginning."""
+    return min(((score, length) for length, score in enumerate(prefix_distances(pattern.tolist(), window.tolist()), 1)), default=(len(pattern), 0))
 
 
 class Index:
