@@ -157,23 +157,42 @@ class Index:
             yield r, self.ids[item], start, distance, len(self.items[item])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS, **options: float) -> DataFrame:
-    """``id, item_id, start_word, edit_distance, item_words``: one row per text and item that it holds."""
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, block_items: int, options: dict[str, float]) -> Iterator[Index]:
+    """The items in blocks of about ``block_items``; one block at a time is on the driver."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull())
     blocks = max(1, -(-items.count() // block_items))
-    own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-
-    def one_block(k: int) -> DataFrame:
+    for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).sort("item", "text").collect()
-        index = Index([r["item"] for r in rows], pa.array([r["text"] for r in rows], pa.string()), **options)
+        yield Index([r["item"] for r in rows], pa.array([r["text"] for r in rows], pa.string()), **options)
 
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS, **options: float) -> DataFrame:
+    """``id, item_id, start_word, edit_distance, item_words``: one row per text and item that it holds."""
+    own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+
+    def one_block(index: Index) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in by_bytes(batch):
-                    out = list(index.matches(part.column("text")))
-                    columns = list(zip(*out, strict=True)) or [[]] * 5
+                    columns = list(zip(*index.matches(part.column("text")), strict=True)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32())], names=["id", "item_id", "start_word", "edit_distance", "item_words"])
 
         return own.mapInArrow(find, MATCHES)
 
-    return reduce(DataFrame.unionByName, [one_block(k) for k in range(blocks)])
+    return reduce(DataFrame.unionByName, map(one_block, _indexes(benchmark, item_id, item_text, block_items, options)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS, **options: float) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item."""
+
+    def without(rows: DataFrame, index: Index) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in by_bytes(batch, text_column):
+                    good = np.ones(part.num_rows, bool)
+                    good[[m[0] for m in index.matches(part.column(text_column))]] = False
+                    yield part.filter(pa.array(good))
+
+        return rows.mapInArrow(keep, rows.schema)
+
+    return reduce(without, _indexes(benchmark, item_id, item_text, block_items, options), docs)

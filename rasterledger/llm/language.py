@@ -23,8 +23,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import by_bytes, raw_bytes, texts
 
@@ -165,15 +166,22 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(x, rows["lang"].tolist())
 
 
-def predict(docs: DataFrame, model: Model, id_column: Column | str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id, lang_pred, score`` of every row."""
+def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (columns of these names are replaced)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch):
-                x, letters = features(part.column("text"))
+            for part in by_bytes(batch, text_column):
+                x, letters = features(part.column(text_column))
                 names, score = model.predict(x)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([a if b else UND for a, b in zip(names, letters, strict=True)], pa.string()), pa.array(np.where(letters, score, 0.0))], names=["id", "lang_pred", "score"])
+                more = [pa.array([a if b else UND for a, b in zip(names, letters, strict=True)], pa.string()), pa.array(np.where(letters, score, 0.0))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "lang_pred", "score"])
 
-    kind = docs.select(F.col(id_column).alias("id") if isinstance(id_column, str) else id_column.alias("id")).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id") if isinstance(id_column, str) else id_column.alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    own = docs.drop("lang_pred", "score")
+    schema = StructType([*own.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return own.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``id, lang_pred, score`` of every row."""
+    return identify(docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")), model).select("id", "lang_pred", "score")
