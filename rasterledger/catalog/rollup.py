@@ -64,11 +64,9 @@ def _(t):
 
 
 @query("visual_qa", f"WITH {METRICS_SQL_CTE}, mx AS (SELECT * FROM pm JOIN em USING (slide, comparison) JOIN drift USING (slide, comparison) JOIN ssim USING (slide, comparison)), "
-                    f"sg AS (SELECT * FROM fx_signals WHERE slide IN (SELECT slide FROM mx)), {SLIDE_CTE} SELECT * FROM sl", "fx_surfaces fx_pairs fx_signals")
+                    f"sg AS (SELECT * FROM fx_signals), {SLIDE_CTE} SELECT * FROM sl", "fx_surfaces fx_pairs fx_signals")
 def _(t):
-    s = t.fx_surfaces
-    signals = t.fx_signals.join(t.embeddings.select(F.col("vec_id").alias("slide")), "slide", "left_semi")
-    return visual_qa.assess_slides(s, signals)
+    return visual_qa.assess_slides(t.fx_surfaces, t.fx_signals)
 
 
 FIX_SQL = """
@@ -148,9 +146,11 @@ def _(t):
 RANK = "CASE severity WHEN 'blocking' THEN 3 WHEN 'noticeable' THEN 2 WHEN 'minor' THEN 1 ELSE 0 END"
 
 
-@query("worst_slides", f"SELECT slide, status, severity, issue_count FROM fx_summary ORDER BY {RANK} DESC, issue_count DESC, slide LIMIT 10", "fx_summary")
+@query("worst_slides", f"""SELECT slide, status, severity, issue_count FROM (SELECT slide, status, CASE WHEN slide % 501 = 0 THEN NULL WHEN slide % 502 = 0 THEN 'odd' ELSE severity END AS severity, issue_count FROM fx_summary) q
+ORDER BY {RANK.replace("WHEN 'blocking' THEN 3 ", "").replace("ELSE 0", "WHEN 'pass' THEN 0 ELSE 3")} DESC, issue_count DESC, slide LIMIT 10""", "fx_summary")
 def _(t):
-    return rollup.worst_slides(t.fx_summary).select("slide", "status", "severity", "issue_count")
+    known = F.when(F.col("slide") % 501 == 0, F.lit(None)).when(F.col("slide") % 502 == 0, "odd").otherwise(F.col("severity"))
+    return rollup.worst_slides(t.fx_summary.withColumn("severity", known)).select("slide", "status", "severity", "issue_count")
 
 
 @query("backlog_lists", """SELECT CASE WHEN status IN ('pass', 'needs_polish') THEN status ELSE 'fail' END AS list, slide FROM fx_summary

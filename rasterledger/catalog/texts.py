@@ -11,21 +11,24 @@ c = F.col
 
 def range_text(t):
     k, n = c("o_custkey") % 20 + 1, c("o_orderkey")
+    huge = F.when(n % 29 == 0, ",1000000000-1000000002").when(n % 31 == 0, ",99999999999999999999").otherwise("")
     parts = F.concat(k.cast("string"), F.lit("-"), (k + n % 6 - F.when(n % 11 == 0, 9).otherwise(0)).cast("string"), F.lit(" , "), (n % 9 + 1).cast("string"),
-                     F.lit(",,"), F.when(n % 13 == 0, "x2").otherwise((n % 4 + 2).cast("string")))
+                     F.lit(",,"), F.when(n % 13 == 0, "x2").otherwise((n % 4 + 2).cast("string")), huge)
     return t.orders.select(n.alias("id"), parts.alias("text"))
 
 
-RANGE_CTE = """b AS (SELECT o_orderkey AS id, o_custkey % 20 + 1 AS a, o_custkey % 20 + 1 + o_orderkey % 6 - CASE WHEN o_orderkey % 11 = 0 THEN 9 ELSE 0 END AS z, o_orderkey % 9 + 1 AS s, o_orderkey % 4 + 2 AS u, o_orderkey % 13 = 0 AS bad FROM orders),
-g AS (SELECT *, NOT bad AND z >= a AND z > 0 AS ok FROM b),
-x AS (SELECT id, unnest(range(a, z+1)) AS slide, 0 AS tok FROM g WHERE ok UNION ALL SELECT id, s, 1 FROM g WHERE ok UNION ALL SELECT id, u, 2 FROM g WHERE ok),
-f AS (SELECT id, slide, min(tok*1000 + slide) AS first FROM x GROUP BY ALL)"""
+RANGE_CTE = """b AS (SELECT o_orderkey AS id, o_custkey % 20 + 1 AS a, o_custkey % 20 + 1 + o_orderkey % 6 - CASE WHEN o_orderkey % 11 = 0 THEN 9 ELSE 0 END AS z, o_orderkey % 9 + 1 AS s, o_orderkey % 4 + 2 AS u, o_orderkey % 13 = 0 AS bad,
+  o_orderkey % 29 = 0 AS huge, o_orderkey % 29 <> 0 AND o_orderkey % 31 = 0 AS beyond FROM orders),
+g AS (SELECT *, NOT bad AND NOT beyond AND z >= a AND z > 0 AS ok FROM b),
+x AS (SELECT id, unnest(range(a, z+1)) AS slide, 0 AS tok FROM g WHERE ok UNION ALL SELECT id, s, 1 FROM g WHERE ok UNION ALL SELECT id, u, 2 FROM g WHERE ok
+  UNION ALL SELECT id, unnest([1000000000, 1000000001, 1000000002]), 3 FROM g WHERE ok AND huge),
+f AS (SELECT id, slide, min(tok*10000000000 + slide) AS first FROM x GROUP BY ALL)"""
 
 
 @query("parse_slide_ranges", f"""WITH {RANGE_CTE}
-SELECT id, 'sorted' AS mode, row_number() OVER (PARTITION BY id ORDER BY slide) - 1 AS place, slide, false AS error FROM f
-UNION ALL SELECT id, 'seen', row_number() OVER (PARTITION BY id ORDER BY first) - 1, slide, false FROM f
-UNION ALL SELECT id, m, NULL, NULL, true FROM g, (VALUES ('sorted'), ('seen')) v(m) WHERE NOT ok""")
+SELECT id, 'sorted' AS mode, row_number() OVER (PARTITION BY id ORDER BY slide) - 1 AS place, slide, false AS error, NULL AS reason FROM f
+UNION ALL SELECT id, 'seen', row_number() OVER (PARTITION BY id ORDER BY first) - 1, slide, false, NULL FROM f
+UNION ALL SELECT id, m, NULL, NULL, true, CASE WHEN beyond AND NOT bad AND z >= 0 THEN 'number too large' ELSE 'malformed' END FROM g, (VALUES ('sorted'), ('seen')) v(m) WHERE NOT ok""")
 def _(t):
     src = range_text(t)
     return (tx.parse_ranges(src, "text").withColumn("mode", F.lit("sorted"))

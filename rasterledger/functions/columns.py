@@ -63,6 +63,12 @@ def safe_divide(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def round_even(value: Column, digits: int) -> Column:
+    """Round a double on its binary value, halves to the even digit."""
+    scale = 10.0 ** digits
+    return F.bround(value * scale, 0) / F.lit(scale)
+
+
 def round_to(value: Column, digits: int) -> Column:
     """Round a double on its binary value (``F.round`` rounds its shortest text)."""
     scale = 10.0 ** digits

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.columns import bankers, blank, clamp, contains_any, lookup, name_of, rank_of, round_to
+from ..functions.columns import bankers, blank, clamp, contains_any, lookup, name_of, rank_of, round_even
 from ..functions.geometry import corners, iou, with_cells
 from ..functions.quantiles import exact_quantile
 from ..functions.ranking import running_number
@@ -44,7 +43,7 @@ def score_candidates(boxes: DataFrame, width: int = vocab.CANVAS_W, height: int
     shape = clamp(F.lit(0.20) + F.least(aspect, F.lit(12.0)) / 20 + F.least(area, F.lit(5000)) / 20000, 0.18, 0.72)
     ocr = clamp(c("confidence") * 100 / 100.0, 0.0, 1.0)
     return (boxes.where((c("detector") == "ocr") | ~(small | band))
-            .withColumn("confidence", round_to(F.when(c("detector") == "ocr", ocr).otherwise(shape), 3)))
+            .withColumn("confidence", round_even(F.when(c("detector") == "ocr", ocr).otherwise(shape), 3)))
 
 
 def iou_pairs(boxes: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
@@ -88,21 +87,52 @@ def islands(boxes: DataFrame) -> DataFrame:
     return cut(rows, ["slide", "iy"], "x", "w", "ix")
 
 
-def _iou_of(kept: list, box: tuple, threshold: float) -> int:
-    """Place of the first kept box that overlaps enough, or -1."""
-    if len(kept) > 32:
-        k = np.asarray(kept)
-        iw = np.minimum(k[:, 0] + k[:, 2], box[0] + box[2]) - np.maximum(k[:, 0], box[0])
-        ih = np.minimum(k[:, 1] + k[:, 3], box[1] + box[3]) - np.maximum(k[:, 1], box[1])
-        inter = np.clip(iw, 0, None) * np.clip(ih, 0, None)
-        hits = np.flatnonzero(inter / (k[:, 2] * k[:, 3] + box[2] * box[3] - inter) >= threshold)
-        return int(hits[0]) if len(hits) else -1
-    for i, (x, y, w, h) in enumerate(kept):
-        iw = min(x + w, box[0] + box[2]) - max(x, box[0])
-        ih = min(y + h, box[1] + box[3]) - max(y, box[1])
-        if iw > 0 and ih > 0 and iw * ih / (w * h + box[2] * box[3] - iw * ih) >= threshold:
-            return i
-    return -1
+class Kept:
+    """Boxes kept so far in one island; a box meets only those of its grid cells, the first kept one first."""
+
+    def __init__(self) -> None:
+        self.boxes: list[tuple] = []
+        self.cells: dict[tuple, list[int]] = {}
+
+    @staticmethod
+    def _cells(box: tuple) -> Iterator[tuple]:
+        x, y, w, h = box
+        for cx in range(x // CELL, (x + w) // CELL + 1):
+            for cy in range(y // CELL, (y + h) // CELL + 1):
+                yield cx, cy
+
+    def _enter(self, at: int) -> None:
+        for cell in self._cells(self.boxes[at]):
+            held = self.cells.setdefault(cell, [])
+            if at not in held[-1:]:
+                held.append(at)
+
+    def add(self, box: tuple) -> None:
+        self.boxes.append(box)
+        self._enter(len(self.boxes) - 1)
+
+    def overlap(self, box: tuple, threshold: float) -> int:
+        """Place of the first kept box that really overlaps, and enough, or -1."""
+        x, y, w, h = box
+        for at in sorted({i for cell in self._cells(box) for i in self.cells.get(cell, ())}):
+            kx, ky, kw, kh = self.boxes[at]
+            iw = min(kx + kw, x + w) - max(kx, x)
+            ih = min(ky + kh, y + h) - max(ky, y)
+            if iw > 0 and ih > 0 and iw * ih / (kw * kh + w * h - iw * ih) >= threshold:
+                return at
+        return -1
+
+    def widen(self, at: int, box: tuple) -> bool:
+        """Grow a kept box around ``box``; true when it grew."""
+        x, y, w, h = box
+        kx, ky, kw, kh = self.boxes[at]
+        nx, ny = min(kx, x), min(ky, y)
+        wide = (nx, ny, max(kx + kw, x + w) - nx, max(ky + kh, y + h) - ny)
+        if wide == self.boxes[at]:
+            return False
+        self.boxes[at] = wide
+        self._enter(at)
+        return True
 
 
 def _in_order(boxes: DataFrame, attributes: list[str], order: list[str]) -> DataFrame:
@@ -112,12 +142,47 @@ def _in_order(boxes: DataFrame, attributes: list[str], order: list[str]) -> Data
     return placed.sortWithinPartitions("slide", "iy", "ix", *order)
 
 
+class _Merge:
+    """One pass of greedy merging; ``facts`` per kept box: confidence, detector members, OCR members, text."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.kept, self.facts = threshold, Kept(), []
+
+    def visit(self, box: tuple, confidence: float, cv: int, ocr: int, text: str, copies: int = 1) -> None:
+        while copies:
+            at = self.kept.overlap(box, self.threshold)
+            if at < 0:
+                self.kept.add(box)
+                self.facts.append([confidence, 0, 0, text])
+            grown = at >= 0 and self.kept.widen(at, box)
+            # once a copy no longer changes its target, the other copies follow it
+            took = 1 if grown else copies
+            facts = self.facts[at]
+            facts[0] = max(facts[0], confidence)
+            facts[1] += cv * took
+            facts[2] += ocr * took
+            facts[3] = text or facts[3]
+            copies -= took
+
+    def rows(self) -> list[tuple]:
+        """Kept boxes with their facts in reading order; equal places stay in kept order."""
+        return sorted(((*box, *facts) for box, facts in zip(self.kept.boxes, self.facts)), key=lambda r: (r[1], r[0]))
+
+    def again(self) -> _Merge:
+        """The next pass, which has visited what this one kept."""
+        out = _Merge(self.threshold)
+        for x, y, w, h, confidence, cv, ocr, text in self.rows():
+            out.visit((x, y, w, h), confidence, cv, ocr, text)
+        return out
+
+
 def merge_overlaps(candidates: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """Greedy merge: each box joins the first kept box it overlaps enough.
+    """Greedy merge in two passes: each box joins the first kept box it overlaps enough.
 
-    The result depends on the order of visits (detector pass, then reading order),
-    so an island is walked in order; islands run in parallel and rows are streamed,
-    so a task holds only the kept boxes of its current island.
+    Boxes of the detector are merged in reading order; what is kept is ordered
+    again and merged once more, now followed by the OCR boxes. The result depends on
+    the order of visits, so an island is walked in order; islands run in parallel and
+    rows are streamed, so a task holds only the kept boxes of its current island.
     """
     rows = candidates.select("slide", "x", "y", "w", "h", (F.col("detector") == "ocr").cast("int").alias("stage"),
                              F.round("confidence", 6).alias("confidence"), F.coalesce("text", F.lit("")).alias("text"))
@@ -126,33 +191,26 @@ def merge_overlaps(candidates: DataFrame, threshold: float = 0.35) -> DataFrame:
     names = ["slide", "x", "y", "w", "h", "confidence", "cv_members", "ocr_members", "text"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island, kept, info, done = None, [], [], []
+        island, stage_now, merge, done = None, 0, _Merge(threshold), []
+
+        def close() -> None:
+            last = merge if stage_now else merge.again()
+            done.extend((island[0], *r) for r in last.rows())
+
         for batch in batches:
             for slide, x, y, w, h, stage, confidence, text, left, iy, ix in batch.itertuples(index=False, name=None):
                 if (slide, iy, ix) != island:
-                    done += [(island[0], *k, *i) for k, i in zip(kept, info)]
-                    island, kept, info = (slide, iy, ix), [], []
-                while left:
-                    at, grown = _iou_of(kept, (x, y, w, h), threshold), False
-                    if at < 0:
-                        kept.append((x, y, w, h))
-                        info.append([confidence, 0, 0, text])
-                    else:
-                        kx, ky, kw, kh = kept[at]
-                        nx, ny = min(kx, x), min(ky, y)
-                        wide = (nx, ny, max(kx + kw, x + w) - nx, max(ky + kh, y + h) - ny)
-                        grown = wide != kept[at]
-                        kept[at] = wide
-                    # once a copy no longer changes its target, the other copies follow it
-                    took = 1 if grown else left
-                    facts = info[at]
-                    facts[0] = max(facts[0], confidence)
-                    facts[2 if stage else 1] += took
-                    facts[3] = text or facts[3]
-                    left -= took
+                    if island:
+                        close()
+                    island, stage_now, merge = (slide, iy, ix), 0, _Merge(threshold)
+                if stage and not stage_now:
+                    merge, stage_now = merge.again(), 1
+                merge.visit((x, y, w, h), confidence, 1 - stage, stage, text, left)
             yield pd.DataFrame(done, columns=names)
             done = []
-        yield pd.DataFrame([(island[0], *k, *i) for k, i in zip(kept, info)], columns=names)
+        if island:
+            close()
+        yield pd.DataFrame(done, columns=names)
 
     ordered = ordered.select("slide", "x", "y", "w", "h", "stage", "confidence", "text", "n", "iy", "ix")
     return ordered.mapInPandas(walk, "slide bigint, x bigint, y bigint, w bigint, h bigint, confidence double, cv_members bigint, ocr_members bigint, text string")
@@ -166,17 +224,17 @@ def suppress(manual: DataFrame, candidates: DataFrame, threshold: float = 0.45)
     ordered = _in_order(rows, ["stage", "confidence"], ["stage", "y", "x", "h", "w", "confidence"])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island, kept = None, []
+        island, kept = None, Kept()
         for batch in batches:
             keep = []
             for slide, x, y, w, h, stage, confidence, n, iy, ix in batch.itertuples(index=False, name=None):
                 if (slide, iy, ix) != island:
-                    island, kept = (slide, iy, ix), []
+                    island, kept = (slide, iy, ix), Kept()
                 box = (x, y, w, h)
-                if stage == 0 or _iou_of(kept, box, threshold) < 0:
+                if stage == 0 or kept.overlap(box, threshold) < 0:
                     # copies of a kept candidate overlap it fully and go
                     keep.append((slide, *box, "candidate" if stage else "manual", confidence, 1 if stage else n))
-                    kept.append(box)
+                    kept.add(box)
             yield pd.DataFrame(keep, columns=["slide", "x", "y", "w", "h", "origin", "confidence", "copies"])
 
     ordered = ordered.select("slide", "x", "y", "w", "h", "stage", "confidence", "n", "iy", "ix")
@@ -193,7 +251,8 @@ def clear_of_manual(manual: DataFrame, candidates: DataFrame, threshold: float =
 
 
 def inpaint_allowed(draft: bool = False) -> Column:
-    known = (F.col("class") != "unknown_text") | (F.col("exception_approved") & ~blank(F.col("exception_reason")))
+    approved = F.coalesce(F.col("exception_approved"), F.lit(False)) & ~blank(F.col("exception_reason"))
+    known = ~F.col("class").eqNullSafe("unknown_text") | approved  # a region without class stays
     return F.coalesce(F.col("inpaint_allowed"), F.lit(True)) & (F.lit(draft) | known)
 
 
@@ -265,7 +324,8 @@ def reading_order(boxes: DataFrame, unique: str) -> DataFrame:
 
 
 def assign_ids(regions: DataFrame, unique: str) -> DataFrame:
-    """Give rows without id the lowest free ``r001..`` of their slide, in reading order."""
+    """Give rows without id (null or empty) the lowest free ``r001..`` of their slide, in reading order."""
+    regions = regions.withColumn("id", F.nullif("id", F.lit("")))
     used = (regions.where("id IS NOT NULL").select("slide", F.regexp_extract("id", "^r([0-9]{3,})$", 1).alias("d"))
             .where("d <> ''").select("slide", F.col("d").try_cast("bigint").alias("num"), "d")
             .where(F.format_string("%03d", "num") == F.col("d")).select("slide", "num").distinct())
@@ -425,9 +485,14 @@ def worst_risk(risks: DataFrame) -> DataFrame:
         F.when(F.col("r") >= 2, "fail").when(F.col("r") == 1, "partial").otherwise("pass").alias("status"))
 
 
-def mask_coverage(boxes: DataFrame, width: int, height: int, max_coverage: float = 0.25, allow: bool = False) -> DataFrame:
-    """Share of the canvas under the mask; counted from spans, not from pixels."""
+def mask_coverage(boxes: DataFrame, width: int, height: int, max_coverage: float = 0.25, allow: bool = False, slides: DataFrame | None = None) -> DataFrame:
+    """Share of the canvas under the mask; counted from spans, not from pixels.
+
+    ``slides`` (column ``slide``) names all slides; one without a mask has share 0.
+    """
     covered = mask_spans(boxes).groupBy("slide").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("masked"))
+    if slides is not None:
+        covered = slides.select("slide").distinct().join(covered, "slide", "left").withColumn("masked", F.coalesce("masked", F.lit(0)))
     share = F.col("masked") / F.lit(width * height)
     over = F.col("coverage") > max_coverage
     return covered.select("slide", "masked", share.alias("coverage")).select(

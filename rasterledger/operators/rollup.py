@@ -38,8 +38,9 @@ def common_types(issues: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("n"), "type")
 
 
-def worst_slides(slides: DataFrame, k: int = 10) -> DataFrame:
-    rank = rank_of(F.col("severity"), vocab.SEVERITY_RANK, 0)
+def worst_slides(slides: DataFrame, k: int = 10, unknown_rank: int = 3) -> DataFrame:
+    """The ``k`` worst slides; a missing or unknown severity ranks as ``unknown_rank`` (3, with the worst, in the deck summary)."""
+    rank = rank_of(F.col("severity"), vocab.SEVERITY_RANK, unknown_rank)
     return slides.orderBy(rank.desc(), F.desc("issue_count"), F.asc("slide")).limit(k)
 
 

@@ -14,31 +14,64 @@ from ..functions.colors import darken, lighten, mix, pick, solid_over
 from ..functions.columns import blank, contains_any
 
 c = F.col
-TOKEN = r"^\s*([0-9]{1,9})\s*(?:-\s*([0-9]{1,9})\s*)?$"
+TOKEN = r"^\s*([0-9]+)\s*(?:-\s*([0-9]+)\s*)?$"
+WIDE, BLOCK = 1 << 22, 4096
 
 
-def token_ids(p: Column) -> Column:
-    """Ids of ``n`` or ``n-m``; null when the token is malformed, zero or reversed."""
-    low = F.regexp_extract(p, TOKEN, 1).try_cast("bigint")
-    high = F.coalesce(F.regexp_extract(p, TOKEN, 2).try_cast("bigint"), low)
-    return F.when((low > 0) & (high >= low), F.sequence(low, high))
+def token_range(p: Column) -> Column:
+    """``low, high`` of ``n`` or ``n-m``; null when the token is malformed, zero, reversed or beyond BIGINT."""
+    first, last = F.regexp_extract(p, TOKEN, 1), F.regexp_extract(p, TOKEN, 2)
+    low = first.try_cast("bigint")
+    high = F.when(last == "", low).otherwise(last.try_cast("bigint"))
+    return F.when((low > 0) & (high >= low), F.struct(low.alias("low"), high.alias("high")))
+
+
+def range_tokens(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def range_ids(text: Column) -> Column:
     """Slide ids of ``"1-3,8"`` in input order, repeats dropped; null when a token is bad."""
-    tokens = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
-    return F.array_distinct(F.flatten(F.transform(tokens, token_ids)))  # one null token makes all null
+    ids = F.transform(range_tokens(text), lambda p: F.get(F.transform(F.array(token_range(p)), lambda r: F.sequence(r["low"], r["high"])), 0))
+    return F.array_distinct(F.flatten(ids))  # one null token makes all null
+
+
+def range_pieces(ranges: Column, keep_order: bool) -> Column:
+    """Disjoint ``low, high, before``: each id once, in input or in rising order, ``before`` ids ahead of the piece.
+
+    The ends of all ranges cut the ids into pieces that lie wholly inside or outside
+    every range, so only ends are held, never ids.
+    """
+    numbered = F.transform(ranges, lambda r, i: F.struct(i.alias("t"), r["low"].alias("low"), r["high"].alias("high")))
+    cuts = F.array_sort(F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.array(r["low"], r["high"] + 1)))))
+    spans = F.filter(F.transform(cuts, lambda low, i: F.struct(low.alias("low"), (F.get(cuts, i + 1) - 1).alias("high"))), lambda s: s["high"].isNotNull())
+    owned = F.transform(spans, lambda s: F.struct(F.array_min(F.transform(F.filter(numbered, lambda r: (r["low"] <= s["low"]) & (r["high"] >= s["high"])), lambda r: r["t"])).alias("t"), s["low"].alias("low"), s["high"].alias("high")))
+    held = F.filter(owned, lambda p: p["t"].isNotNull())
+    ordered = F.array_sort(held) if keep_order else held
+    none = F.array().cast("array<struct<low:bigint,high:bigint,before:bigint>>")
+    total = lambda done: F.when(F.size(done) > 0, F.element_at(done, -1)["before"] + F.element_at(done, -1)["high"] - F.element_at(done, -1)["low"] + 1).otherwise(0)
+    return F.aggregate(ordered, none, lambda done, p: F.concat(done, F.array(F.struct(p["low"].alias("low"), p["high"].alias("high"), total(done).cast("bigint").alias("before")))))
 
 
 def parse_ranges(df: DataFrame, column: str, keep_order: bool = False) -> DataFrame:
-    """One row per slide id with its place; one row with ``error`` for a bad text."""
-    ids = range_ids(c(column))
-    ids = ids if keep_order else F.array_sort(ids)
+    """One row per slide id with its place; one row with ``error`` and ``reason`` for a bad text.
+
+    Ranges stay pairs of ends until the last step, which writes them out in blocks.
+    """
     keep = [n for n in df.columns if n != column]
-    rows = df.withColumn("_ids", ids)
-    good = rows.where(c("_ids").isNotNull()).select(*keep, F.posexplode("_ids").alias("place", "slide"))
-    bad = rows.where(c("_ids").isNull()).select(*keep, F.lit(None).cast("int").alias("place"), F.lit(None).cast("bigint").alias("slide"))
-    return good.withColumn("error", F.lit(False)).unionByName(bad.withColumn("error", F.lit(True))).withColumn("place", c("place").cast("bigint"))
+    ranges = F.transform(range_tokens(c(column)), token_range)
+    rows = df.withColumn("_ranges", ranges)
+    bad = F.exists("_ranges", lambda r: r.isNull()) | c("_ranges").isNull()
+    digits = F.forall(range_tokens(c(column)), lambda p: p.rlike(TOKEN))
+    large = digits & F.exists(range_tokens(c(column)), lambda p: F.regexp_extract(p, TOKEN, 1).try_cast("bigint").isNull() | (F.nullif(F.regexp_extract(p, TOKEN, 2), F.lit("")).isNotNull() & F.regexp_extract(p, TOKEN, 2).try_cast("bigint").isNull()))
+    pieces = rows.where(~bad).select(*keep, F.explode(range_pieces(c("_ranges"), keep_order)).alias("_p"))
+    wide = pieces.select(*keep, "_p", F.explode(F.sequence(c("_p.low"), c("_p.high"), F.lit(WIDE).cast("bigint"))).alias("_w"))
+    blocks = wide.select(*keep, "_p", F.explode(F.sequence(c("_w"), F.least(c("_w") + WIDE - 1, c("_p.high")), F.lit(BLOCK).cast("bigint"))).alias("_b"), "_w")
+    ids = blocks.select(*keep, "_p", F.explode(F.sequence(c("_b"), F.least(c("_b") + BLOCK - 1, c("_w") + WIDE - 1, c("_p.high")))).alias("slide"))
+    good = ids.select(*keep, (c("_p.before") + c("slide") - c("_p.low")).alias("place"), "slide", F.lit(False).alias("error"), F.lit(None).cast("string").alias("reason"))
+    reason = F.when(c(column).isNull(), "missing").when(large, "number too large").otherwise("malformed")
+    flagged = rows.where(bad).select(*keep, F.lit(None).cast("bigint").alias("place"), F.lit(None).cast("bigint").alias("slide"), F.lit(True).alias("error"), reason.alias("reason"))
+    return good.unionByName(flagged)
 
 
 def resolve_palette(profiles: DataFrame) -> DataFrame:

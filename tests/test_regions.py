@@ -31,23 +31,30 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "slide bigint, detector string, x bigint, y bigint, w bigint, h bigint, confidence double, text string")
 
 
+def one_pass(regions, threshold):
+    merged = []
+    for r in regions:
+        hit = next((k for k in merged if iou(k["box"], r["box"]) >= threshold), None)
+        if hit is None:
+            merged.append(dict(r))
+            continue
+        (kx, ky, kw, kh), (x, y, w, h) = hit["box"], r["box"]
+        nx, ny = min(kx, x), min(ky, y)
+        hit["box"] = (nx, ny, max(kx + kw, x + w) - nx, max(ky + kh, y + h) - ny)
+        hit["conf"] = max(hit["conf"], r["conf"])
+        hit["cv"] += r["cv"]
+        hit["ocr"] += r["ocr"]
+        hit["text"] = r["text"] or hit["text"]
+    return sorted(merged, key=lambda k: (k["box"][1], k["box"][0]))
+
+
 def greedy(rows, threshold):
+    """Detector boxes are merged, then that list and the OCR boxes are merged again."""
     out = []
     for slide in sorted({r[0] for r in rows}):
-        kept = []
-        mine = sorted((r for r in rows if r[0] == slide), key=lambda r: (r[1] == "ocr", r[3], r[2], r[5], r[4], r[6], r[7]))
-        for _, det, x, y, w, h, conf, text in mine:
-            hit = next((k for k in kept if iou(k["box"], (x, y, w, h)) >= threshold), None)
-            if hit is None:
-                hit = {"box": (x, y, w, h), "conf": conf, "cv": 0, "ocr": 0, "text": ""}
-                kept.append(hit)
-            kx, ky, kw, kh = hit["box"]
-            nx, ny = min(kx, x), min(ky, y)
-            hit["box"] = (nx, ny, max(kx + kw, x + w) - nx, max(ky + kh, y + h) - ny)
-            hit["conf"] = max(hit["conf"], conf)
-            hit[det] += 1
-            hit["text"] = text or hit["text"]
-        out += [(slide, *k["box"], k["conf"], k["cv"], k["ocr"], k["text"]) for k in kept]
+        mine = sorted((r for r in rows if r[0] == slide), key=lambda r: (r[3], r[2], r[5], r[4], r[6], r[7]))
+        made = {d: [{"box": tuple(r[2:6]), "conf": r[6], "cv": int(d == "cv"), "ocr": int(d == "ocr"), "text": r[7]} for r in mine if r[1] == d] for d in ("cv", "ocr")}
+        out += [(slide, *k["box"], k["conf"], k["cv"], k["ocr"], k["text"]) for k in one_pass(one_pass(made["cv"], threshold) + made["ocr"], threshold)]
     return sorted(out)
 
 
