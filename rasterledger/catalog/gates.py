@@ -35,9 +35,9 @@ def _(t):
 
 
 @query("gate_text_regions_status", f"""WITH v AS ({REGION_SQL}) SELECT gate, slide, count(*) FILTER (level='error') AS errors, count(*) FILTER (level='warning') AS warnings,
-  CASE WHEN count(*) FILTER (level='error') > 0 THEN 'fail' ELSE 'pass' END AS status FROM v GROUP BY gate, slide""", "fx_regions")
+  CASE WHEN count(*) FILTER (level='error') > 0 THEN 'fail' ELSE 'pass' END AS status FROM (SELECT 'text_regions' AS gate, slide, v.level FROM (SELECT DISTINCT slide FROM fx_regions) s LEFT JOIN v USING (slide)) q GROUP BY gate, slide""", "fx_regions")
 def _(t):
-    return gt.gate_status(gt.gate_text_regions(t.fx_regions))
+    return gt.gate_status(gt.gate_text_regions(t.fx_regions), t.fx_regions, "text_regions")
 
 
 @query("gate_background_repair", violations("background_repair", "fx_backgrounds", "region_key", [
@@ -91,7 +91,8 @@ def _(t):
     return gt.gate_trace(rows).select(*COLS)
 
 
-HOT, NOT = "(severity = 'blocking' OR status = 'fail' OR blocking > 0)", "(severity = 'noticeable' OR status = 'needs_polish' OR noticeable > 0)"
+HOT = "(coalesce(severity, 'blocking') = 'blocking' OR coalesce(status, 'fail') = 'fail' OR blocking > 0)"
+NOT = "(coalesce(severity, '') = 'noticeable' OR coalesce(status, '') = 'needs_polish' OR noticeable > 0)"
 RESIZE = ("resize_applied AND resize_reason IS NULL", "unrecorded_resize", E)
 
 
@@ -121,7 +122,7 @@ def _(t):
 QA_SQL = violations("qa_result", "fx_qa", "slide", [(f"{f} IS DISTINCT FROM 'pass'", f + "_not_pass", E) for f in ("status", "visual_fidelity", "native_editability", "crop_policy")] + [
     ("blocking_count IS NULL", "blocking_issues_not_a_list", E), ("minor_missing", "minor_issues_not_a_list", E), ("blocking_count > 0", "blocking_issues_left", E),
     ("slide % 6 IN (0, 1, 2)", "draft_wording", E), ("evidence = ''", "evidence_not_referenced", E),
-    ("NOT has_raster AND NOT has_html AND NOT (method = 'Manual' AND trim(method_notes) <> '')", "no_image_needs_manual_notes", E)])
+    ("NOT has_raster AND NOT has_html AND NOT (coalesce(method, '') = 'Manual' AND trim(method_notes) <> '')", "no_image_needs_manual_notes", E)])
 
 
 def qa_results(t):
@@ -137,7 +138,7 @@ def _(t):
 
 
 RECEIPT_SQL = violations("receipts", "fx_receipts", "slide", [
-    ("slide <> receipt_slide", "wrong_slide", E), ("worker = 'somebody'", "wrong_worker", E), ("status <> 'completed'", "not_completed", E),
+    ("slide IS DISTINCT FROM receipt_slide", "wrong_slide", E), ("worker = 'somebody'", "wrong_worker", E), ("status <> 'completed'", "not_completed", E),
     ("coalesce(shared_files_edited, true)", "shared_files_edited", E), ("no_list", "artifacts_not_a_list", E)]
     + [(f"no_list OR skip = {i}", "missing_" + n, E) for i, n in enumerate(vocab.RECEIPT_ARTIFACTS)] + [("no_list OR part = 5", "missing_fragment", E)])
 
@@ -178,7 +179,8 @@ def _(t):
 d AS (SELECT f.*, f.deck AS slide, b, n, z FROM fx_states f LEFT JOIN s ON s.deck = f.deck)
 """ + violations("orchestration", "d", "deck", [
     ("schema_version <> '0.1.0'", "unsupported_schema", E), ("project_root = ''", "project_root_missing", E), ("quality_level = 'loose'", "unsupported_quality_level", E), ("z > 0", "slides_not_positive", E),
-    ("quality_level <> 'canary' AND b > 0", "blocking_slides_remain", E), ("quality_level = 'strict' AND n > 0", "polish_slides_remain", E)]
+    ("quality_level <> 'canary' AND b > 0", "blocking_slides_remain", E), ("quality_level = 'strict' AND n > 0", "polish_slides_remain", E),
+    ("b IS NULL AND quality_level <> 'canary' AND fail_slides > 0", "state_has_fail_slides", E), ("b IS NULL AND quality_level <> 'canary' AND fail_slides IS NULL", "summary_missing", E)]
     + [(f"{a} IS NULL", "artifact_missing_" + a, E) for a in ("pptx", "html", "summary_file", "trace_file")]), "fx_states fx_deck_slides")
 def _(t):
     return gt.gate_orchestration(t.fx_states, t.fx_deck_slides).select(*COLS)
@@ -210,6 +212,6 @@ def _(t):
 
 @query("gate_captures", violations("captures", "fx_captures", "slide", [
     ("actual_width IS NULL", "dimensions_unreadable", E), ("actual_width = 1600", "dimensions_differ", E), ("scale = 2", "scale_not_one", E), ("NOT qa_static", "not_static", E), ("modified_html", "modified_html", E),
-    ("viewport_width = 800", "viewport_differs", E), ("html_sha <> current_html_sha", "html_changed", E), ("current_output_sha IS NULL", "image_changed", E)]), "fx_captures")
+    ("viewport_width IS DISTINCT FROM 1672", "viewport_differs", E), ("html_sha <> current_html_sha", "html_changed", E), ("current_output_sha IS NULL", "image_changed", E)]), "fx_captures")
 def _(t):
     return gt.gate_captures(t.fx_captures, 1672, 941).select(*COLS)

@@ -34,15 +34,19 @@ def crop_docs(t):
     arr = F.concat(F.lit("{"), q(c("name")), F.lit(":["), F.concat_ws(",", n("slide"), n("x"), n("y"), n("w"), n("h"), F.lit('"TBX"')), F.lit("]}"))
     doc = (F.when(s == 0, F.concat(F.lit("["), with_slide, F.lit("]"))).when(s == 1, F.concat(F.lit('{"crops":['), named, F.lit("]}")))
            .when(s == 2, F.concat(F.lit('{"crops":'), keyed, F.lit("}"))).when(s == 3, F.concat(F.lit('{"slides":{"slide'), n("slide"), F.lit('":'), keyed, F.lit("}}"))).otherwise(arr))
+    doc = F.when(c("supp_no") % 23 == 0, F.concat(F.lit("{broken"), doc)).when(c("supp_no") % 29 == 0, F.lit(None)).otherwise(doc)
     return t.fx_crops.select("part_no", "supp_no", doc.alias("doc"), F.when(s != 3, c("slide")).alias("fallback_slide"))
 
 
-@query("normalize_crop_plan", f"""SELECT part_no, supp_no, name, slide, CASE WHEN a THEN x ELSE round_even(x + 0.5::DOUBLE, 0)::BIGINT END AS x, y, w, h, CASE WHEN a THEN 'TBX' ELSE 'LR' END AS feather_edges,
+@query("normalize_crop_plan", f"""SELECT part_no, supp_no, NULL AS name, NULL AS slide, NULL AS x, NULL AS y, NULL AS w, NULL AS h, '' AS feather_edges, 'dense_infographic' AS content_type, '{vocab.LEGACY_REASON}' AS reconstruction_reason,
+  'none' AS editable_replacement, NULL AS allow_large_crop, NULL AS reason, 'content_type|reconstruction_reason|editable_replacement' AS missing_metadata, false AS metadata_complete, 'unreadable plan' AS error
+FROM fx_crops WHERE supp_no % 23 = 0 OR supp_no % 29 = 0 UNION ALL
+SELECT part_no, supp_no, name, slide, CASE WHEN a THEN x ELSE round_even(x + 0.5::DOUBLE, 0)::BIGINT END AS x, y, w, h, CASE WHEN a THEN 'TBX' ELSE 'LR' END AS feather_edges,
   CASE WHEN a THEN 'dense_infographic' ELSE content_type END AS content_type, CASE WHEN a OR reconstruction_reason IS NULL THEN '{vocab.LEGACY_REASON}' ELSE reconstruction_reason END AS reconstruction_reason,
   CASE WHEN a OR editable_replacement IS NULL THEN 'none' ELSE editable_replacement END AS editable_replacement, CASE WHEN NOT a THEN allow_large_crop END AS allow_large_crop, CASE WHEN NOT a THEN reason END AS reason,
   concat_ws('|', CASE WHEN a THEN 'content_type' END, CASE WHEN a OR reconstruction_reason IS NULL THEN 'reconstruction_reason' END, CASE WHEN a OR editable_replacement IS NULL THEN 'editable_replacement' END) AS missing_metadata,
   NOT (a OR reconstruction_reason IS NULL OR editable_replacement IS NULL) AS metadata_complete, CASE WHEN a THEN 'invalid feather_edges' END AS error
-FROM (SELECT *, supp_no % 5 = 4 AS a FROM fx_crops) q""", "fx_crops")
+FROM (SELECT *, supp_no % 5 = 4 AS a FROM fx_crops WHERE supp_no % 23 <> 0 AND supp_no % 29 <> 0) q""", "fx_crops")
 def _(t):
     return documents.normalize_crop_plan(crop_docs(t)).withColumn("missing_metadata", F.array_join("missing_metadata", "|"))
 

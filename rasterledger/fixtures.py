@@ -132,8 +132,8 @@ SELECT o_orderkey AS slide, o_orderkey % 23 = 0 AS enforcement_disabled, o_order
   CASE WHEN o_orderkey % 19 = 0 THEN 'missing' ELSE 'local' END AS mode, CASE WHEN o_orderkey % 17 = 0 THEN '/Other' ELSE '/Deck' END AS root, o_custkey AS seed
 FROM {orders}""",
     "fx_visual": """
-SELECT user_id AS slide, CASE WHEN max(value) >= 120 THEN 'fail' WHEN max(value) >= 60 THEN 'needs_polish' ELSE 'pass' END AS status,
-  CASE WHEN max(value) >= 120 THEN 'blocking' WHEN max(value) >= 60 THEN 'noticeable' ELSE 'minor' END AS severity,
+SELECT user_id AS slide, CASE WHEN user_id % 19 = 0 THEN NULL WHEN max(value) >= 120 THEN 'fail' WHEN max(value) >= 60 THEN 'needs_polish' ELSE 'pass' END AS status,
+  CASE WHEN user_id % 17 = 0 THEN NULL WHEN max(value) >= 120 THEN 'blocking' WHEN max(value) >= 60 THEN 'noticeable' ELSE 'minor' END AS severity,
   CAST(sum(CASE WHEN value >= 120 THEN 1 ELSE 0 END) AS BIGINT) AS blocking, CAST(sum(CASE WHEN value >= 60 AND value < 120 THEN 1 ELSE 0 END) AS BIGINT) AS noticeable,
   max(CASE WHEN value >= 120 AND event_type = 'error' THEN 1 ELSE 0 END) = 1 AS critical, min(event_id) % 4 = 0 AS pair_mismatch,
   min(event_id) % 3 = 0 AS resize_applied, CASE WHEN min(event_id) % 6 = 0 THEN 'shared space' ELSE NULL END AS resize_reason
@@ -144,22 +144,23 @@ SELECT o_orderkey AS slide, CASE o_orderstatus WHEN 'F' THEN 'pass' WHEN 'O' THE
   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderkey % 4 AS BIGINT) END AS blocking_count, o_orderkey % 17 = 0 AS minor_missing,
   CASE o_orderkey % 6 WHEN 0 THEN 'checks not  run yet' WHEN 1 THEN 'QA pending' WHEN 2 THEN 'an approximate pass' ELSE 'all compared' END AS report,
   CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE 'qa_evidence.json' END AS evidence, o_orderkey % 3 = 0 AS has_raster, o_orderkey % 5 = 0 AS has_html,
-  CASE WHEN o_custkey % 2 = 0 THEN 'Manual' ELSE 'auto' END AS method, CASE WHEN o_custkey % 4 = 0 THEN ' ' ELSE 'looked at it' END AS method_notes
+  CASE WHEN o_custkey % 10 = 3 THEN NULL WHEN o_custkey % 2 = 0 THEN 'Manual' ELSE 'auto' END AS method, CASE WHEN o_custkey % 4 = 0 THEN ' ' ELSE 'looked at it' END AS method_notes
 FROM {orders}""",
     "fx_receipts": """
-SELECT o_orderkey AS slide, CASE WHEN o_orderkey % 29 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS receipt_slide,
+SELECT o_orderkey AS slide, CASE WHEN o_orderkey % 29 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_orderkey END AS receipt_slide,
   CASE WHEN o_custkey % 9 = 0 THEN 'somebody' ELSE 'slide_reconstruct_worker' END AS worker, CASE o_orderstatus WHEN 'P' THEN 'partial' ELSE 'completed' END AS status,
   CASE WHEN o_custkey % 8 = 0 THEN NULL WHEN o_custkey % 8 = 1 THEN true ELSE false END AS shared_files_edited, o_orderkey % 31 = 0 AS no_list, o_orderkey % 10 AS skip, o_custkey % 6 AS part
 FROM {orders}""",
     "fx_captures": """
 SELECT doc_id AS slide, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 1600 ELSE 1672 END AS actual_width, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 941 END AS actual_height,
-  CASE WHEN doc_id % 11 = 0 THEN 2 ELSE 1 END AS scale, doc_id % 9 <> 0 AS qa_static, doc_id % 17 = 0 AS modified_html, CASE WHEN doc_id % 19 = 0 THEN 800 ELSE 1672 END AS viewport_width, 941 AS viewport_height,
+  CASE WHEN doc_id % 11 = 0 THEN 2 ELSE 1 END AS scale, doc_id % 9 <> 0 AS qa_static, doc_id % 17 = 0 AS modified_html, CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN 800 ELSE 1672 END AS viewport_width, 941 AS viewport_height,
   md5(text) AS html_sha, CASE WHEN lang = 'de' THEN md5(concat(text, ' ')) ELSE md5(text) END AS current_html_sha, md5(source) AS output_sha, CASE WHEN doc_id % 23 = 0 THEN NULL ELSE md5(source) END AS current_output_sha
 FROM {documents}""",
     "fx_states": """
 SELECT c_custkey AS deck, CASE WHEN c_custkey % 17 = 0 THEN '0.2.0' ELSE '0.1.0' END AS schema_version, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE '/deck' END AS project_root,
   CASE c_custkey % 5 WHEN 0 THEN 'canary' WHEN 1 THEN 'blocking-zero' WHEN 2 THEN 'polish' WHEN 3 THEN 'strict' ELSE 'loose' END AS quality_level,
-  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'a' END AS pptx, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'b' END AS html, c_name AS summary_file, CASE WHEN c_nationkey = 3 THEN NULL ELSE 'd' END AS trace_file
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'a' END AS pptx, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'b' END AS html, c_name AS summary_file, CASE WHEN c_nationkey = 3 THEN NULL ELSE 'd' END AS trace_file,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_custkey % 3 AS BIGINT) END AS fail_slides
 FROM {customer}""",
     "fx_deck_slides": """
 SELECT o_custkey AS deck, o_orderkey AS slide, CASE o_orderstatus WHEN 'O' THEN 'pass' WHEN 'F' THEN 'needs_polish' ELSE 'fail' END AS status,

@@ -111,14 +111,17 @@ def normalize_objects(objects: DataFrame) -> DataFrame:
     def num(name):
         v = c(name)
         finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-        return F.when(finite, round_to(v, 3)).otherwise(0.0).alias(name)
+        away = F.signum(v) * round_to(F.abs(v), 3) + F.lit(0.0)  # halves go away from zero, and there is no minus zero
+        return F.when(finite, away).otherwise(0.0).alias(name)
     kept = [n for n in objects.columns if n not in ("type", "x", "y", "w", "h", "editable", "txt", "file")]
     kind = F.coalesce("type", F.lit("shape"))
+    editable = F.coalesce("editable", F.lit(True))
     if "file" in objects.columns:
         icon = F.contains(F.lower(F.replace(c("file"), F.lit("\\"), F.lit("/"))), F.lit("/icons/"))
         kind = F.when(c("file").isNotNull(), F.when(icon, "icon").otherwise("image")).otherwise(kind)
+        editable = F.when(c("file").isNotNull(), icon).otherwise(editable)  # an icon is native, an image is not
     return objects.select(*kept, kind.alias("type"), *[num(n) for n in "xywh"], F.length(F.coalesce("txt", F.lit(""))).cast("bigint").alias("text_length"),
-                          F.coalesce("editable", F.lit(True)).alias("editable"))
+                          editable.alias("editable"))
 
 
 def run_text_length(runs: Column) -> Column:

@@ -40,11 +40,13 @@ def relabel(rows: DataFrame, gate: str, rule: Column | str, level: str = "error"
     return _shape(rows.select(F.lit(gate).alias("gate"), "slide", c(id_column).cast("string").alias("id"), rule.alias("rule"), F.lit(level).alias("level")))
 
 
-def gate_status(violations: DataFrame) -> DataFrame:
-    """pass / fail per gate and slide."""
-    return violations.groupBy("gate", "slide").agg(
-        F.count_if(c("level") == "error").alias("errors"), F.count_if(c("level") == "warning").alias("warnings")
-    ).withColumn("status", F.when(c("errors") > 0, "fail").otherwise("pass"))
+def gate_status(violations: DataFrame, slides: DataFrame | None = None, gate: str | None = None) -> DataFrame:
+    """pass / fail per gate and slide; with ``slides`` (column ``slide``) and ``gate`` also for slides without a finding."""
+    found = violations.groupBy("gate", "slide").agg(F.count_if(c("level") == "error").alias("errors"), F.count_if(c("level") == "warning").alias("warnings"))
+    if slides is not None:
+        every = slides.select(F.lit(gate).alias("gate"), "slide").distinct()
+        found = every.join(found, ["gate", "slide"], "left").select("gate", "slide", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("errors", "warnings")])
+    return found.withColumn("status", F.when(c("errors") > 0, "fail").otherwise("pass"))
 
 
 def _true(name: str) -> Column:
@@ -147,9 +149,13 @@ def gate_trace(traces: DataFrame) -> DataFrame:
 
 
 def gate_visual_mode(slides: DataFrame, mode: str) -> DataFrame:
-    """Draft stops only critical issues, polish stops blocking ones, strict both kinds."""
-    blocking = (c("severity") == "blocking") | (c("status") == "fail") | (c("blocking") > 0)
-    noticeable = (c("severity") == "noticeable") | (c("status") == "needs_polish") | (c("noticeable") > 0)
+    """Draft stops only critical issues, polish stops blocking ones, strict both kinds.
+
+    A slide without status or severity counts as failed and blocking.
+    """
+    status, severity = F.coalesce("status", F.lit("fail")), F.coalesce("severity", F.lit("blocking"))
+    blocking = (severity == "blocking") | (status == "fail") | (F.coalesce("blocking", F.lit(0)) > 0)
+    noticeable = (severity == "noticeable") | (status == "needs_polish") | (F.coalesce("noticeable", F.lit(0)) > 0)
     by_mode = {
         "qa-draft": [(_true("critical"), "critical_issue", "error"), (~_true("critical") & (blocking | noticeable), "allowed_in_draft", "warning")],
         "qa-polish": [(blocking, "blocking_left", "error"), (~blocking & noticeable, "needs_polish", "warning")],
@@ -188,14 +194,14 @@ def gate_qa_result(results: DataFrame) -> DataFrame:
         (F.size("blocking_issues") > 0, "blocking_issues_left", "error"),
         (c("report").rlike(vocab.DRAFT_WORDING), "draft_wording", "error"),
         (blank(c("evidence")), "evidence_not_referenced", "error"),
-        (no_image & ~((F.lower("method") == "manual") & ~blank(c("method_notes"))), "no_image_needs_manual_notes", "error"),
+        (no_image & ~(F.lower(F.coalesce("method", F.lit(""))).eqNullSafe("manual") & ~blank(c("method_notes"))), "no_image_needs_manual_notes", "error"),
     ]
     return apply_rules(results, "qa_result", rules, "slide")
 
 
 def gate_receipts(receipts: DataFrame) -> DataFrame:
     rules: list[Rule] = [
-        (c("slide") != c("receipt_slide"), "wrong_slide", "error"),
+        (~c("slide").eqNullSafe(c("receipt_slide")), "wrong_slide", "error"),
         (~c("worker").eqNullSafe(vocab.RECEIPT_WORKER), "wrong_worker", "error"),
         (~c("status").eqNullSafe("completed"), "not_completed", "error"),
         (~c("shared_files_edited").eqNullSafe(False), "shared_files_edited", "error"),
@@ -235,8 +241,15 @@ def gate_quality_mode(slides: DataFrame, present: DataFrame, violations: list[Da
 
 
 def gate_orchestration(states: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Deck states against their latest slide summaries (``deck`` is the key)."""
-    level = c("quality_level")
+    """Deck states against their latest slide summaries (``deck`` is the key).
+
+    A deck without summaries is judged by the failed slides that its state names
+    (``fail_slides``); without these too it does not pass.
+    """
+    level = F.coalesce("quality_level", F.lit(""))
+    alone = c("blocking_slides").isNull() & (level != "canary")
+    if "fail_slides" not in states.columns:
+        states = states.withColumn("fail_slides", F.lit(None).cast("bigint"))
     rules: list[Rule] = [
         (~c("schema_version").eqNullSafe("0.1.0"), "unsupported_schema", "error"),
         (blank(c("project_root")), "project_root_missing", "error"),
@@ -244,6 +257,8 @@ def gate_orchestration(states: DataFrame, summaries: DataFrame) -> DataFrame:
         (c("bad_slides") > 0, "slides_not_positive", "error"),
         ((level != "canary") & (c("blocking_slides") > 0), "blocking_slides_remain", "error"),
         ((level == "strict") & (c("polish_slides") > 0), "polish_slides_remain", "error"),
+        (alone & (c("fail_slides") > 0), "state_has_fail_slides", "error"),
+        (alone & c("fail_slides").isNull(), "summary_missing", "error"),
     ]
     rules += [(blank(c(a)), "artifact_missing_" + a, "error") for a in ("pptx", "html", "summary_file", "trace_file")]
     hot = (c("status") == "fail") | (c("severity") == "blocking") | (c("blocking") > 0)
@@ -302,6 +317,6 @@ def gate_captures(captures: DataFrame, width: int, height: int) -> DataFrame:
         (~c("scale").eqNullSafe(F.lit(1)), "scale_not_one", "error"),
         (~_true("qa_static"), "not_static", "error"),
         (_true("modified_html"), "modified_html", "error"),
-        ((c("viewport_width") != width) | (c("viewport_height") != height), "viewport_differs", "error"),
+        (~c("viewport_width").eqNullSafe(width) | ~c("viewport_height").eqNullSafe(height), "viewport_differs", "error"),
         (~c("html_sha").eqNullSafe(c("current_html_sha")), "html_changed", "error"),
         (~c("output_sha").eqNullSafe(c("current_output_sha")), "image_changed", "error")], "slide")

@@ -47,7 +47,8 @@ def _signals(band: dict) -> Column:
 
 
 def band_facts(metrics: DataFrame, profile: dict = vocab.CALIBRATION) -> DataFrame:
-    """Signal count and band membership of each comparison; no shuffle."""
+    """Signal count and band membership of each comparison; no shuffle. A comparison without pixel metric was not made and has no row."""
+    metrics = metrics.where("pixel_difference_ratio IS NOT NULL")
     kinds = {label: kind for label, (_, _, kind) in vocab.COMPARISONS.items()}
     return (metrics.withColumn("kind", lookup(F.col("comparison"), kinds))
             .withColumn("signal_count", _by_kind(_signals, "knownBadMetricBands", profile).cast("bigint"))

@@ -55,7 +55,7 @@ def normalize_crop_plan(plans: DataFrame, column: str = "doc", fallback: str = "
 
     Shapes: ``[..]``, ``{crops: [..]}``, ``{crops: {name: ..}}``, ``{slides: {n: ..}}``
     and ``{name: [slide, x, y, w, h, edges]}`` or ``{name: {..}}``. A bad entry keeps its row,
-    with ``error`` set.
+    with ``error`` set, and so does a plan that is missing or no JSON.
     """
     keep = [n for n in plans.columns if n not in (column, fallback)]
     doc, back = c(column), c(fallback).cast("string")
@@ -66,7 +66,9 @@ def normalize_crop_plan(plans: DataFrame, column: str = "doc", fallback: str = "
     by_slide = F.flatten(F.transform(_text_map(slides), lambda e: _entries(
         e["value"], F.coalesce(F.nullif(F.regexp_extract(e["key"], r"(?i)^(?:slide)?(\d+)$", 1), F.lit("")), back))))
     found = F.when(slides.isNotNull(), by_slide).otherwise(_entries(F.coalesce("_crops", doc), back))
-    rows = rows.select(*keep, F.explode(found).alias("e")).select(*keep, "e.*").withColumnRenamed("slide", "_slide")
+    unread = F.try_parse_json("_doc").isNull()
+    rows = rows.withColumn("_unread", unread).select(*keep, "_unread", F.explode_outer(F.when(~c("_unread"), found)).alias("e"))
+    rows = rows.where(c("_unread") | c("e").isNotNull()).select(*keep, "_unread", "e.*").withColumnRenamed("slide", "_slide")
     listed = F.ltrim("value").startswith("[")
     # each crop's JSON is read once, into all known fields as text
     rows = rows.withColumns({"_a": F.when(listed, F.from_json("value", "array<string>")),
@@ -91,8 +93,8 @@ def normalize_crop_plan(plans: DataFrame, column: str = "doc", fallback: str = "
         number(1, "x").alias("x"), number(2, "y").alias("y"), number(3, "w").alias("w"), number(4, "h").alias("h"), edges.alias("feather_edges"),
         *[F.coalesce(field(*names), F.lit(default[k])).alias(k) for k, names in policy.items()],
         field("allow_large_crop", "allowLargeCrop").try_cast("boolean").alias("allow_large_crop"),
-        field("reason", "justification").alias("reason"), missing.alias("missing_metadata"))
-    error = (F.when(F.coalesce("name", F.lit("")) == "", "name missing").when(c("slide").isNull(), "slide missing")
+        field("reason", "justification").alias("reason"), missing.alias("missing_metadata"), "_unread")
+    error = (F.when(c("_unread"), "unreadable plan").when(F.coalesce("name", F.lit("")) == "", "name missing").when(c("slide").isNull(), "slide missing")
              .when(c("x").isNull() | c("y").isNull() | c("w").isNull() | c("h").isNull(), "invalid numeric field")
              .when(~c("feather_edges").rlike("^[LRTB]*$"), "invalid feather_edges"))
-    return out.withColumns({"metadata_complete": F.size("missing_metadata") == 0, "error": error})
+    return out.withColumns({"metadata_complete": F.size("missing_metadata") == 0, "error": error}).drop("_unread")
