@@ -19,6 +19,7 @@ from ..functions.quantiles import exact_quantile
 from ..session import checkpoint_folder
 
 BAND = 64
+PLACE = 1 << 31        # columns of a raster, so that y * PLACE + x names one pixel
 EDGE_FLOOR = 10200.0   # 0.04 on the scale of luma()
 DARK_TEXT = 158100     # 0.62 on the scale of luma()
 
@@ -46,12 +47,11 @@ def _axes(*keys: str):
 
 def pair_surfaces(surfaces: DataFrame) -> DataFrame:
     """Aligned pixels of the three comparisons, from one exchange."""
-    def face(name):
-        return F.max(F.when(F.col("surface") == name, F.struct("r", "g", "b"))).alias(name)
-
     names = sorted({s for a, b, _ in vocab.COMPARISONS.values() for s in (a, b)})
-    wide = surfaces.groupBy("slide", "x", "y").agg(*[face(n) for n in names])
-    return stack_comparisons(wide, ["slide", "x", "y"])
+    # plain maxima per channel stay in the hash aggregate
+    wide = surfaces.groupBy("slide", "x", "y").agg(*[F.max(F.when(F.col("surface") == n, F.col(ch))).alias(f"{n}_{ch}") for n in names for ch in "rgb"])
+    faces = [F.when(F.col(f"{n}_r").isNotNull(), F.struct(*[F.col(f"{n}_{ch}").alias(ch) for ch in "rgb"])).alias(n) for n in names]
+    return stack_comparisons(wide.select("slide", "x", "y", *faces), ["slide", "x", "y"])
 
 
 def stack_comparisons(wide: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,7 +131,7 @@ def surface_drift(surfaces: DataFrame) -> DataFrame:
     return wide.groupBy("slide").agg(F.array(*gaps).alias("g")).select("slide", F.explode("g").alias("g")).select("slide", "g.*").where("color_palette_drift IS NOT NULL")
 
 
-def gradient(surfaces: DataFrame, mode: str = "central", band: int = BAND) -> DataFrame:
+def gradient(surfaces: DataFrame, mode: str = "central", band: int = BAND, keep_band: bool = False) -> DataFrame:
     """``central``: next - previous, zero on the border. ``half``: halved inside,
     one-sided on the border. Returned doubled (``gx2``, ``gy2``) so it stays whole."""
     rows = with_bands(surfaces.select("slide", "surface", "x", "y", luma().alias("l")), 1, band)
@@ -145,8 +145,8 @@ def gradient(surfaces: DataFrame, mode: str = "central", band: int = BAND) -> Da
         inner = nxt - prev
         return F.coalesce(inner, (nxt - cur) * 2, (cur - prev) * 2, F.lit(0))
 
-    return (rows.withColumn("gx2", slope(along_x)).withColumn("gy2", slope(along_y)).where("owned")
-            .select("slide", "surface", "x", "y", F.col("gx2").cast("bigint").alias("gx2"), F.col("gy2").cast("bigint").alias("gy2")))
+    out = rows.withColumn("gx2", slope(along_x)).withColumn("gy2", slope(along_y)).where("owned")
+    return out.select("slide", "surface", *(["band"] if keep_band else []), "x", "y", F.col("gx2").cast("bigint").alias("gx2"), F.col("gy2").cast("bigint").alias("gy2"))
 
 
 def _magnitude() -> Column:
@@ -160,10 +160,13 @@ def edge_thresholds(mags: DataFrame, keys=("slide", "surface")) -> DataFrame:
 
 def edge_flags(surfaces: DataFrame, band: int = BAND) -> DataFrame:
     """Edge = gradient above the image's 85th percentile (and above a floor)."""
-    mags = gradient(surfaces, "central", band).withColumn("mag", _magnitude())
-    limits = edge_thresholds(mags)
-    return (mags.join(limits, ["slide", "surface"])
-            .select("slide", "surface", "x", "y", (F.col("mag") > F.col("edge_threshold")).alias("edge")))
+    mags = gradient(surfaces, "central", band, keep_band=True).withColumn("mag", _magnitude())
+    # the few limits of a slide go to each of its bands, where the pixels already are
+    limits = edge_thresholds(mags).groupBy("slide").agg(F.map_from_entries(F.collect_list(F.struct("surface", "edge_threshold"))).alias("limits"))
+    last = mags.groupBy("slide").agg(F.max("band").alias("last"))
+    limits = limits.join(last, "slide").select("slide", "limits", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("band"))
+    return (mags.join(limits.hint("shuffle_hash"), ["slide", "band"])
+            .select("slide", "surface", "x", "y", (F.col("mag") > F.try_element_at("limits", F.col("surface"))).alias("edge")))
 
 
 def edge_metrics(flags: DataFrame) -> DataFrame:
@@ -383,7 +386,7 @@ def foreground_runs(mask: DataFrame) -> DataFrame:
     w = W.partitionBy("slide", "y").orderBy("x")
     runs = (mask.withColumn("island", F.col("x") - F.row_number().over(w))
             .groupBy("slide", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")))
-    return runs.select("slide", (F.col("y") * (1 << 24) + F.col("x0")).alias("node"), "y", "x0", "x1")
+    return runs.select("slide", (F.col("y") * PLACE + F.col("x0")).alias("node"), "y", "x0", "x1")
 
 
 def connected_components(mask: DataFrame) -> DataFrame:
@@ -415,5 +418,5 @@ def connected_components(mask: DataFrame) -> DataFrame:
     return (runs.join(labels, ["slide", "node"]).groupBy("slide", "label").agg(
         F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("w"),
         (F.max("y") - F.min("y") + 1).alias("h"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
-        .select("slide", (F.floor(F.col("label") / (1 << 24))).alias("top_y"), (F.col("label") % (1 << 24)).alias("top_x"),
+        .select("slide", F.expr(f"label div {PLACE}L").alias("top_y"), (F.col("label") % PLACE).alias("top_x"),
                 "x", "y", "w", "h", "area"))

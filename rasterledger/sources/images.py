@@ -66,7 +66,10 @@ def scan_headers(files: DataFrame) -> DataFrame:
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """8-bit, non-interlaced PNG to an H x W x 3 array."""
+    """Non-interlaced PNG of any depth to an H x W x 3 array; 16-bit samples keep their high byte.
+
+    Anything else raises ``ValueError``.
+    """
     if data[:8] != PNG_SIGNATURE:
         raise ValueError("not a PNG file")
     at, body, wide, high, kind, table = 8, [], 0, 0, 0, None
@@ -76,41 +79,61 @@ def decode_png(data: bytes) -> np.ndarray:
         at += 12 + size
         if name == b"IHDR":
             wide, high, depth, kind, _, _, lace = struct.unpack(">IIBBBBB", chunk)
-            if depth != 8 or lace:
-                raise ValueError("only 8-bit non-interlaced PNG files are read")
+            if lace or kind not in (0, 2, 3, 4, 6) or depth not in (1, 2, 4, 8, 16):
+                raise ValueError("interlaced or unknown PNG file")
         elif name == b"PLTE":
             table = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
         elif name == b"IDAT":
             body.append(chunk)
         elif name == b"IEND":
             break
-    step = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(high, wide * step + 1)
-    out = np.zeros((high, wide * step), np.uint8)
-    above = np.zeros(wide * step, np.int32)
-    for y in range(high):
-        mode, line = raw[y, 0], raw[y, 1:].astype(np.int32)
-        if mode == 1:  # each byte adds the one to its left
-            line = np.cumsum(line.reshape(wide, step), axis=0).reshape(-1) % 256
-        elif mode == 2:
-            line = (line + above) % 256
-        elif mode in (3, 4):
-            for i in range(len(line)):
-                left = line[i - step] if i >= step else 0
-                if mode == 3:
-                    guess = (left + above[i]) // 2
-                else:
-                    corner = above[i - step] if i >= step else 0
-                    p = left + above[i] - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - above[i]), 1, above[i]), (abs(p - corner), 2, corner))[2]
-                line[i] = (line[i] + guess) % 256
-        out[y], above = line, line
-    px = out.reshape(high, wide, step)
+    if not wide or not high:
+        raise ValueError("no PNG header")
+    samples = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    step = max(1, samples * depth // 8)
+    line = -(-wide * samples * depth // 8)
+    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+    if len(raw) != high * (line + 1):
+        raise ValueError("PNG data of a wrong length")
+    raw = raw.reshape(high, line + 1)
+    out = _unfilter(raw[:, 0], raw[:, 1:], step)
+    if depth == 16:
+        out = out[:, ::2]
+    elif depth < 8:
+        out = np.unpackbits(out, axis=1).reshape(high, -1, depth)[:, : wide * samples]
+        out = out @ (1 << np.arange(depth)[::-1])
+        if kind != 3:
+            out = out * 255 // ((1 << depth) - 1)
+    px = out.reshape(high, wide, samples).astype(np.uint8)
     if kind == 3:
+        if table is None or px.max(initial=0) >= len(table):
+            raise ValueError("palette entry missing")
         return table[px[..., 0]]
     return np.repeat(px[..., :1], 3, axis=2) if kind in (0, 4) else px[..., :3]
 
 
+def _unfilter(modes: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
+    """Bytes of all scan lines. Lines move as one diagonal front: at front t, line y is at
+    pixel t - y, so what it needs (left, above, corner) is known for all lines at once."""
+    if modes.max(initial=0) > 4:
+        raise ValueError("unknown PNG filter")
+    if not modes.any():
+        return lines
+    high, wide = lines.shape[0], lines.shape[1] // step
+    rest = lines.reshape(high, wide, step).astype(np.int32)
+    out = np.zeros((high + 1, wide + 1, step), np.int32)
+    for t in range(wide + high - 1):
+        y = np.arange(max(0, t - wide + 1), min(high, t + 1))
+        x = t - y
+        left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        by_left, by_above, by_corner = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+        paeth = np.where((by_left <= by_above) & (by_left <= by_corner), left, np.where(by_above <= by_corner, above, corner))
+        mode = modes[y][:, None]
+        guess = np.select([mode == 1, mode == 2, mode == 3, mode == 4], [left, above, (left + above) // 2, paeth], 0)
+        out[y + 1, x + 1] = (rest[y, x] + guess) & 255
+    return out[1:, 1:].reshape(high, -1).astype(np.uint8)
+
+
 def encode_png(pixels: np.ndarray) -> bytes:
     """H x W x 3 array to PNG bytes (used to build inputs from tables)."""
     high, wide, _ = pixels.shape
@@ -122,24 +145,52 @@ def encode_png(pixels: np.ndarray) -> bytes:
 
 
 def ingest_rasters(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixel rows ``x, y, r, g, b`` of each file, emitted band by band."""
+    """Pixel rows ``x, y, r, g, b`` of each file, emitted band by band.
+
+    A file that cannot be read (JPEG bytes among them: read these with ``read_images``)
+    gives one row without pixel and with ``error``.
+    """
     fields = {f.name: f.dataType.simpleString() for f in files.schema}
-    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", x bigint, y bigint, r bigint, g bigint, b bigint"
+    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", x bigint, y bigint, r bigint, g bigint, b bigint, error string"
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                px = decode_png(bytes(row.content))
+                try:
+                    px = decode_png(bytes(row.content or b""))
+                except (ValueError, zlib.error, struct.error) as e:
+                    whole = pd.array([None], dtype="Int64")
+                    yield pd.DataFrame({**{k: [getattr(row, k)] for k in keys}, **dict.fromkeys("xyrgb", whole), "error": [str(e) or "unreadable"]})
+                    continue
                 for top in range(0, px.shape[0], 64):
                     part = px[top:top + 64].astype(np.int64)
                     y, x = np.mgrid[top:top + part.shape[0], 0:part.shape[1]]
                     flat = part.reshape(-1, 3)
                     yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "x": x.ravel(), "y": y.ravel(),
-                                        "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2]})
+                                        "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2], "error": None})
 
     return files.select(*keys, "content").mapInPandas(decode, schema)
 
 
+def read_images(spark: SparkSession, glob: str) -> DataFrame:
+    """Pixel rows ``path, x, y, r, g, b`` of image files (PNG, JPEG, BMP), decoded by Spark's image reader.
+
+    A file that it cannot decode gives one row without pixel and with ``error``.
+    """
+    files = spark.read.format("image").option("dropInvalid", False).load(glob).select("image.*")
+    bad = files.where(c("width") <= 0).select(c("origin").alias("path"), *[F.lit(None).cast("bigint").alias(k) for k in "xyrgb"], F.lit("unreadable").alias("error"))
+    lines = files.where(c("width") > 0).select("origin", "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), c("height") - 1)).alias("y"))
+    spots = lines.select("origin", "width", "nChannels", "y", F.substring("data", c("y") * c("width") * c("nChannels") + 1, c("width") * c("nChannels")).alias("line"),
+                         F.explode(F.sequence(F.lit(0), c("width") - 1)).alias("x"))
+
+    def byte(k):  # channels stand in the order blue, green, red; gray files have one
+        place = c("x") * c("nChannels") + F.when(c("nChannels") == 1, 0).otherwise(k) + 1
+        return F.conv(F.hex(F.substring("line", place, F.lit(1))), 16, 10).cast("bigint")
+
+    good = spots.select(c("origin").alias("path"), c("x").cast("bigint").alias("x"), c("y").cast("bigint").alias("y"), byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(bad)
+
+
 def build_pngs(pixels: DataFrame, key: str = "slide") -> DataFrame:
     """PNG bytes of small rasters (scan lines are joined per image)."""
     lines = pixels.groupBy(key, "y").agg(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b"))).alias("px"))

@@ -69,6 +69,45 @@ def test_png_files_to_pixels(spark, tmp_path):
     assert len(px) == 100 and all((r.r, r.g, r.b) == tuple(img[r.y, r.x]) for r in px)
 
 
+def test_broken_files_do_not_end_the_job(spark):
+    img = np.random.default_rng(3).integers(0, 256, (40, 70, 3))
+    good = png_with_filter(img, 4)
+    laced = bytearray(good)
+    laced[28] = 1
+    files = spark.createDataFrame([(1, good), (2, b"\xff\xd8\xff\xe0"), (3, bytes(laced)), (4, None), (5, good[:60])], "slide bigint, content binary")
+    rows = images.ingest_rasters(files, ["slide"]).collect()
+    px = {(r.x, r.y): (r.r, r.g, r.b) for r in rows if r.slide == 1}
+    assert len(px) == 2800 and all(px[x, y] == tuple(img[y, x]) for x, y in px)
+    assert sorted(r.slide for r in rows if r.error) == [2, 3, 4, 5] and len(rows) == 2804
+
+
+def test_depths_of_png():
+    def png(depth, kind, w, h, lines, palette=b""):
+        def chunk(n, d):
+            return struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+        body = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, 0)) + (chunk(b"PLTE", palette) if palette else b"")
+        return images.PNG_SIGNATURE + body + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert images.decode_png(png(1, 0, 10, 1, b"\0\xa0\x40"))[0, :, 0].tolist() == [255, 0, 255, 0, 0, 0, 0, 0, 0, 255]
+    assert images.decode_png(png(16, 2, 1, 1, b"\0\x12\x34\x56\x78\x9a\xbc")).tolist() == [[[0x12, 0x56, 0x9A]]]
+    assert images.decode_png(png(4, 3, 3, 1, b"\0\x10\x20", bytes(range(9)))).tolist() == [[[3, 4, 5], [0, 1, 2], [6, 7, 8]]]
+
+
+def test_image_reader(spark, tmp_path):
+    img = np.random.default_rng(4).integers(0, 256, (5, 4, 3))
+    (tmp_path / "a.png").write_bytes(png_with_filter(img, 4))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    jvm = spark._jvm
+    flat = jvm.java.awt.image.BufferedImage(8, 8, 1)
+    for k in range(64):
+        flat.setRGB(k % 8, k // 8, 0x3060C0)
+    jvm.javax.imageio.ImageIO.write(flat, "jpg", jvm.java.io.File(str(tmp_path / "c.jpg")))
+    rows = images.read_images(spark, str(tmp_path)).collect()
+    got = {n: [r for r in rows if r.path.endswith(n)] for n in ("a.png", "b.png", "c.jpg")}
+    assert len(got["a.png"]) == 20 and all((r.r, r.g, r.b) == tuple(img[r.y, r.x]) for r in got["a.png"])
+    assert [r.error for r in got["b.png"]] == ["unreadable"]
+    assert len(got["c.jpg"]) == 64 and all(abs(r.r - 0x30) < 6 and abs(r.g - 0x60) < 6 and abs(r.b - 0xC0) < 6 for r in got["c.jpg"])
+
+
 def test_resample_keeps_flat_colour(spark):
     px = spark.createDataFrame([(1, x, y, 10, 200, 30) for x in range(6) for y in range(4)], "slide bigint, x bigint, y bigint, r bigint, g bigint, b bigint")
     sizes = spark.createDataFrame([(1, 6, 4, 3, 9)], "slide bigint, w0 bigint, h0 bigint, w1 bigint, h1 bigint")
