@@ -47,7 +47,36 @@ def _(t):
     return rounded(rg.iou_pairs(t.fx_candidates, 0.1), "iou")
 
 
-@query("merge_overlaps")
+def _share(k, b):
+    """Overlap share of two boxes as SQL; 0 without a real overlap."""
+    iw = f"(least({k}.x+{k}.w, {b}.x+{b}.w) - greatest({k}.x, {b}.x))"
+    ih = f"(least({k}.y+{k}.h, {b}.y+{b}.h) - greatest({k}.y, {b}.y))"
+    return f"(CASE WHEN {iw} > 0 AND {ih} > 0 THEN ({iw}*{ih})::DOUBLE / ({k}.w*{k}.h + {b}.w*{b}.h - {iw}*{ih}) ELSE 0 END)"
+
+
+def _merge_walk(name, source):
+    """One pass over the rows of ``source`` in the order ``rn``; the kept boxes are a list."""
+    box = "'x': v.x, 'y': v.y, 'w': v.w, 'h': v.h, 'c': v.c, 'cv': v.cv, 'ocr': v.ocr, 't': v.t"
+    k = "v.kept[i]"
+    wide = f"""{{'x': least({k}.x, v.x), 'y': least({k}.y, v.y), 'w': greatest({k}.x+{k}.w, v.x+v.w) - least({k}.x, v.x), 'h': greatest({k}.y+{k}.h, v.y+v.h) - least({k}.y, v.y),
+      'c': greatest({k}.c, v.c), 'cv': {k}.cv + v.cv, 'ocr': {k}.ocr + v.ocr, 't': CASE WHEN v.t <> '' THEN v.t ELSE {k}.t END}}"""
+    return f"""{name} AS (
+  SELECT slide, 0::BIGINT AS k, [{{'x': x, 'y': y, 'w': w, 'h': h, 'c': c, 'cv': cv, 'ocr': ocr, 't': t}}][2:] AS kept FROM {source} WHERE rn = 1
+  UNION ALL SELECT v.slide, v.k, CASE WHEN v.hit IS NULL THEN list_append(v.kept, {{{box}}}) ELSE [CASE WHEN i = v.hit THEN {wide} ELSE {k} END FOR i IN range(1, len(v.kept) + 1)] END
+  FROM (SELECT u.slide, u.k + 1 AS k, u.kept, s.x, s.y, s.w, s.h, s.c, s.cv, s.ocr, s.t, list_min([i FOR i IN range(1, len(u.kept) + 1) IF {_share('u.kept[i]', 's')} >= 0.35::DOUBLE]) AS hit
+        FROM {name} u JOIN {source} s ON s.slide = u.slide AND s.rn = u.k + 1) v)"""
+
+
+@query("merge_overlaps", f"""WITH RECURSIVE a AS (SELECT slide, x, y, w, h, round(confidence, 6) AS c, (detector <> 'ocr')::BIGINT AS cv, (detector = 'ocr')::BIGINT AS ocr, CASE WHEN detector = 'ocr' THEN cand_key ELSE '' END AS t FROM fx_candidates),
+a1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY y, x, h, w, c, t) AS rn FROM a WHERE cv = 1),
+{_merge_walk('w1', 'a1')},
+k1 AS (SELECT slide, unnest(kept) AS b, generate_subscripts(kept, 1) AS nr FROM (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY k DESC) AS back FROM w1) q WHERE back = 1),
+a2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY ocr > 0 AND cv = 0, CASE WHEN cv > 0 THEN nr END, y, x, h, w, c, t) AS rn FROM (
+  SELECT slide, b.x AS x, b.y AS y, b.w AS w, b.h AS h, b.c AS c, b.cv AS cv, b.ocr AS ocr, b.t AS t, row_number() OVER (PARTITION BY slide ORDER BY b.y, b.x, nr) AS nr FROM k1
+  UNION ALL SELECT slide, x, y, w, h, c, cv, ocr, t, NULL FROM a WHERE ocr = 1) q),
+{_merge_walk('w2', 'a2')}
+SELECT slide, b.x AS x, b.y AS y, b.w AS w, b.h AS h, b.c AS confidence, b.cv AS cv_members, b.ocr AS ocr_members, b.t AS text
+FROM (SELECT slide, unnest(kept) AS b FROM (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY k DESC) AS back FROM w2) q WHERE back = 1) z""", "fx_candidates")
 def _(t):
     return rg.merge_overlaps(t.fx_candidates.withColumn("text", F.when(c("detector") == "ocr", c("cand_key"))))
 
@@ -56,7 +85,14 @@ def manual(t):
     return t.fx_regions.where("source = 'manual'")
 
 
-@query("suppress_against_existing")
+@query("suppress_against_existing", f"""WITH RECURSIVE m AS (SELECT slide, x, y, w, h, confidence, count(*) AS n FROM fx_regions WHERE source = 'manual' GROUP BY ALL),
+s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY y, x, h, w, confidence) AS rn FROM (SELECT DISTINCT slide, x, y, w, h, confidence FROM fx_candidates) q),
+walk AS (
+  SELECT s.slide, 0::BIGINT AS k, coalesce(l.kept, [{{'x': s.x, 'y': s.y, 'w': s.w, 'h': s.h}}][2:]) AS kept, false AS added FROM s LEFT JOIN (SELECT slide, list({{'x': x, 'y': y, 'w': w, 'h': h}}) AS kept FROM m GROUP BY slide) l ON l.slide = s.slide WHERE rn = 1
+  UNION ALL SELECT v.slide, v.k, CASE WHEN v.free THEN list_append(v.kept, {{'x': v.x, 'y': v.y, 'w': v.w, 'h': v.h}}) ELSE v.kept END, v.free
+  FROM (SELECT u.slide, u.k + 1 AS k, u.kept, s.x, s.y, s.w, s.h, len([i FOR i IN range(1, len(u.kept) + 1) IF {_share('u.kept[i]', 's')} >= 0.45::DOUBLE]) = 0 AS free FROM walk u JOIN s ON s.slide = u.slide AND s.rn = u.k + 1) v)
+SELECT slide, x, y, w, h, 'manual' AS origin, confidence, n AS copies FROM m
+UNION ALL SELECT s.slide, s.x, s.y, s.w, s.h, 'candidate', s.confidence, 1 FROM s JOIN walk ON walk.slide = s.slide AND walk.k = s.rn AND walk.added""", "fx_regions fx_candidates")
 def _(t):
     return rg.suppress(manual(t), t.fx_candidates)
 
