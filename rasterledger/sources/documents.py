@@ -31,25 +31,6 @@ def parse_evidence(df: DataFrame, column: str, ddl: str) -> DataFrame:
                        (c("_d").isNotNull() & c("_d." + CORRUPT).isNull()).alias("readable")).drop("_d")
 
 
-# Field names of a crop entry, with their aliases.
-CROP_FIELDS = ["name", "slide", "x", "y", "w", "h", "feather_edges", "edges", "feather", "content_type", "contentType",
-               "reconstruction_reason", "reconstructionReason", "editable_replacement", "editableReplacement",
-               "allow_large_crop", "allowLargeCrop", "reason", "justification"]
-
-
-def _text_map(text: Column) -> Column:
-    return F.map_entries(F.from_json(text, "map<string,string>"))
-
-
-def _entries(text: Column, slide: Column) -> Column:
-    """Crops of a list ``[{..}]`` or of an object ``{name: ..}`` as (name, value, slide)."""
-    none = F.array().cast("array<struct<name:string,value:string,slide:string>>")
-    listed = F.transform(F.from_json(text, "array<string>"), lambda v: F.struct(
-        F.get_json_object(v, "$.name").alias("name"), v.alias("value"), slide.cast("string").alias("slide")))
-    named = F.transform(_text_map(text), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"), slide.cast("string").alias("slide")))
-    return F.coalesce(F.when(F.ltrim(text).startswith("["), listed).otherwise(named), none)
-
-
 def normalize_crop_plan(plans: DataFrame, column: str = "doc", fallback: str = "fallback_slide") -> DataFrame:
     """One row per crop from any of the five plan shapes.
 
@@ -58,38 +39,38 @@ def normalize_crop_plan(plans: DataFrame, column: str = "doc", fallback: str = "
     with ``error`` set, and so does a plan that is missing or no JSON.
     """
     keep = [n for n in plans.columns if n not in (column, fallback)]
-    doc, back = c(column), c(fallback).cast("string")
-    crops, slides = F.get_json_object(doc, "$.crops"), F.get_json_object(doc, "$.slides")
-    is_list = F.ltrim(doc).startswith("[")
-    rows = plans.select(*keep, doc.alias("_doc"), back.alias("_back"), F.when(~is_list, crops).alias("_crops"), F.when(~is_list & crops.isNull(), slides).alias("_slides"))
-    doc, back, slides = c("_doc"), c("_back"), c("_slides")
-    by_slide = F.flatten(F.transform(_text_map(slides), lambda e: _entries(
-        e["value"], F.coalesce(F.nullif(F.regexp_extract(e["key"], r"(?i)^(?:slide)?(\d+)$", 1), F.lit("")), back))))
-    found = F.when(slides.isNotNull(), by_slide).otherwise(_entries(F.coalesce("_crops", doc), back))
-    unread = F.try_parse_json("_doc").isNull()
-    rows = rows.withColumn("_unread", unread).select(*keep, "_unread", F.explode_outer(F.when(~c("_unread"), found)).alias("e"))
-    rows = rows.where(c("_unread") | c("e").isNotNull()).select(*keep, "_unread", "e.*").withColumnRenamed("slide", "_slide")
-    listed = F.ltrim("value").startswith("[")
-    # each crop's JSON is read once, into all known fields as text
-    rows = rows.withColumns({"_a": F.when(listed, F.from_json("value", "array<string>")),
-                             "_v": F.when(~listed, F.from_json("value", ", ".join(f"`{n}` STRING" for n in CROP_FIELDS)))})
-    listed = c("_a").isNotNull()
+    named = [f"_k{i}" for i in range(len(keep))]
+    rows = plans.select(*[c(k).alias(n) for k, n in zip(keep, named)], F.try_parse_json(c(column)).alias("_doc"), c(fallback).cast("string").alias("_back"))
+    # the document is parsed once; slides (if any) and then crops are taken from it level by level
+    rows = plans.sparkSession.sql(f"""
+        WITH d AS (SELECT *, try_variant_get(_doc, '$.crops', 'variant') AS _crops FROM {{rows}}),
+        r AS (SELECT *, CASE WHEN _crops IS NULL THEN try_variant_get(_doc, '$.slides', 'variant') END AS _slides FROM d)
+        SELECT {"".join(n + ", " for n in named)} r._back, r._doc IS NULL AS _unread, r._slides IS NOT NULL AS _by_slide, s.key AS _slide_key, e.key AS name, e.value AS value
+        FROM r, LATERAL variant_explode_outer(r._slides) s, LATERAL variant_explode_outer(CASE WHEN r._slides IS NULL THEN coalesce(r._crops, r._doc) ELSE s.value END) e""", rows=rows)
+    rows = rows.where(c("_unread") | c("value").isNotNull()).withColumnsRenamed(dict(zip(named, keep)))
+    in_key = F.nullif(F.regexp_extract("_slide_key", r"(?i)^(?:slide)?(\d+)$", 1), F.lit(""))
+    rows = rows.withColumn("_slide", F.when(c("_by_slide"), F.coalesce(in_key, "_back")).when(~c("_unread"), c("_back")))
+    first = F.try_variant_get("value", "$[0]", "variant")
+    listed = F.coalesce(first.isNotNull(), F.lit(False))
+
+    def at(path: str, kind: str = "string") -> Column:
+        return F.try_variant_get("value", path, kind)
 
     def field(*names: str) -> Column:
         """First alias whose value is neither missing nor empty."""
-        return F.coalesce(*[F.nullif(c("_v." + n), F.lit("")) for n in names])
+        return F.coalesce(*[F.nullif(at("$." + n), F.lit("")) for n in names])
 
     def number(place: int, name: str) -> Column:
-        return bankers(F.when(listed, F.get("_a", F.lit(place))).otherwise(c("_v." + name)).try_cast("double"))
+        return bankers(F.when(listed, at(f"$[{place}]", "double")).otherwise(at("$." + name, "double")))
 
-    edges = F.upper(F.coalesce(F.when(listed, F.get("_a", F.lit(5))).otherwise(F.coalesce("_v.feather_edges", "_v.edges", "_v.feather")), F.lit("")))
-    slide = bankers(F.when(listed, F.get("_a", F.lit(0))).otherwise(F.coalesce(c("_v.slide"), c("_slide"))).try_cast("double"))
+    edges = F.upper(F.coalesce(F.when(listed, at("$[5]")).otherwise(F.coalesce(at("$.feather_edges"), at("$.edges"), at("$.feather"))), F.lit("")))
+    slide = bankers(F.when(listed, at("$[0]")).otherwise(F.coalesce(at("$.slide"), c("_slide"))).try_cast("double"))
     policy = {"content_type": ("content_type", "contentType"), "reconstruction_reason": ("reconstruction_reason", "reconstructionReason"),
               "editable_replacement": ("editable_replacement", "editableReplacement")}
     default = {"content_type": "dense_infographic", "reconstruction_reason": vocab.LEGACY_REASON, "editable_replacement": "none"}
     missing = F.array_compact(F.array(*[F.when(field(*names).isNull(), F.lit(k)) for k, names in policy.items()]))
     out = rows.select(
-        *keep, F.coalesce("_v.name", "name").alias("name"), slide.alias("slide"),
+        *keep, F.coalesce(at("$.name"), c("name")).alias("name"), slide.alias("slide"),
         number(1, "x").alias("x"), number(2, "y").alias("y"), number(3, "w").alias("w"), number(4, "h").alias("h"), edges.alias("feather_edges"),
         *[F.coalesce(field(*names), F.lit(default[k])).alias(k) for k, names in policy.items()],
         field("allow_large_crop", "allowLargeCrop").try_cast("boolean").alias("allow_large_crop"),
