@@ -16,39 +16,53 @@ BLOCK = 4096
 
 
 def running_number(df: DataFrame, keys: list[str], major: list[tuple[Column, bool]], minor: str, out: str = "rn",
-                   block: Column | None = None) -> DataFrame:
+                   block: Column | None = None, coarse: Column | None = None) -> DataFrame:
     """1-based number per ``keys`` in the order ``major`` then ``minor``.
 
     ``major`` holds (value, descending) pairs; descending ones must be numbers.
     ``minor`` settles the rest of the order. Rows with equal keys and major values
     are cut into blocks: by default ranges of a whole-number ``minor``, else by
-    ``block``, which must not decrease as ``minor`` grows.
+    ``block``, which must not decrease as ``minor`` grows. ``coarse``, a function of
+    the major values that does not decrease in their order, cuts the ordered list of
+    counts into pieces, so that no list has a row per different major value.
     """
     names = [f"_m{i}" for i in range(len(major))]
     tagged = df
     for name, (value, descending) in zip(names, major):
         tagged = tagged.withColumn(name, -value if descending else value)
     tagged = tagged.withColumn("_blk", F.floor(F.col(minor) / BLOCK) if block is None else block)
-    group = [*keys, *names, "_blk"]
+    if coarse is not None:
+        tagged = tagged.withColumn("_band", coarse)
+    bands = [] if coarse is None else ["_band"]
+    group = [*keys, *bands, *names, "_blk"]
     counts = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*keys) if keys else W.partitionBy()
     earlier = (W.unboundedPreceding, -1)
     if block is None:
         # blocks are summed in groups of BLOCK first, so that the one ordered list
         # per key has a row per BLOCK * BLOCK numbers
         counts = counts.withColumn("_sup", F.floor(F.col("_blk") / BLOCK))
-        supers = [*keys, *names, "_sup"]
+        supers = [*keys, *bands, *names, "_sup"]
         tops = counts.groupBy(*supers).agg(F.sum("_n").alias("_s"))
-        tops = tops.select(*supers, F.coalesce(F.sum("_s").over(w.orderBy(*names, "_sup").rowsBetween(*earlier)), F.lit(0)).alias("_top"))
+        tops = _before(tops, keys, bands, [*names, "_sup"], "_s", "_top")
         inner = F.sum("_n").over(W.partitionBy(*supers).orderBy("_blk").rowsBetween(*earlier))
         offsets = (counts.withColumn("_in", F.coalesce(inner, F.lit(0))).join(tops, supers)
                    .select(*group, (F.col("_top") + F.col("_in")).alias("_before")))
     else:
-        before = F.sum("_n").over(w.orderBy(*names, "_blk").rowsBetween(*earlier))
-        offsets = counts.select(*group, F.coalesce(before, F.lit(0)).alias("_before"))
+        offsets = _before(counts, keys, bands, [*names, "_blk"], "_n", "_before")
     local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*group).orderBy(minor)))
     return (local.join(offsets, group).withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint"))
-            .drop(*names, "_blk", "_before", "_local"))
+            .drop(*names, *bands, "_blk", "_before", "_local"))
+
+
+def _before(counts: DataFrame, keys: list[str], bands: list[str], order: list[str], n: str, out: str) -> DataFrame:
+    """``keys, bands, order`` with the sum of ``n`` over all earlier rows of the keys: bands first, then inside a band."""
+    earlier = (W.unboundedPreceding, -1)
+    inner = F.coalesce(F.sum(n).over(W.partitionBy(*keys, *bands).orderBy(*order).rowsBetween(*earlier)), F.lit(0))
+    if not bands:
+        return counts.select(*keys, *order, inner.alias(out))
+    whole = counts.groupBy(*keys, *bands).agg(F.sum(n).alias("_w"))
+    ahead = whole.select(*keys, *bands, F.coalesce(F.sum("_w").over(W.partitionBy(*keys).orderBy(*bands).rowsBetween(*earlier)), F.lit(0)).alias("_ahead"))
+    return counts.withColumn("_inner", inner).join(ahead, [*keys, *bands]).select(*keys, *bands, *order, (F.col("_inner") + F.col("_ahead")).alias(out))
 
 
 def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:

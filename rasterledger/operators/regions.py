@@ -317,9 +317,9 @@ def region_padding(regions: DataFrame, min_pad: int = 2, dilate: int = 3, pseudo
 
 
 def reading_order(boxes: DataFrame, unique: str) -> DataFrame:
-    """Place in reading order (y, then x) per slide."""
+    """Place in reading order (y, then x) per slide; counts are summed per strip of 16 lines first."""
     tagged = boxes.withColumn("_h", F.md5(F.col(unique).cast("binary")))
-    out = running_number(tagged, ["slide"], [(F.col("y"), False), (F.col("x"), False)], "_h", "place", F.substring("_h", 1, 2))
+    out = running_number(tagged, ["slide"], [(F.col("y"), False), (F.col("x"), False)], "_h", "place", F.substring("_h", 1, 2), F.floor(F.col("y") / 16))
     return out.drop("_h")
 
 

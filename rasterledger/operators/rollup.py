@@ -84,7 +84,7 @@ def repair_score(slides: DataFrame, issues: DataFrame, level: str = "blocking-ze
 
 def waves(scored: DataFrame, issues: DataFrame, size: int = 5) -> DataFrame:
     """Ranked slides cut into waves; a wave holds at most ``size`` slides."""
-    ranked = running_number(scored, [], [(F.col("score"), True)], "slide", "place")
+    ranked = running_number(scored, [], [(F.col("score"), True)], "slide", "place", coarse=F.floor(-F.col("score") / 100))
     placed = ranked.withColumn("wave", F.floor((F.col("place") - 1) / size) + 1)
     types = slide_types(issues).join(placed.select("slide", "wave", "place"), "slide")
     first = types.groupBy("wave", "type").agg(F.min(F.struct("place", "first_seen")).alias("at"))

@@ -26,6 +26,16 @@ def test_running_number_whole_table(skewed):
     assert got.where("rn <> want").isEmpty() and got.count() == 30000
 
 
+def test_running_number_in_bands(skewed):
+    wide = skewed.withColumn("y", F.col("v") * 3)
+    got = running_number(wide, ["k"], [(F.col("y"), False)], "i", "rn", coarse=F.floor(F.col("y") / 100))
+    got = got.withColumn("want", F.row_number().over(W.partitionBy("k").orderBy("y", "i")))
+    assert got.where("rn <> want").isEmpty() and got.count() == 30000 and got.columns == [*wide.columns, "rn", "want"]
+    hashed = wide.withColumn("h", F.md5(F.col("i").cast("string")))
+    got = running_number(hashed, ["k"], [(F.col("y"), False)], "h", "rn", F.substring("h", 1, 1), F.floor(F.col("y") / 100))
+    assert got.withColumn("want", F.row_number().over(W.partitionBy("k").orderBy("y", "h"))).where("rn <> want").isEmpty()
+
+
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.7, 0.85, 1.0])
 def test_exact_quantile(skewed, q):
     got = {r.k: r.quantile for r in exact_quantile(skewed, ["k"], "v", q, F.floor(F.col("v") / 50)).collect()}
