@@ -11,11 +11,27 @@ from .registry import query
 c = F.col
 
 
-@query("incremental_refresh", "SELECT DISTINCT user_id AS key, sha256(props) AS sha256, CASE event_type WHEN 'error' THEN 'v2' ELSE 'v1' END AS fingerprint FROM events")
+def _feed(t, base):
+    """Entries of all events in several files; each file repeats some entries of the others."""
+    rows = t.events.select("ts", c("user_id").alias("key"), F.sha2("props", 256).alias("sha256"), F.when(c("event_type") == "error", "v2").otherwise("v1").alias("fingerprint"),
+                           F.explode(F.array_distinct(F.array((c("event_id") % 4), (c("user_id") % 4)))).alias("file"))
+    rows.repartition(4, "file").drop("file").write.parquet(base + "/feed")
+    return t.spark.readStream.schema("ts timestamp, key bigint, sha256 string, fingerprint string").option("maxFilesPerTrigger", 1).parquet(base + "/feed")
+
+
+ENTRIES = "SELECT DISTINCT user_id AS key, sha256(props) AS sha256, CASE event_type WHEN 'error' THEN 'v2' ELSE 'v1' END AS fingerprint FROM events"
+
+
+@query("incremental_refresh", ENTRIES)
+def _(t):
+    base = f"{checkpoint_folder(t.spark)}/refresh-{uuid.uuid4().hex}"
+    refresh.incremental_refresh(_feed(t, base).select(*refresh.KEYS), base + "/state", base + "/progress")
+    return refresh.read_state(t.spark, base + "/state").select(*refresh.KEYS)
+
+
+@query("fresh_stream", ENTRIES)
 def _(t):
-    spark = t.spark
-    base = f"{checkpoint_folder(spark)}/refresh-{uuid.uuid4().hex}"
-    stream = (spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(t.folder)
-              .select(c("user_id").alias("key"), F.sha2("props", 256).alias("sha256"), F.when(c("event_type") == "error", "v2").otherwise("v1").alias("fingerprint")))
-    refresh.incremental_refresh(stream, base + "/state", base + "/progress")
-    return refresh.read_state(spark, base + "/state").select(*refresh.KEYS)
+    base = f"{checkpoint_folder(t.spark)}/fresh-{uuid.uuid4().hex}"
+    out = refresh.fresh_stream(_feed(t, base), "ts", "3650 days").select(*refresh.KEYS)
+    out.writeStream.format("parquet").option("checkpointLocation", base + "/progress").trigger(availableNow=True).start(base + "/out").awaitTermination()
+    return t.spark.read.schema("key bigint, sha256 string, fingerprint string").parquet(base + "/out")
