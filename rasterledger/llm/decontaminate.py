@@ -33,20 +33,17 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, raw_bytes, texts
 from .edits import prefix_distances
-from .hashing import mix, span_hashes, word_spans
+from .hashing import PUNCTUATION, mix, span_hashes, word_spans
 
 REPEATS, SAMPLES, SHARE, LEAST_WORDS, BLOCK_ITEMS = 8, 4, 0.15, 5, 5000
 _TABLE = 1 << 16
-#: All ASCII bytes but letters and digits part words.
-GAP = np.ones(256, bool)
-GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 MATCHES = "id long, item_id long, start_word long, edit_distance int, item_words int"
 
 
 def sequences(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of all texts, each text closed by a 0, and the n+1 bounds (a text's 0 is its last)."""
     body, offsets = raw_bytes(pc.utf8_lower(texts(array)))
-    starts, ends, bounds = word_spans(body, offsets, GAP)
+    starts, ends, bounds = word_spans(body, offsets, PUNCTUATION)
     n, sizes = len(bounds) - 1, np.diff(bounds)
     out = np.zeros(len(starts) + n, np.uint64)
     out[np.arange(len(starts)) + np.repeat(np.arange(n), sizes)] = span_hashes(body, starts, ends)

@@ -14,17 +14,21 @@ _RNG = np.random.Generator(np.random.PCG64(20240917))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PLACE = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = np.ones(1, np.uint64)
+#: All ASCII bytes but letters and digits.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_powers: dict[int, np.ndarray] = {}
 
 
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
+def powers(n: int, base: int = int(_BASE)) -> np.ndarray:
+    """``base`` to the powers from 0 on, at least ``n`` of them."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
         out = np.empty(max(n, 4096), np.uint64)
         out[0] = 1
-        np.multiply.accumulate(np.full(len(out) - 1, _BASE), out=out[1:])
-        _powers = out
-    return _powers
+        np.multiply.accumulate(np.full(len(out) - 1, base, np.uint64), out=out[1:])
+        held = _powers[base] = out
+    return held
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -60,7 +64,7 @@ def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths
     place = np.arange(total) - np.repeat(first, lengths)
-    values = _BYTE[body[place + np.repeat(starts, lengths)]] * _powers_to(int(lengths.max()))[place]
+    values = _BYTE[body[place + np.repeat(starts, lengths)]] * powers(int(lengths.max()))[place]
     return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
 
 
