@@ -43,6 +43,8 @@ def palette_profiles(t):
         "id", (i % 2 == 0).alias("dark"), F.when(i % 4 == 0, "zz").otherwise(F.concat(F.lit("#"), "hex_a")).alias("bg"), c("hex_b").alias("panelBorder"),
         F.when(i % 5 == 0, none).otherwise(c("hex_a")).alias("ink"), none.alias("gold"), F.when(i % 3 == 0, c("hex_b")).alias("orange"), c("hex_a").alias("warnColor"),
         F.lit("nope").alias("info"), none.alias("teal"), c("hex_b").alias("blue"), none.alias("danger"), none.alias("dangerColor"), none.alias("badgeColor"), c("hex_a").alias("navy"),
+        F.when(i % 7 == 0, c("hex_a")).alias("inkMuted"), F.when(i % 2 == 1, c("hex_b")).alias("ok"), F.when(i % 3 == 1, c("hex_a")).alias("stepNumberColor"),
+        F.when(i % 5 == 2, c("hex_b")).alias("warnBadge"), F.when(i % 4 == 1, c("hex_b")).alias("eyebrowColor"),
         F.when(i % 3 == 0, F.concat(F.lit("rgba("), (i % 256).cast("string"), F.lit(", "), (i * 7 % 256).cast("string"), F.lit(", 30, 0."), (i % 10).cast("string"), F.lit(")")))
         .when(i % 3 == 1, F.concat(F.lit("#"), "hex_b")).alias("panelFill"))
 
@@ -60,12 +62,17 @@ D = vocab.PALETTE
 
 @query("resolve_palette", f"""
 WITH p AS (SELECT id, id % 2 = 0 AS dark, CASE WHEN id % 4 = 0 THEN '{D['bg']}' ELSE upper(hex_a) END AS bg, upper(hex_b) AS line, CASE WHEN id % 5 = 0 THEN '{D['white']}' ELSE upper(hex_a) END AS white,
-   CASE WHEN id % 3 = 0 THEN upper(hex_b) ELSE upper(hex_a) END AS gold, upper(hex_b) AS cyan, '{D['red']}' AS red, upper(hex_a) AS badge, upper(hex_b) AS hb FROM fx_profiles),
+   CASE WHEN id % 3 = 0 THEN upper(hex_b) ELSE upper(hex_a) END AS gold, upper(hex_b) AS cyan, '{D['red']}' AS red, upper(hex_a) AS badge, upper(hex_b) AS hb,
+   CASE WHEN id % 7 = 0 THEN upper(hex_a) ELSE '{D['sub']}' END AS sub, CASE WHEN id % 2 = 1 THEN upper(hex_b) ELSE '{D['green']}' END AS green, CASE WHEN id % 3 = 0 THEN upper(hex_b) ELSE '{D['orange']}' END AS orange,
+   upper(hex_b) AS steel, CASE WHEN id % 5 = 2 THEN upper(hex_b) ELSE '{D['badgeRed']}' END AS "badgeRed", CASE WHEN id % 3 = 1 THEN upper(hex_a) ELSE '{D['chevOn']}' END AS "chevOn", CASE WHEN id % 4 = 1 THEN upper(hex_b) END AS eb FROM fx_profiles),
 q AS (SELECT *, printf('%02X%02XXX', (id % 256)::INT, (id*7 % 256)::INT) AS f0, (id % 10)::DOUBLE/10 AS al FROM p),
 r AS (SELECT *, CASE WHEN id % 3 = 0 THEN substr(f0, 1, 4) || '1E' END AS css FROM q),
-s AS (SELECT id, dark, bg, line, white, gold, cyan, red, badge, CASE id % 3 WHEN 0 THEN {_mix('bg', 'css', 'al')} WHEN 1 THEN hb ELSE '{D['panel']}' END AS panel FROM r)
-SELECT id, bg, line, white, gold, cyan, red, badge, panel, CASE WHEN dark THEN {_mix('panel', "'FFFFFF'", 0.06)} ELSE {_mix('panel', "'000000'", 0.04)} END AS panelHi, {_mix('line', "'FFFFFF'", 0.12)} AS lineHi,
-  {_mix('gold', "'000000'", 0.14)} AS goldDim, CASE WHEN dark THEN {_mix('bg', 'panel', 0.55)} ELSE {_mix('bg', 'line', 0.10)} END AS chevOff, {_mix('white', 'cyan', 0.35)} AS eyebrow,
+s AS (SELECT id, dark, bg, line, white, gold, cyan, red, badge, sub, green, orange, steel, "badgeRed", "chevOn", eb, CASE id % 3 WHEN 0 THEN {_mix('bg', 'css', 'al')} WHEN 1 THEN hb ELSE '{D['panel']}' END AS panel FROM r)
+SELECT id, bg, line, white, gold, cyan, red, badge, sub, green, orange, steel, "badgeRed", "chevOn", line AS "chevLine",
+  CASE WHEN dark THEN {_mix('cyan', "'000000'", 0.55)} ELSE {_mix('cyan', "'FFFFFF'", 0.85)} END AS "leadFill", CASE WHEN dark THEN {_mix('gold', "'000000'", 0.70)} ELSE {_mix('gold', "'FFFFFF'", 0.82)} END AS "chevGoldFill",
+  CASE WHEN dark THEN {_mix('red', "'000000'", 0.74)} ELSE {_mix('red', "'FFFFFF'", 0.86)} END AS "chevDangerFill", CASE WHEN dark THEN {_mix('white', 'cyan', 0.15)} ELSE white END AS "chevTextOn",
+  panel, CASE WHEN dark THEN {_mix('panel', "'FFFFFF'", 0.06)} ELSE {_mix('panel', "'000000'", 0.04)} END AS panelHi, {_mix('line', "'FFFFFF'", 0.12)} AS lineHi,
+  {_mix('gold', "'000000'", 0.14)} AS goldDim, CASE WHEN dark THEN {_mix('bg', 'panel', 0.55)} ELSE {_mix('bg', 'line', 0.10)} END AS chevOff, coalesce(eb, {_mix('white', 'cyan', 0.35)}) AS eyebrow,
   CASE WHEN dark THEN {_mix('badge', "'000000'", 0.55)} ELSE {_mix('badge', "'FFFFFF'", 0.85)} END AS tagFill, CASE WHEN dark THEN {_mix('gold', "'000000'", 0.78)} ELSE {_mix('gold', "'FFFFFF'", 0.86)} END AS bannerFill,
   CASE WHEN dark THEN {_mix('bg', 'line', 0.5)} ELSE line END AS rline FROM s""", "fx_profiles")
 def _(t):

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..vocab import CSS_COLOUR, HEX_COLOUR
 from .columns import clamp, half_up
 
-HEX = "^#?[0-9A-Fa-f]{6}$"
-RGBA = r"(?i)^rgba?\(\s*([\d.]+)\s*,\s*([\d.]+)\s*,\s*([\d.]+)\s*(?:,\s*([\d.]+)\s*)?\)$"
-
-
 def strip_hex(value: Column) -> Column:
     return F.upper(F.regexp_replace(F.trim(value), "^#", ""))
 
 
 def pick(*values: Column) -> Column:
     """First usable hex value."""
-    return F.coalesce(*[F.when(F.trim(v).rlike(HEX), strip_hex(v)) for v in values])
+    return F.coalesce(*[F.when(F.trim(v).rlike(HEX_COLOUR), strip_hex(v)) for v in values])
 
 
 def channels(hex_: Column) -> list[Column]:
@@ -43,8 +40,8 @@ def darken(h: Column, t) -> Column:
 
 def solid_over(fill: Column, background: Column) -> Column:
     """A fill (hex or rgb/rgba) laid over a solid background; null if unreadable."""
-    css = [F.regexp_extract(fill, RGBA, i) for i in range(1, 5)]
-    is_css = fill.rlike(RGBA)
+    css = [F.regexp_extract(fill, CSS_COLOUR, i) for i in range(1, 5)]
+    is_css = fill.rlike(CSS_COLOUR)
     base = F.when(is_css, to_hex([v.try_cast("double") for v in css[:3]])).otherwise(pick(fill))
     alpha = F.when(is_css & (css[3] != ""), css[3].try_cast("double")).otherwise(1.0)
     return F.when(alpha >= 0.999, base).otherwise(mix(background, base, alpha))

@@ -85,22 +85,29 @@ def resolve_palette(profiles: DataFrame) -> DataFrame:
         "id", "dark", role("bg", "bg").alias("bg"), role("line", "panelBorder").alias("line"), role("white", "ink").alias("white"),
         role("gold", "gold", "orange", "warnColor").alias("gold"), role("cyan", "info", "teal", "blue").alias("cyan"),
         role("red", "danger", "dangerColor").alias("red"), role("badge", "badgeColor", "info", "navy", "blue").alias("badge"),
-        F.coalesce("panelFill", F.lit("#" + d["panel"])).alias("_fill"))
+        role("sub", "inkMuted").alias("sub"), role("green", "ok").alias("green"), role("orange", "orange", "gold").alias("orange"),
+        role("steel", "blue", "info", "inkMuted").alias("steel"), role("badgeRed", "warnBadge", "danger").alias("badgeRed"),
+        role("chevOn", "stepNumberColor", "badgeColor", "info").alias("chevOn"), role("line", "panelBorder").alias("chevLine"),
+        pick(c("eyebrowColor")).alias("_eyebrow"), F.coalesce("panelFill", F.lit("#" + d["panel"])).alias("_fill"))
     rows = rows.withColumn("panel", F.coalesce(solid_over(c("_fill"), c("bg")), F.lit(d["panel"]))).drop("_fill")
     dark = c("dark")
     return rows.select(
         "*", F.when(dark, lighten(c("panel"), 0.06)).otherwise(darken(c("panel"), 0.04)).alias("panelHi"),
         lighten(c("line"), 0.12).alias("lineHi"), darken(c("gold"), 0.14).alias("goldDim"),
         F.when(dark, mix(c("bg"), c("panel"), 0.55)).otherwise(mix(c("bg"), c("line"), 0.10)).alias("chevOff"),
-        mix(c("white"), c("cyan"), 0.35).alias("eyebrow"),
+        F.coalesce("_eyebrow", mix(c("white"), c("cyan"), 0.35)).alias("eyebrow"),
+        F.when(dark, darken(c("cyan"), 0.55)).otherwise(lighten(c("cyan"), 0.85)).alias("leadFill"),
+        F.when(dark, darken(c("gold"), 0.70)).otherwise(lighten(c("gold"), 0.82)).alias("chevGoldFill"),
+        F.when(dark, darken(c("red"), 0.74)).otherwise(lighten(c("red"), 0.86)).alias("chevDangerFill"),
+        F.when(dark, mix(c("white"), c("cyan"), 0.15)).otherwise(c("white")).alias("chevTextOn"),
         F.when(dark, darken(c("badge"), 0.55)).otherwise(lighten(c("badge"), 0.85)).alias("tagFill"),
         F.when(dark, darken(c("gold"), 0.78)).otherwise(lighten(c("gold"), 0.86)).alias("bannerFill"),
-        F.when(dark, mix(c("bg"), c("line"), 0.5)).otherwise(c("line")).alias("rline")).drop("dark")
+        F.when(dark, mix(c("bg"), c("line"), 0.5)).otherwise(c("line")).alias("rline")).drop("dark", "_eyebrow")
 
 
 def strip_comments(text: Column) -> Column:
-    no_blocks = F.regexp_replace(text, r"/\*[\s\S]*?\*/", "")
-    return F.regexp_replace(no_blocks, r"(?m)(^|[^:])//.*$", "$1")
+    no_blocks = F.regexp_replace(text, vocab.BLOCK_COMMENT, "")
+    return F.regexp_replace(no_blocks, vocab.LINE_COMMENT, "$1")
 
 
 def scan_rules(files: DataFrame, patterns=vocab.FORBIDDEN_PATTERNS, tokens=vocab.BACKEND_TOKENS) -> DataFrame:

@@ -164,6 +164,12 @@ PALETTE = {
     "green": "3FB950", "chevOn": "1E6FB0", "orange": "E08A3C", "steel": "7FB6E6",
 }
 
+# What counts as a colour text, and as a comment of a source file.
+HEX_COLOUR = "^#?[0-9A-Fa-f]{6}$"
+CSS_COLOUR = r"(?i)^rgba?\(\s*([\d.]+)\s*,\s*([\d.]+)\s*,\s*([\d.]+)\s*(?:,\s*([\d.]+)\s*)?\)$"
+BLOCK_COMMENT = r"/\*[\s\S]*?\*/"
+LINE_COMMENT = r"(?m)(^|[^:])//.*$"
+
 # Patterns of the token scan (label, pattern).
 FORBIDDEN_PATTERNS = [
     ("new pptxgen(", r"(?i)new\s+pptxgen\s*\("),
