@@ -244,9 +244,10 @@ def trace_slides(traces: DataFrame, column: str = "trace") -> DataFrame:
     The known paths are read by built-in JSON functions; only documents without a
     hit go through Python.
     """
-    raws = F.array_compact(F.array(*[F.get_json_object(c(column), "$." + p) for p in TRACE_PATHS]))
+    parsed = traces.select("id", column, F.try_parse_json(c(column)).alias("_v"))  # one parse for all paths
+    raws = F.array_compact(F.array(*[F.try_variant_get("_v", "$." + p, "string") for p in TRACE_PATHS]))
     direct = F.get(F.filter(F.transform(raws, lambda r: trace_value(r)), lambda ids: F.coalesce(F.size(ids), F.lit(0)) > 0), 0)
-    rows = traces.select("id", column, direct.alias("ids"))
+    rows = parsed.select("id", column, direct.alias("ids"))
     hit = rows.select("id", F.posexplode("ids").alias("place", "slide"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
