@@ -40,7 +40,7 @@ def _(t):
 MINIMUMS = {"text": 8.0, "editable": 12.0, "textLength": 80.0}
 
 
-@query("reconcile_claims", """
+CLAIMS_SQL = """
 WITH a AS (SELECT l_orderkey AS slide, count(*)::DOUBLE AS n, sum(l_quantity) AS q, (sum(l_partkey % 100))::DOUBLE / 1000 AS r FROM lineitem GROUP BY 1),
 m AS (SELECT slide, 'text' AS metric, n + CASE slide % 4 WHEN 0 THEN 1 ELSE 0 END AS claimed, n AS actual FROM a
   UNION ALL SELECT slide, 'editable', n*3 - 1, n*3 FROM a UNION ALL SELECT slide, 'textLength', q, q FROM a
@@ -48,8 +48,11 @@ m AS (SELECT slide, 'text' AS metric, n + CASE slide % 4 WHEN 0 THEN 1 ELSE 0 EN
 v AS (SELECT *, CASE metric WHEN 'text' THEN 8 WHEN 'editable' THEN 12 WHEN 'textLength' THEN 80 END AS low FROM m)
 SELECT slide, metric, round(claimed, 6) AS claimed, round(actual, 6) AS actual, 'claim_exceeds_actual' AS rule FROM v WHERE NOT metric LIKE '%Ratio' AND claimed > actual
 UNION ALL SELECT slide, metric, round(claimed, 6), round(actual, 6), 'ratio_disagrees' FROM v WHERE metric LIKE '%Ratio' AND abs(claimed - actual) > 0.02::DOUBLE
-UNION ALL SELECT slide, metric, round(claimed, 6), round(actual, 6), 'below_minimum' FROM v WHERE actual < low AND slide NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
-def _(t):
+UNION ALL SELECT slide, metric, round(claimed, 6), round(actual, 6), 'below_minimum' FROM v WHERE actual < low AND slide NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
+
+
+@query("reconcile_claims", CLAIMS_SQL)
+def claims(t):
     a = t.lineitem.groupBy(c("l_orderkey").alias("slide")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("l_quantity").alias("q"), (F.sum(c("l_partkey") % 100) / 1000).alias("r"))
 
@@ -63,12 +66,15 @@ def _(t):
     return rounded(ev.reconcile(claims, actuals, excused, MINIMUMS), "claimed", "actual")
 
 
-@query("verify_hashes", """
+HASHES_SQL = """
 WITH e AS (SELECT slide//3 AS slide, path || '#' || slide AS path, CASE WHEN slide % 11 = 0 THEN sha256(content || '!') WHEN slide % 19 = 0 THEN NULL ELSE sha256(content) END AS x,
    CASE WHEN present THEN sha256(content) END AS a FROM fx_artifacts)
 SELECT slide, count(x) AS checked, count(*) FILTER (a = x) AS matched, count(*) FILTER (x IS NOT NULL AND a IS NULL) AS missing,
-  count(x) > 0 AND count(x) = count(*) FILTER (a = x) AND count(*) FILTER (x IS NOT NULL AND a IS NULL) = 0 AS hashes_valid FROM e GROUP BY slide""", "fx_artifacts")
-def _(t):
+  count(x) > 0 AND count(x) = count(*) FILTER (a = x) AND count(*) FILTER (x IS NOT NULL AND a IS NULL) = 0 AS hashes_valid FROM e GROUP BY slide"""
+
+
+@query("verify_hashes", HASHES_SQL, "fx_artifacts")
+def hashes(t):
     a = t.fx_artifacts.withColumn("path", F.concat("path", F.lit("#"), c("slide").cast("string")))
     expected = a.select(F.floor(c("slide") / 3).alias("slide"), "path", F.when(c("slide") % 11 == 0, F.sha2(F.concat("content", F.lit("!")), 256))
                         .when(c("slide") % 19 == 0, F.lit(None).cast("string")).otherwise(F.sha2("content", 256)).alias("expected_sha"))

@@ -6,7 +6,7 @@ from .. import vocab
 from ..operators import evidence as ev
 from ..operators import gates as gt
 from ..operators import texts as tx
-from .evidence import COVERAGE_SQL
+from .evidence import CLAIMS_SQL, COVERAGE_SQL, HASHES_SQL, claims, hashes
 from .registry import query, sql_list
 from .texts import EXC, FIX_CTE, LINT_CTE, crops_with_exceptions, fix_texts
 
@@ -66,12 +66,15 @@ def _(t):
     return gt.gate_crop_manifest(t.fx_crops, 900, 700).select(*COLS)
 
 
-@query("gate_crop_budget", f"WITH cv AS ({COVERAGE_SQL}), {EXC}, il AS (SELECT DISTINCT o_orderkey AS slide FROM orders WHERE o_orderpriority = '2-HIGH')\n"
-       + violations("crop_budget", "cv", "slide", [("largest_ratio > 0.35", "largest_over_budget", E), ("total_ratio > 0.45 AND slide NOT IN (SELECT slide FROM il)", "total_over_budget", E),
-                                                   ("text_ratio > 0.10", "text_over_budget", E), ("dense_ratio > 0.25", "dense_over_budget", E)]) + "\nUNION ALL "
-       + violations("crop_budget", "ex", "name", [("reconstruction_reason IS NULL OR editable_replacement IS NULL", "incomplete_metadata", E),
-                                                  (f"content_type IN ({TEXTUAL}) AND NOT excused", "textual_without_exception", E)]), "fx_crops")
-def _(t):
+BUDGET_SQL = (f"WITH cv AS ({COVERAGE_SQL}), {EXC}, il AS (SELECT DISTINCT o_orderkey AS slide FROM orders WHERE o_orderpriority = '2-HIGH')\n"
+              + violations("crop_budget", "cv", "slide", [("largest_ratio > 0.35", "largest_over_budget", E), ("total_ratio > 0.45 AND slide NOT IN (SELECT slide FROM il)", "total_over_budget", E),
+                                                      ("text_ratio > 0.10", "text_over_budget", E), ("dense_ratio > 0.25", "dense_over_budget", E)]) + "\nUNION ALL "
+              + violations("crop_budget", "ex", "name", [("reconstruction_reason IS NULL OR editable_replacement IS NULL", "incomplete_metadata", E),
+                                                  (f"content_type IN ({TEXTUAL}) AND NOT excused", "textual_without_exception", E)]))
+
+
+@query("gate_crop_budget", BUDGET_SQL, "fx_crops")
+def crop_budget(t):
     led = t.orders.where("o_orderpriority = '2-HIGH'").select(c("o_orderkey").alias("slide")).distinct()
     return gt.gate_crop_budget(ev.crop_coverage(t.fx_crops), tx.textual_crop_excused(crops_with_exceptions(t)), led).select(*COLS)
 
@@ -161,18 +164,22 @@ HELD = ["baked_crop_regions.json"] + vocab.RECONSTRUCTION_ARTIFACTS
 @query("gate_quality_mode", f"""WITH q AS (SELECT o_orderkey AS slide, {QUALITY} AS quality FROM orders), h AS (SELECT [{sql_list(HELD)}] AS ks),
 p AS (SELECT DISTINCT l_orderkey AS slide, ks[(l_linenumber*5 + l_partkey) % {len(HELD)} + 1] AS kind FROM lineitem, h), r AS (SELECT [{sql_list(vocab.RECONSTRUCTION_ARTIFACTS)}] AS ks),
 g AS (SELECT slide, kind AS id FROM (SELECT slide, unnest(ks) AS kind FROM q, r WHERE quality = 'reconstruction') e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.slide = e.slide AND p.kind = e.kind)),
-rc AS ({RECEIPT_SQL}), qa AS ({QA_SQL})
+rc AS ({RECEIPT_SQL}), qa AS ({QA_SQL}), bu AS ({BUDGET_SQL}), cm AS ({CLAIMS_SQL}), hs AS ({HASHES_SQL})
 """ + violations("quality_mode", "q", "slide", [
     ("quality = 'canary' AND NOT EXISTS (SELECT 1 FROM p WHERE p.slide = q.slide)", "no_artifacts", "warning"),
     ("quality = 'preservation' AND NOT EXISTS (SELECT 1 FROM p WHERE p.slide = q.slide AND kind = 'baked_crop_regions.json')", "missing_crop_disclosure", E),
     ("quality = 'preservation' AND NOT EXISTS (SELECT 1 FROM p WHERE p.slide = q.slide AND kind = 'editability_inventory.md')", "missing_inventory_disclosure", E),
     ("quality = 'draft'", "invalid_quality", E)]) + """
 UNION ALL SELECT 'quality_mode', slide, id, 'missing_artifact', 'error' FROM g
-UNION ALL SELECT 'quality_mode', v.slide, id, gate || '_' || rule, 'error' FROM (SELECT * FROM rc UNION ALL SELECT * FROM qa) v JOIN q ON q.slide = v.slide WHERE quality = 'reconstruction'""", "fx_qa fx_receipts")
+UNION ALL SELECT 'quality_mode', v.slide, id, gate || '_' || rule, 'error' FROM (SELECT gate, slide, id, rule, level FROM rc UNION ALL SELECT gate, slide, id, rule, level FROM qa UNION ALL SELECT gate, slide, id, rule, level FROM bu
+  UNION ALL SELECT 'claims', slide, metric, rule, 'error' FROM cm UNION ALL SELECT 'hashes', slide, CAST(slide AS VARCHAR), 'hashes_invalid', 'error' FROM hs WHERE NOT hashes_valid) v
+  JOIN q ON q.slide = v.slide WHERE quality = 'reconstruction' AND level = 'error'""", "fx_qa fx_receipts fx_crops fx_artifacts")
 def _(t):
     slides = t.orders.select(c("o_orderkey").alias("slide"), F.expr(QUALITY).alias("quality"))
     present = t.lineitem.select(c("l_orderkey").alias("slide"), F.get(F.array(*map(F.lit, HELD)), ((c("l_linenumber") * 5 + c("l_partkey")) % len(HELD)).cast("int")).alias("kind"))
-    return gt.gate_quality_mode(slides, present, [gt.gate_receipts(receipts(t)), gt.gate_qa_result(qa_results(t))]).select(*COLS)
+    counted = gt.relabel(claims(t), "claims", c("rule"), "error", "metric")
+    hashed = gt.relabel(hashes(t).where("NOT hashes_valid"), "hashes", "hashes_invalid", "error", "slide")
+    return gt.gate_quality_mode(slides, present, [gt.gate_receipts(receipts(t)), gt.gate_qa_result(qa_results(t)), crop_budget(t), counted, hashed]).select(*COLS)
 
 
 @query("gate_orchestration", """WITH s AS (SELECT deck, count(*) FILTER (status = 'fail' OR severity = 'blocking' OR blocking > 0) AS b, count(*) FILTER (status = 'needs_polish') AS n, count(*) FILTER (slide <= 0) AS z FROM fx_deck_slides GROUP BY deck),
