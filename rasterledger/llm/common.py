@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
+#: What gives back memory that a Python worker keeps for other work; called where that work is over.
+RELEASE: list[Callable[[], None]] = []
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +53,8 @@ def byte_lengths(array: pa.Array) -> np.ndarray:
 
 def raw_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in a row and the n+1 offsets between them; ``array`` holds no null."""
+    for release in RELEASE:
+        release()
     wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)
     _, offsets, data = array.buffers()
     if len(array) == 0 or offsets is None:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, saved, texts
-from .tokens import encoder
+from .tokens import ENCODED_BYTES, encoder
 
 PIECES = "id long, piece int, start long, length int, ids_crc32 long"
 PLACED = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -37,7 +37,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, False)
         for batch in batches:
-            for part in by_bytes(batch):
+            for part in by_bytes(batch, limit=ENCODED_BYTES):
                 ids, bounds = enc.encode(texts(part.column("text")).to_pylist())
                 sizes = np.diff(bounds) + 1
                 tail = np.array([end_id], "<u4").tobytes()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, byte_lengths, texts
-from .tokens import encoder
+from .tokens import ENCODED_BYTES, encoder
 
 SCHEMA = "id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -27,7 +27,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_column: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, True)
         for batch in batches:
-            for part in by_bytes(batch):
+            for part in by_bytes(batch, limit=ENCODED_BYTES):
                 body = texts(part.column("text"))
                 tokens = enc.counts(body.to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(byte_lengths(body)), pa.array(tokens, pa.int64()), pa.array(np.asarray(tokens > limit))], names=["id", "n_bytes", "n_tokens", "over_limit"])

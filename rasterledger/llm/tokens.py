@@ -14,6 +14,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import RELEASE
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Fixed: Unicode white space without the separators that only some libraries count as such.
@@ -22,6 +24,10 @@ ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 LEADING = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
+#: Bytes of text encoded at once: the larger, the fewer pieces are met again.
+ENCODED_BYTES = 2 << 20
+
+
 class Encoder:
     """``keep_space``: white space belongs to the piece that follows it; else the tokenizer drops it.
 
@@ -99,6 +105,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
+RELEASE.append(_encoders.clear)  # work on bytes never runs together with encoding
 
 
 def encoder(path: str, keep_space: bool) -> Encoder:
