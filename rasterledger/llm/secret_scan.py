@@ -4,10 +4,11 @@ The fixed patterns give the base spans. Their matches are also the labelled
 credentials (label: the pattern's kind). For each kind the labelled strings form a
 prefix tree; states whose outgoing and final frequencies are compatible by a Hoeffding
 bound are merged, children included (red states are kept, blue ones merged or
-promoted), which leaves a deterministic probabilistic automaton. Every run of 16 or
-more credential characters with a digit, outside the base spans, is then scored by its
-likelihood per character against single characters of the same classes; what scores
-like the labelled strings is added as a span of kind ``format``.
+promoted), which leaves a deterministic probabilistic automaton. What the base spans
+leave of every run of credential characters is then scored by its likelihood per
+character against single characters of the same classes, and if it is not accepted,
+each of its parts between ``=``; only what is shorter than all labelled strings is
+not. What scores like the labelled strings is added as a span of kind ``format``.
 
 At most ``per_kind`` labelled strings of up to ``longest`` characters train an automaton,
 chosen by a hash of id and place; that is the only bounded sample. All candidates of
@@ -41,7 +42,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: A part of a run, with its padding at the end of the run.
+PART = re.compile(r"[^=]+(?:=+$)?")
 FORMAT = "format"
 
 
@@ -53,7 +56,6 @@ def _mask(characters: bytes) -> np.ndarray:
 
 _DIGITS, _LOWER, _UPPER = b"0123456789", bytes(range(97, 123)), bytes(range(65, 91))
 _HEX, _CAPS, _TOKEN = _mask(_DIGITS + b"abcdef"), _mask(_DIGITS + _UPPER), _mask(_DIGITS + _LOWER + _UPPER + b"+/_.=-")
-_IS_DIGIT = _mask(_DIGITS)
 #: Character classes: digits, letters of hexadecimal numbers, other letters, by case; anything else stands for itself.
 CLASS = {**{chr(c): "9" for c in _DIGITS}, **{chr(c): "a" if c < 103 else "z" for c in _LOWER}, **{chr(c): "A" if c < 71 else "Z" for c in _UPPER}}
 
@@ -87,7 +89,9 @@ class Automaton:
         self.final, self.seen = [0], [0]
         for s in strings:
             self._grow([CLASS.get(c, c) for c in s])
-        self._merge_states()
+        # over fewer strings the bound is above 1 and tells no two states apart, so the tree stays as it is
+        if 2 * self.bound <= math.sqrt(len(strings)):
+            self._merge_states()
 
     def _grow(self, symbols: list[str]) -> None:
         state = 0
@@ -173,8 +177,10 @@ class Formats:
     """Automata of all kinds with the least score of their own labelled strings."""
 
     def __init__(self, labelled: dict[int, list[str]], least_share: float = 0.02):
-        self.automata = {kind: Automaton(strings) for kind, strings in sorted(labelled.items()) if len(strings) >= 8}
+        self.automata = {kind: Automaton(strings) for kind, strings in sorted(labelled.items()) if strings}
         self.least = {kind: float(np.quantile([self.score(kind, s) for s in labelled[kind]], least_share)) for kind in self.automata}
+        #: The length of the shortest labelled string; 0 without any.
+        self.shortest = min((len(s) for strings in labelled.values() for s in strings), default=0)
 
     def score(self, kind: int, text: str) -> float:
         """Likelihood per character, against one class in eight by chance."""
@@ -192,8 +198,8 @@ def _runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray
     return starts[keep], ends[keep]
 
 
-def _suspects(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Which texts may hold a base span, and which a candidate."""
+def _suspects(array: pa.Array, shortest: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts may hold a base span, and which a candidate of at least ``shortest`` characters (0: none)."""
     body, offsets = raw_bytes(array)
     n = len(offsets) - 1
     base, candidate = np.zeros(n, bool), np.zeros(n, bool)
@@ -205,10 +211,8 @@ def _suspects(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     mark(base, *_runs(_HEX[body], offsets, LEAST["hex"]))
     mark(base, *_runs(_CAPS[body], offsets, LEAST["access"]))
-    starts, ends = _runs(_TOKEN[body], offsets, 16)
-    digits = np.concatenate([[0], np.cumsum(_IS_DIGIT[body])])
-    keep = digits[ends] > digits[starts]
-    mark(candidate, starts[keep], ends[keep])
+    if shortest:
+        mark(candidate, *_runs(_TOKEN[body], offsets, shortest))
     lowered = body.tobytes().lower()
     for word in KEYWORDS:
         at = lowered.find(word)
@@ -247,6 +251,16 @@ def labelled_strings(docs: DataFrame, per_kind: int = 200, longest: int = 128, i
     return out
 
 
+def _accepted(text: str, start: int, end: int, formats: Formats) -> list[tuple[int, int]]:
+    """The piece of a run if it scores like a labelled string, or else its parts that do."""
+    if end - start < formats.shortest:
+        return []
+    if formats.accepts(text[start:end]):
+        return [(start, end)]
+    spans = [m.span() for m in PART.finditer(text, start, end)]
+    return [(s, e) for s, e in spans if e - s >= formats.shortest and (s, e) != (start, end) and formats.accepts(text[s:e])]
+
+
 def scan_text(text: str, formats: Formats) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans."""
     base = base_spans(text)
@@ -258,11 +272,15 @@ def scan_text(text: str, formats: Formats) -> tuple[list[tuple[int, int, int]],
             taken.append([s, e])
     more, at = [], 0
     for m in CANDIDATE.finditer(text) if formats.automata else ():
-        while at < len(taken) and taken[at][1] <= m.start():
+        start = m.start()
+        while at < len(taken) and taken[at][0] < m.end():
+            more += _accepted(text, start, taken[at][0], formats)
+            start = max(start, taken[at][1])
+            if taken[at][1] > m.end():
+                break
             at += 1
-        if (at == len(taken) or taken[at][0] >= m.end()) and any(c.isdigit() for c in m[0]) and formats.accepts(m[0]):
-            more.append((m.start(), len(KINDS), m.end()))
-    return base, sorted(base + more)
+        more += _accepted(text, start, m.end(), formats)
+    return base, sorted(base + [(s, len(KINDS), e) for s, e in more])
 
 
 def scan(docs: DataFrame, formats: Formats, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -275,7 +293,7 @@ def scan(docs: DataFrame, formats: Formats, id_column: str = "doc_id", text_colu
         for batch in batches:
             for part in by_bytes(batch):
                 body = texts(part.column("text"))
-                base, candidate = _suspects(body)
+                base, candidate = _suspects(body, formats.shortest)
                 n = len(body)
                 counts, digests, spans = np.zeros((4, n), np.int64), [nothing] * n, [""] * n
                 for i in np.flatnonzero(base | candidate).tolist():

@@ -49,3 +49,19 @@ def test_probabilities_of_all_strings_sum_to_one():
     a = scan.Automaton(["ab", "ab", "a", "b1"] * 30)
     total = sum(math.exp(a.log_probability(x, 1e-300)) for x in ("", "a", "aa", "aa9", "a9", "9", "aa99", "a99", "aaa", "aaaa", "99"))
     assert 0.9 < total <= 1 + 1e-9
+
+
+def test_parts_short_values_and_remainders_are_scored(docs_of, rng):
+    value = lambda: "".join(rng.choices("0123456789", k=4)) + "-" + "".join(rng.choices("GHJK", k=4))
+    formats = scan.Formats({0: [value() for _ in range(100)]})
+    own = value()
+    found = lambda text: [text[s:e] for s, k, e in scan.scan_text(text, formats)[1] if k == 3]
+    assert found(f"see {own} here") == [own]
+    assert found(f"client_key={own}") == [own]
+    assert found("deadbeef" * 3 + "=" + own) == [own]
+    assert found("client_key=ordinary words=nothing") == []
+    letters = scan.Formats({0: ["".join(rng.choices("GHJK", k=4)) + "-" + "".join(rng.choices("ghjk", k=16)) for _ in range(3)]})
+    assert set(letters.automata) == {0}
+    assert [k for _, k, _ in scan.scan_text("GGHH-gghhjjkkgghhjjkk", letters)[1]] == [3]
+    got = scan.scan(docs_of([f"client_key={own}", "nothing"]), formats).collect()
+    assert sorted((r["id"], r["n_format"]) for r in got) == [(0, 1), (1, 0)]
