@@ -305,14 +305,19 @@ def classify_background(regions: DataFrame) -> DataFrame:
 
 
 def region_padding(regions: DataFrame, min_pad: int = 2, dilate: int = 3, pseudo: int = 2, shadow: int = 5) -> DataFrame:
-    cls, role = F.col("class"), F.lower(F.col("role"))
+    """``base_pad, pad`` of each region. ``style``, ``visual``, ``notes`` and ``effects`` (struct ``shadow, glow``) are read where they are columns."""
+    cls = F.col("class")
+    meta = F.lower(F.concat_ws(" ", *[F.col(x).cast("string") for x in ("role", "style", "visual", "notes") if x in regions.columns]))
+    shadowed = contains_any(meta, vocab.SHADOW_WORDS)
+    if "effects" in regions.columns:
+        shadowed |= F.coalesce(F.col("effects.shadow"), F.lit(False)) | F.coalesce(F.col("effects.glow"), F.lit(False))
     base = F.greatest(F.lit(min_pad), F.coalesce(F.col("padding_px"), F.lit(0)))
     by_class = (F.when(cls == "semantic_text", dilate).when(cls == "micro_text", max(1, min(dilate, 2)))
                 .when(cls.isin(vocab.PSEUDO_CLASSES), pseudo).otherwise(max(dilate, pseudo)))
-    title = contains_any(role, vocab.TITLE_WORDS) | ((F.col("h") >= 34) & (cls == "semantic_text"))
+    title = contains_any(meta, vocab.TITLE_WORDS) | ((F.col("h") >= 34) & (cls == "semantic_text"))
     pad = (base + by_class + F.when(title, max(2, dilate // 2)).otherwise(0)
            + F.when(F.col("confidence") < 0.78, max(2, shadow // 2)).otherwise(0)
-           + F.when(contains_any(role, vocab.SHADOW_WORDS), shadow).otherwise(0))
+           + F.when(shadowed, shadow).otherwise(0))
     return regions.withColumn("base_pad", base.cast("bigint")).withColumn("pad", F.least(pad, F.lit(32)).cast("bigint"))
 
 

@@ -112,7 +112,7 @@ def strip_comments(text: Column) -> Column:
 
 def scan_rules(files: DataFrame, patterns=vocab.FORBIDDEN_PATTERNS, tokens=vocab.BACKEND_TOKENS) -> DataFrame:
     """One row per (file, rule) hit, comments removed. Rules are constants, so the
-    text is read once and nothing is joined."""
+    text is read once and nothing is joined. Fragments take ``vocab.FRAGMENT_PATTERNS`` and no tokens."""
     def hits(text, low):
         found = [F.when(text.rlike(p), F.lit(name)) for name, p in patterns]
         return F.array(*found, *[F.when(F.contains(low, F.lit(t.lower())), F.lit("token " + t)) for t in tokens])

@@ -171,6 +171,17 @@ BLOCK_COMMENT = r"/\*[\s\S]*?\*/"
 LINE_COMMENT = r"(?m)(^|[^:])//.*$"
 
 # Patterns of the token scan (label, pattern).
+#: What a slide fragment must not hold.
+FRAGMENT_PATTERNS = [
+    ("require(", r"require\s*\("),
+    ("module.exports", r"module\.exports"),
+    ("exports.", r"\bexports\."),
+    ("TARGET", r"\bTARGET\b"),
+    ("makePptxSurface", r"\bmakePptxSurface\b"),
+    ("makeHtmlSurface", r"\bmakeHtmlSurface\b"),
+    ("pptx", r"(?i)\bpptx\b"),
+    ("html", r"(?i)\bhtml\b"),
+]
 FORBIDDEN_PATTERNS = [
     ("new pptxgen(", r"(?i)new\s+pptxgen\s*\("),
     ("pptxgenjs", r"(?i)pptxgenjs"),
