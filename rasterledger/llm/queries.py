@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, line_dedup, ngram_join, packing, secret_scan, suffix_tree, token_counts, topk
+from . import bpe_stream, decontaminate, html_text, language, line_dedup, ngram_join, packing, secret_scan, suffix_tree, token_counts, topk
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,10 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+@_query
+def op12_bpe_encoding_and_decoding(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe_stream.decode(bpe_stream.encode(table(spark, folder, "documents"), path), path)
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
