@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, decontaminate, html_text, language, line_dedup, ngram_join, packing, secret_scan, suffix_tree, token_counts, topk
+from . import bpe_stream, collocations, decontaminate, html_text, language, line_dedup, ngram_join, packing, secret_scan, suffix_tree, token_counts, topk
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,42 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+@_query
+def op11_phrase_collocation_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+ORACLES["op11_phrase_collocation_mining"] = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM t
+), w AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, m, unnest([array_to_string(w[i:i+m-1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS m)
+), c AS MATERIALIZED (
+  SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30
+), k AS (
+  SELECT lang, m, phrase, w, a, unnest(range(1, m)) AS k FROM c WHERE m > 1
+), s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, CAST(2000000 * CAST(k.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+  FROM k JOIN c x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ') JOIN c y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k+1:], ' ')
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), i AS (
+  SELECT lang, unnest(flatten([[array_to_string(w[j:j+z-1], ' ') FOR j IN range(1, m - z + 2)] FOR z IN range(2, m)])) AS phrase, a FROM c WHERE m > 2
+), f AS (
+  SELECT b.* FROM b WHERE NOT EXISTS (FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 80 * b.a)
+), n AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), o AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM f
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 @_query
 def op12_bpe_encoding_and_decoding(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
