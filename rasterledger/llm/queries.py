@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, collocations, decontaminate, html_text, language, line_dedup, ngram_join, packing, secret_scan, suffix_tree, token_counts, topk
+from . import bpe_stream, collocations, decontaminate, html_text, language, line_dedup, ngram_join, packing, prefix_trie, secret_scan, suffix_tree, token_counts, topk
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,37 @@ def op12_bpe_encoding_and_decoding(spark: SparkSession, folder: str) -> DataFram
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe_stream.decode(bpe_stream.encode(table(spark, folder, "documents"), path), path)
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@_query
+def op13_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, folder, "conversations")))).drop("turn")
+
+
+ORACLES["op13_conversation_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL
+), o AS MATERIALIZED (
+  SELECT conv_id AS c, list(t ORDER BY turn NULLS FIRST, sha256(strlen(t.role) || ':' || t.role || t.text)) AS l FROM t GROUP BY conv_id
+), h AS MATERIALIZED (
+  SELECT c, l, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(c AS VARCHAR), '')]),
+    lambda z, b: list_reduce(list_prepend(xor(z, b), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))) % 4 AS h FROM o
+), r AS MATERIALIZED (
+  SELECT h.c, list_concat(coalesce(b.l, [])[1:h.h], h.l[h.h+1:]) AS s FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20
+), m AS (
+  SELECT c, s, unnest(range(len(s) + 1)) AS d FROM r
+), n AS MATERIALIZED (
+  SELECT d, sha256(CAST(s[1:d] AS VARCHAR)) AS p, [sha256(CAST(s[1:e] AS VARCHAR)) FOR e IN range(d + 1)] AS up, min(c) AS conv_id, count(*) AS n,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(s[d].text, '[^\x20\x09-\x0D]+')) END AS w,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(s) = d), '')) AS ends
+  FROM m GROUP BY ALL
+), k AS (
+  SELECT up[d] AS p, count(*) AS k FROM n WHERE d > 0 GROUP BY ALL
+), a AS (
+  SELECT n.*, coalesce(k.k, 0) AS k FROM n LEFT JOIN k USING (p)
+), v AS (
+  SELECT p, sum(leaf) AS leaves, sum(own) AS saved FROM (SELECT unnest(up) AS p, CAST(k = 0 AS BIGINT) AS leaf, (n - 1) * w AS own FROM a) GROUP BY p
+)
+SELECT a.conv_id, a.d AS depth, q.conv_id AS parent_conv_id, a.n AS n_convs, a.k AS n_children, CAST(v.leaves AS BIGINT) AS n_leaves, CAST(v.saved AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM a JOIN v USING (p) LEFT JOIN n q ON a.d > 0 AND q.p = a.up[a.d]
+"""
