@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..operators import polygons as pg
 from ..operators import regions as rg
 from ..operators.pixels import luma
 from ..plans import text_layer
@@ -341,3 +342,41 @@ def _(t):
 def _(t):
     bg = t.fx_backgrounds.where("notes <> ''").select("slide", "region_key", "background_type")
     return text_layer.plan_repair(t.fx_regions, bg, "region_key").select("slide", "region_key", "background_type", "repair_method", "repair_status", "residual")
+
+
+POLYGONS_SQL = """WITH rp AS (SELECT slide, id, x, y, w, h, CASE id
+   WHEN 'b0' THEN [{'x': 8.0::DOUBLE*x, 'y': 8.0::DOUBLE*y}, {'x': 8.0::DOUBLE*x+8*w, 'y': 8.0::DOUBLE*y+3}, {'x': 8.0::DOUBLE*x+4*w, 'y': 8.0::DOUBLE*y+4*h}, {'x': 8.0::DOUBLE*x+8*w, 'y': 8.0::DOUBLE*y+8*h}, {'x': 8.0::DOUBLE*x, 'y': 8.0::DOUBLE*y+8*h-1}]
+   WHEN 'b1' THEN [{'x': 8.0::DOUBLE*x-3, 'y': 8.0::DOUBLE*y}, {'x': 8.0::DOUBLE*x+8*w, 'y': 8.0::DOUBLE*y+8*h}, {'x': 8.0::DOUBLE*x+8*w+1, 'y': 8.0::DOUBLE*y}, {'x': 8.0::DOUBLE*x-3, 'y': 8.0::DOUBLE*y+8*h+0.5}]
+   ELSE CASE WHEN slide % 3 = 0 THEN [{'x': 8.0::DOUBLE*x, 'y': 8.0::DOUBLE*y}, {'x': 8.0::DOUBLE*x+8*w, 'y': 8.0::DOUBLE*y+8*h}] ELSE [{'x': 8.0::DOUBLE*x, 'y': 8.0::DOUBLE*y}, {'x': 8.0::DOUBLE*x, 'y': 8.0::DOUBLE*y}, {'x': 8.0::DOUBLE*x+1, 'y': 8.0::DOUBLE*y+8*h}] END END AS p FROM fx_boxes8),
+cl AS (SELECT slide, id, x, y, w, h, [{'x': greatest(0, least(63, round_even(q.x, 0)))::BIGINT, 'y': greatest(0, least(63, round_even(q.y, 0)))::BIGINT} FOR q IN p] AS p FROM rp),
+ed AS (SELECT slide, id, p[i] AS a, p[i % len(p) + 1] AS b FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM cl WHERE len(p) >= 3) q),
+px AS (SELECT slide, id, gx.v AS x, gy.v AS y FROM (SELECT slide, id FROM cl WHERE len(p) >= 3) r, range(64) gx(v), range(64) gy(v)),
+cr AS (SELECT px.slide, px.id, px.x, px.y, count(*) FILTER (a.y <> b.y AND px.y >= least(a.y, b.y) AND px.y < greatest(a.y, b.y) AND a.x + (px.y - a.y)::DOUBLE*(b.x - a.x)/nullif(b.y - a.y, 0) < px.x) AS before,
+   count(*) FILTER (CASE WHEN a.y = b.y THEN px.y = a.y AND px.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) ELSE px.y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y)
+     AND 2*abs((a.x - px.x)*(b.y - a.y) + (px.y - a.y)*(b.x - a.x)) < abs(b.y - a.y) END) AS near
+   FROM px JOIN ed USING (slide, id) GROUP BY ALL),
+cv AS (SELECT slide, id, x, y FROM cr WHERE before % 2 = 1 OR near > 0
+   UNION ALL SELECT slide, id, gx.v, gy.v FROM cl, range(64) gx(v), range(64) gy(v) WHERE len(p) < 3 AND gx.v BETWEEN least(8*x, 63) AND least(8*x+8*w, 63) AND gy.v BETWEEN least(8*y, 63) AND least(8*y+8*h, 63))"""
+
+
+def polygons(t):
+    x, y, w, h = (c(n) * 8 for n in "xywh")
+    def shape(*points):
+        return F.array(*[F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in points])
+    concave = shape((x, y), (x + w, y + 3), (x + w / 2, y + h / 2), (x + w, y + h), (x, y + h - 1))
+    bow = shape((x - 3, y), (x + w, y + h), (x + w + 1, y), (x - 3, y + h + 0.5))
+    sliver, line = shape((x, y), (x, y), (x + 1, y + h)), shape((x, y), (x + w, y + h))
+    polygon = F.when(c("id") == "b0", concave).when(c("id") == "b1", bow).when(c("slide") % 3 == 0, line).otherwise(sliver)
+    return t.fx_boxes8.select("slide", "id", polygon.alias("polygon"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+
+
+@query("polygon_spans", f"""{POLYGONS_SQL}, ru AS (SELECT *, x - row_number() OVER (PARTITION BY slide, id, y ORDER BY x) AS run FROM cv)
+SELECT slide, id, y, min(x) AS x0, max(x) AS x1 FROM ru GROUP BY slide, id, y, run""", "fx_boxes8")
+def _(t):
+    return pg.region_spans(polygons(t), 64, 64)
+
+
+@query("polygon_mask", f"""{POLYGONS_SQL}, un AS (SELECT DISTINCT slide, x, y FROM cv), ru AS (SELECT *, x - row_number() OVER (PARTITION BY slide, y ORDER BY x) AS run FROM un)
+SELECT slide, y, min(x) AS x0, max(x) AS x1 FROM ru GROUP BY slide, y, run""", "fx_boxes8")
+def _(t):
+    return pg.union_spans(polygons(t), 64, 64)

@@ -299,17 +299,21 @@ def box_rows(boxes: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 def mask_spans(boxes: DataFrame) -> DataFrame:
-    """Union of boxes as disjoint spans per scan line.
+    """Union of boxes as disjoint spans per scan line."""
+    return merge_spans(box_rows(boxes), ("slide",))
+
+
+def merge_spans(spans: DataFrame, keys=("slide",)) -> DataFrame:
+    """``keys, y, x0, x1``: overlapping and touching spans of a scan line become one.
 
     Equal spans are folded first, so copies of one box cost one row; a scan line
     holds at most width/2 disjoint spans.
     """
-    spans = box_rows(boxes).distinct()
-    w = W.partitionBy("slide", "y").orderBy("x0", "x1")
+    w = W.partitionBy(*keys, "y").orderBy("x0", "x1")
     reach = F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1))
-    fresh = spans.withColumn("fresh", (F.coalesce(F.col("x0") > reach + 1, F.lit(True))).cast("int"))
+    fresh = spans.select(*keys, "y", "x0", "x1").distinct().withColumn("fresh", (F.coalesce(F.col("x0") > reach + 1, F.lit(True))).cast("int"))
     grouped = fresh.withColumn("run", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return grouped.groupBy("slide", "y", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("run")
+    return grouped.groupBy(*keys, "y", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("run")
 
 
 def in_mask(pixels: DataFrame, spans: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions.geometry import corners, iou, with_cells
 from ..functions.quantiles import exact_quantile
 from ..functions.ranking import running_number
 from .pixels import mask_spans, with_bands
+from .polygons import union_spans
 
 CELL = 128
 
@@ -519,10 +520,10 @@ def feather_alpha(crop_pixels: DataFrame, reach: int = 26) -> DataFrame:
 
 
 def pixels_in_boxes(pixels: DataFrame, boxes: DataFrame, mode: str, width: int, height: int, pad: int = 0) -> DataFrame:
-    """``mask``: pixels under any box, ends inside; ``ring``: padded minus inner;
-    ``crop``: inside a box, second corner outside."""
+    """``mask``: pixels under any region, ends inside; ``ring``: padded minus inner;
+    ``crop``: inside a box, second corner outside. A mask follows ``polygon`` where boxes have that column."""
     if mode == "mask":
-        spans = mask_spans(inclusive(boxes, width, height, pad))
+        spans = union_spans(boxes, width, height, pad) if "polygon" in boxes.columns else mask_spans(inclusive(boxes, width, height, pad))
         p, s = pixels.alias("p"), spans.alias("s")
         on = (F.col("p.slide") == F.col("s.slide")) & (F.col("p.y") == F.col("s.y")) & F.col("p.x").between(F.col("s.x0"), F.col("s.x1"))
         return p.join(s, on, "left_semi")
