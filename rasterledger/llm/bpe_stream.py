@@ -42,7 +42,7 @@ from .tokens import WHITE
 BLOCK = 1 << 16
 LONG = 4096
 SHORT = 64
-MOST_KNOWN = 300_000
+MOST_KNOWN = 500_000
 IDS_AT_ONCE = 1 << 14
 #: Fixed: the pieces of byte-level tokenizers, and the runs that they are made of.
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -88,7 +88,8 @@ class MergeList:
         for letter, b in letters.items():
             self.first[b] = vocab[letter]
         rules = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in held["model"]["merges"]]
-        self.pairs = {(vocab[u], vocab[v]): (rank, vocab[u + v]) for rank, (u, v) in enumerate(rules)}
+        self.ranks = {(vocab[u], vocab[v]): rank for rank, (u, v) in enumerate(rules)}
+        self.results = [vocab[u + v] for u, v in rules]
         self.lookahead = sufficient_lookahead([(self.bytes_of[vocab[u]], self.bytes_of[vocab[v]]) for u, v in rules])
 
     def merged(self, data: bytes) -> list[int]:
@@ -97,41 +98,36 @@ class MergeList:
         return self._short(ids) if len(ids) <= SHORT else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        pair = self.pairs.get
-        while len(ids) > 1:
-            found = [x for x in map(pair, zip(ids, ids[1:])) if x is not None]
-            if not found:
-                break
-            rank, new = min(found)
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and (hit := pair((ids[i], ids[i + 1]))) is not None and hit[0] == rank:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        rank, results, none = self.ranks.get, self.results, len(self.results)
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            ids[i] = results[least]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), none)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same by a heap of (rank, place), for windows of many bytes."""
-        n, pair = len(ids), self.pairs.get
+        n, rank, results = len(ids), self.ranks.get, self.results
         ahead, back = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(hit[0], i) for i, at in enumerate(zip(ids, ids[1:])) if (hit := pair(at)) is not None]
+        heap = [(least, i) for i, pair in enumerate(zip(ids, ids[1:])) if (least := rank(pair)) is not None]
         heapify(heap)
         while heap:
-            rank, i = heappop(heap)
+            least, i = heappop(heap)
             j = ahead[i]
-            if ids[i] < 0 or j >= n or (hit := pair((ids[i], ids[j]))) is None or hit[0] != rank:
+            if ids[i] < 0 or j >= n or rank((ids[i], ids[j])) != least:
                 continue
-            ids[i], ids[j], ahead[i] = hit[1], -1, ahead[j]
+            ids[i], ids[j], ahead[i] = results[least], -1, ahead[j]
             if ahead[j] < n:
                 back[ahead[j]] = i
-                if (hit := pair((ids[i], ids[ahead[j]]))) is not None:
-                    heappush(heap, (hit[0], i))
-            if back[i] >= 0 and (hit := pair((ids[back[i]], ids[i]))) is not None:
-                heappush(heap, (hit[0], back[i]))
+                if (found := rank((ids[i], ids[ahead[j]]))) is not None:
+                    heappush(heap, (found, i))
+            if back[i] >= 0 and (found := rank((ids[back[i]], ids[i]))) is not None:
+                heappush(heap, (found, back[i]))
         return [x for x in ids if x >= 0]
 
 
@@ -225,12 +221,10 @@ class Scanner:
         for piece in new:
             known[piece] = _packed(self.merges.merged(piece.encode()) if len(piece) <= LONG else [*self.long.feed(piece.encode()), *self.long.finish()])
         out = b"".join(map(known.__getitem__, pieces))
-        if len(known) > MOST_KNOWN:
-            known.clear()
-        else:
-            for piece in new:
-                if len(piece) > SHORT:
-                    del known[piece]
+        full = len(known) > MOST_KNOWN
+        for piece in new:
+            if full or len(piece) > SHORT:
+                del known[piece]
         return out
 
 
