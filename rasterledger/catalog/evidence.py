@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.columns import lookup
 from ..functions.ranking import running_number
 from ..operators import evidence as ev
+from ..operators import package_rules as pr
 from .pixels import rounded
 from .registry import query, sql_case, sql_list
 
@@ -353,3 +355,51 @@ SELECT slide, ord, round(x, 6) AS x, y, CASE WHEN h < 1e-4 THEN greatest(w, 0.25
 def _(t):
     o = t.fx_objects.select("slide", "ord", "x", "y", F.when(c("ord") % 7 == 0, 0.0).otherwise(c("w")).alias("w"), F.when(c("ord") % 5 == 0, 0.0).otherwise(c("h")).alias("h"))
     return rounded(ev.normalize_geometry(o), "x")
+
+
+FAULTS = [("1", "mismatched_tag"), ("2", "unclosed_tag"), ("3", "stray_end_tag"), ("4", "second_root"), ("5", "invalid_token"), ("6", "duplicate_attribute"), ("7", "unbound_prefix"), ("8", "text_outside_root"),
+          ("9", "not_utf8"), ("10", "control_character"), ("11", "empty")]
+
+
+def xml_parts(t):
+    """Each turn of a conversation as an XML part; eleven of thirteen kinds carry one planted fault."""
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", "")
+    kind = (c("conv_id") * 7 + c("turn")) % 13
+    head = F.concat(F.lit('<?xml version="1.0"?><p:sld xmlns:p="u"><p:t n="'), c("turn").cast("string"), F.lit('">'))
+    ends = {1: "</p:sld></p:t>", 2: "</p:t>", 3: "</p:t></p:sld></p:sld>", 4: "</p:t></p:sld><p/>", 5: "&</p:t></p:sld>", 6: "<p:b c='1' c='2'/></p:t></p:sld>", 7: "<q:b/></p:t></p:sld>",
+            8: "</p:t></p:sld>tail", 10: "\x01</p:t></p:sld>", 12: "<!-- <p:b> & --><![CDATA[<p:b>&]]></p:t></p:sld>"}
+    tail = F.lit("</p:t></p:sld>")
+    for k, v in ends.items():
+        tail = F.when(kind == k, F.lit(v)).otherwise(tail)
+    text = F.concat(head, body, tail).cast("binary")
+    bad = F.concat(F.concat(head, body).cast("binary"), F.unhex(F.lit("C3")), F.lit("</p:t></p:sld>").cast("binary"))
+    return t.conversations.select(c("conv_id").alias("pkg"), F.concat(F.lit("ppt/slides/slide"), c("turn").cast("string"), F.lit(".xml")).alias("part"), F.when(kind == 9, bad).when(kind == 11, F.lit("").cast("binary")).otherwise(text).alias("content"))
+
+
+@query("xml_well_formed", f"""WITH p AS (SELECT conv_id AS pkg, 'ppt/slides/slide' || turn || '.xml' AS part, (conv_id*7 + turn) % 13 AS kind,
+  length('<?xml version="1.0"?><p:sld xmlns:p="u"><p:t n="">') + length(CAST(turn AS VARCHAR)) + length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', '', 'g')) AS n FROM conversations)
+SELECT pkg, part, {sql_case("CAST(kind AS VARCHAR)", dict(FAULTS))} AS rule,
+  CAST(CASE kind WHEN 2 THEN n + 6 WHEN 3 THEN n + 14 WHEN 4 THEN n + 14 WHEN 8 THEN n + 14 WHEN 11 THEN 0 ELSE n END AS BIGINT) AS "offset",
+  CASE kind WHEN 1 THEN 'p:t closed by p:sld' WHEN 2 THEN 'p:sld' WHEN 3 THEN 'p:sld' WHEN 4 THEN 'p' WHEN 5 THEN '&' WHEN 6 THEN 'p:b' WHEN 7 THEN 'q' WHEN 10 THEN 'U+0001' ELSE '' END AS detail FROM p WHERE kind NOT IN (0, 12)""")
+def _(t):
+    return pr.xml_errors(xml_parts(t))
+
+
+ENTRIES = {"1": "[Content_Types].xml", "2": "_rels/.rels", "3": "ppt/presentation.xml", "4": "ppt/_rels/presentation.xml.rels", "5": "ppt/slides/slide1.xml", "6": "ppt/media/a.png", "7": "ppt/media/b.jpg"}
+
+
+@query("package_structure", f"""WITH p AS (SELECT l_orderkey AS pkg, CASE WHEN l_suppkey % 29 = 0 THEN '_rels/.rels' ELSE {sql_case("CAST(l_linenumber AS VARCHAR)", ENTRIES)} END AS part, l_partkey % 10 * 100 AS bytes FROM lineitem),
+d AS (SELECT o_orderkey AS pkg, e.ext FROM orders, (VALUES ('xml', 3), ('rels', 4), ('png', 5), ('jpg', 2)) e(ext, m) WHERE o_custkey % e.m <> 0),
+k AS (SELECT DISTINCT pkg FROM p),
+r AS (SELECT unnest(['[Content_Types].xml', '_rels/.rels', 'ppt/presentation.xml', 'ppt/_rels/presentation.xml.rels']) AS part)
+SELECT pkg, 'missing_required_part' AS rule, part AS detail FROM k, r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pkg = k.pkg AND p.part = r.part)
+UNION ALL SELECT pkg, 'no_slide_parts', '' FROM k WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pkg = k.pkg AND p.part = 'ppt/slides/slide1.xml')
+UNION ALL SELECT pkg, 'missing_default', e.ext FROM k, (VALUES ('xml'), ('rels')) e(ext) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.pkg = k.pkg AND d.ext = e.ext)
+UNION ALL SELECT pkg, 'missing_media_default', e.ext FROM k, (VALUES ('png'), ('jpg')) e(ext) WHERE EXISTS (SELECT 1 FROM p WHERE p.pkg = k.pkg AND ends_with(p.part, '.' || e.ext)) AND NOT EXISTS (SELECT 1 FROM d WHERE d.pkg = k.pkg AND d.ext = e.ext)
+UNION ALL SELECT DISTINCT pkg, CASE WHEN part IN (SELECT part FROM r) THEN 'zero_byte_required_part' WHEN part = 'ppt/slides/slide1.xml' THEN 'zero_byte_slide' ELSE 'zero_byte_media' END, part FROM p WHERE bytes = 0
+UNION ALL SELECT pkg, 'duplicate_entry', part FROM p GROUP BY pkg, part HAVING count(*) > 1""")
+def _(t):
+    part = F.when(c("l_suppkey") % 29 == 0, "_rels/.rels").otherwise(lookup(c("l_linenumber").cast("string"), ENTRIES))
+    parts = t.lineitem.select(c("l_orderkey").alias("pkg"), part.alias("part"), (c("l_partkey") % 10 * 100).alias("bytes"))
+    kept = F.array_compact(F.array(*[F.when(c("o_custkey") % m != 0, F.lit(e)) for e, m in (("xml", 3), ("rels", 4), ("png", 5), ("jpg", 2))]))
+    return pr.package_structure(parts, t.orders.select(c("o_orderkey").alias("pkg"), F.explode(kept).alias("ext")))

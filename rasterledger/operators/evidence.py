@@ -315,27 +315,36 @@ def type_coverage(parts: DataFrame, defaults: DataFrame, overrides: DataFrame) -
 
 
 def check_numeric_attrs(parts: DataFrame) -> DataFrame:
-    """Coordinates and sizes that are not finite, not positive or far too large."""
-    attrs = parts.select("slide", "part", F.explode(F.arrays_zip(
-        F.regexp_extract_all("text", F.lit(' (x|y|cx|cy|w|h)="([^"]*)"'), 1).alias("attr"),
-        F.regexp_extract_all("text", F.lit(' (x|y|cx|cy|w|h)="([^"]*)"'), 2).alias("raw"))).alias("a")).select("slide", "part", "a.*")
+    """Coordinates and sizes that are not finite, not positive or far too large.
+
+    Whole positive ``cx`` and ``cy`` are asked of extents (``ext``) alone, and not inside the properties of a group.
+    """
+    keys = ["slide", "part"]
+
+    def named(text: Column, names: str) -> Column:
+        pattern = F.lit(rf"""\s({names})\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+        pick = [F.regexp_extract_all(text, pattern, i) for i in (1, 2, 3)]
+        return F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(pick, "abc", strict=True)]), lambda z: F.struct(z["a"].alias("attr"), F.concat(F.coalesce(z["b"], F.lit("")), F.coalesce(z["c"], F.lit(""))).alias("raw")))
+
+    attrs = parts.select(*keys, F.explode(named(c("text"), "x|y|cx|cy|w|h")).alias("a")).select(*keys, "a.*")
+    ungrouped = F.regexp_replace("text", r"(?s)<((?:[\w.-]+:)?grpSpPr)(?:\s[^<>]*)?(?<!/)>.*?</\1\s*>", "")
+    extents = parts.select(*keys, F.explode(F.regexp_extract_all(ungrouped, F.lit(r"<(?:[\w.-]+:)?ext(?=[\s/>])[^<>]*>"), 0)).alias("tag"))
+    extents = extents.select(*keys, F.explode(named(c("tag"), "cx|cy")).alias("a")).select(*keys, "a.*")
     value = c("raw").try_cast("bigint")
-    size = c("attr").isin("cx", "cy", "w", "h")
 
-    def rule(cond, name, level):
-        return F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(level).alias("level")))
+    def rules(rows: DataFrame, found: list[tuple[Column, str, str]]) -> DataFrame:
+        each = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(level).alias("level"))) for cond, name, level in found]
+        return rows.select(*keys, "attr", "raw", F.explode(F.array_compact(F.array(*each))).alias("r")).select(*keys, "attr", "raw", "r.*")
 
-    rules = F.array(
-        rule(c("raw").rlike(r"(?i)\b(nan|infinity|undefined)\b"), "non_finite", "error"),
-        rule(c("raw").rlike(r"(?i)\bnull\b"), "null_in_number", "error"),
-        rule(c("attr").isin("cx", "cy") & value.isNull(), "not_a_whole_number", "error"),
-        rule(c("attr").isin("cx", "cy") & (value <= 0), "size_not_positive", "error"),
-        rule(size & (value < 0), "negative_size", "warning"),
-        rule(F.abs(value) > vocab.EMU_EXTREME, "extremely_large", "warning"))
-    found = attrs.select("slide", "part", "attr", "raw", F.explode(F.array_compact(rules)).alias("r")).select("slide", "part", "attr", "raw", "r.*")
+    everywhere = rules(attrs, [
+        (c("raw").rlike(vocab.NOT_A_NUMBER), "non_finite", "error"),
+        (c("raw").rlike(r"(?i)\bnull\b"), "null_in_number", "error"),
+        (c("attr").isin("cx", "cy", "w", "h") & (value < 0), "negative_size", "warning"),
+        (F.abs(value) > vocab.EMU_EXTREME, "extremely_large", "warning")])
+    sizes = rules(extents, [(value.isNull(), "not_a_whole_number", "error"), (value <= 0, "size_not_positive", "error")])
     control = parts.where(c("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")).select(
-        "slide", "part", F.lit("").alias("attr"), F.lit("").alias("raw"), F.lit("control_character").alias("rule"), F.lit("error").alias("level"))
-    return found.unionByName(control)
+        *keys, F.lit("").alias("attr"), F.lit("").alias("raw"), F.lit("control_character").alias("rule"), F.lit("error").alias("level"))
+    return everywhere.unionByName(sizes).unionByName(control)
 
 
 def package_summary(parts: DataFrame, violations: DataFrame) -> DataFrame:

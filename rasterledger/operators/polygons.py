@@ -69,7 +69,7 @@ def region_spans(regions: DataFrame, width: int, height: int, pad=0, keys=("slid
 
 def union_spans(regions: DataFrame, width: int, height: int, pad=0) -> DataFrame:
     """Disjoint spans of the union mask of all regions of a slide; copies of one region cost one row."""
-    shape = [n for n in ("slide", "x", "y", "w", "h", "polygon")]
+    shape = ["slide", "x", "y", "w", "h", "polygon"]
     if isinstance(pad, Column):
         regions, pad = regions.withColumn("_pad", pad), F.col("_pad")
         shape.append("_pad")

@@ -196,3 +196,10 @@ BACKEND_TOKENS = ["pptxgenjs", "pptx.", "addSlide", "writeFile({ fileName", "mak
                   "document.", "window.", "<html", "<body", "python-pptx", "libreoffice", "soffice",
                   "html-to-pptx", "html to pptx", "pdf-to-pptx"]
 EMU_EXTREME = 1_000_000_000
+
+# Fixed values of package checks.
+REQUIRED_PARTS = ("[Content_Types].xml", "_rels/.rels", "ppt/presentation.xml", "ppt/_rels/presentation.xml.rels")
+REQUIRED_DEFAULTS = ("xml", "rels")
+MEDIA_DEFAULTS = ("png", "jpg", "jpeg", "svg")
+NOT_A_NUMBER = r"(?i)\b(?:nan|infinity|undefined)\b"
+NULL_FOR_NUMBER = r"""(?i)(?:x|y|cx|cy|w|h|rot|sz|val|pos|off|ext)\s*=\s*["'][^"']*\b(null)\b"""
