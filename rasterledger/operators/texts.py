@@ -142,6 +142,61 @@ def canonical_hash(df: DataFrame, columns: list[str], out: str = "fingerprint")
     return df.withColumn(out, F.sha2(canonical_json(columns), 256))
 
 
+def shortest_number(value: Column) -> Column:
+    """A JSON number as the shortest text of its double: plain from 1e-6 to below 1e21, else with an exponent; -0 is 0.
+
+    The digits are those the JVM writes; before version 19 it gives a few numbers, subnormal ones above all, a digit more.
+    """
+    double = value.try_cast("double")
+    text = F.upper(F.abs(double).cast("string"))
+    mantissa, exponent = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    whole, rest = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+    joined = F.concat(whole, rest)
+    led = F.regexp_replace(joined, "^0+", "")
+    # the value is 0.digits times ten to the power of ``point``
+    point = F.length(whole) + F.coalesce(exponent, F.lit(0)) - (F.length(joined) - F.length(led))
+    digits = F.regexp_replace(led, "0+$", "")
+    n = F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), k)
+    e = point - 1
+    power = F.concat(F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.abs(e).cast("string"))
+    form = (F.when(digits == "", "0")
+            .when((n <= point) & (point <= 21), F.concat(digits, zeros(point - n)))
+            .when((point > 0) & (point <= 21), F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, n)))
+            .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
+            .when(n == 1, F.concat(digits, power))
+            .otherwise(F.concat(digits.substr(F.lit(1), F.lit(1)), F.lit("."), digits.substr(F.lit(2), n), power)))
+    return F.when((double < 0) & (digits != ""), F.concat(F.lit("-"), form)).otherwise(form)
+
+
+def canonical_document(text: Column) -> Column:
+    """The one form of a JSON document of any depth: keys sorted by UTF-16 units, lists in order, no white space.
+
+    Numbers are doubles in their shortest text, control characters lower-case escapes, all else stands for
+    itself. Text that is no JSON, or that repeats a key in one object, has no form (null).
+    """
+    tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(text)), F.lit(r'"(?:[^"\\]++|\\.)*+"|[-0-9][-+.0-9eE]*+|[^"0-9-]++'), 0)
+
+    def one(token: Column) -> Column:
+        lowered = token
+        for code in ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"):
+            lowered = F.regexp_replace(lowered, r"(?<!\\)((?:\\\\)*)\\u" + code, r"$1\\u" + code.lower())
+        string = F.when(token.rlike(r"\\u00[01][A-F]"), lowered).otherwise(token)
+        return F.when(token.startswith('"'), string).when(token.rlike("^[-0-9]"), shortest_number(token)).otherwise(token)
+
+    return F.array_join(F.transform(tokens, one), "")
+
+
+def document_hash(df: DataFrame, column: str, out: str = "fingerprint") -> DataFrame:
+    """SHA-256 of the canonical form of a JSON text; equal for documents that differ in key order, spacing or number text only."""
+    return df.withColumn(out, F.sha2(canonical_document(c(column)), 256))
+
+
+def nested_hash(df: DataFrame, columns: list[str], out: str = "fingerprint") -> DataFrame:
+    """The same of columns of any type (structs, maps, arrays) as one document; null fields count."""
+    return df.withColumn(out, F.sha2(canonical_document(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})), 256))
+
+
 def _text_leaves(node, wanted):
     """(key, text) pairs in document order; list items answer to their list's key."""
     stack = [("", node)]
