@@ -4,13 +4,14 @@ Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends, and pi
 words; phrases are 1 to 4 words in a row inside a piece, counted for each language.
 
 1. Each document belongs to one of ``SHARDS`` shards (a hash of its id). A shard is mined
-   completely: all its phrases are counted, combined inside tasks and then by (shard, language, phrase
-   hash), so a shard is spread over all tasks whatever its size. Its local support is
+   completely: all its phrases are counted, combined inside tasks and then by shard and phrase
+   hash, so a shard is spread over all tasks whatever its size. Its local support is
    the global one times its share of the language's bytes, rounded up: a phrase below
    it in every shard is below the support in total. Words and pairs come first; phrases
    of 3 and 4 words are counted where all their pairs are locally frequent somewhere.
-2. The union of what is locally frequent is a bit map of fixed size (``BITS``, two bits for each
-   phrase). It can only let more through as it fills.
+   Hashes (44 bits) move as arrays of their low 32 bits by shard and high bits.
+2. The union of what is locally frequent is a bit map of fixed size (2 ** ``BITS`` bits, two for each
+   phrase). Like equal hashes, it can only let more through as it fills.
 3. All occurrences that the map lets through are counted exactly, as phrases, not as hashes.
 
 ``mine`` scores the candidates from these counts alone: parts of a frequent phrase
@@ -31,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, by_bytes, raw_bytes, saved, texts
+from .common import BATCH_BYTES, by_bytes, raw_bytes, saved, small_side, texts
 from .hashing import LOWER, mix, span_hashes, word_spans
 
 LONGEST = 4
 SHARDS = 4
-BITS = 27
+BITS, HIGH, LOW = 27, 12, 32
 #: Phrases, and bytes of text, that a task combines at once.
-MOST_HELD, MOST_BYTES = 3_000_000, 24 << 20
+MOST_HELD, MOST_BYTES = 1_000_000, 8 << 20
+#: Pairs of shard and local support that a task combines at once.
+MOST_CODES = 1 << 18
 #: First places of a language are chosen within so many salts, then among their winners.
 SALTS = 32
 #: Fixed: words end at blanks and tabs, pieces at these.
@@ -115,7 +118,8 @@ def _languages(array: pa.Array) -> np.ndarray:
 
 
 def _let_through(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    one, two = keys >> np.uint64(64 - BITS), (keys << np.uint64(BITS)) >> np.uint64(64 - BITS)
+    keys = keys >> np.uint64(64 - HIGH - LOW)
+    one, two = keys >> np.uint64(HIGH + LOW - BITS), keys & np.uint64((1 << BITS) - 1)
     found = (bits[one >> np.uint64(6)] >> (one & np.uint64(63))) & (bits[two >> np.uint64(6)] >> (two & np.uint64(63)))
     return (found & np.uint64(1)).astype(bool)
 
@@ -128,24 +132,37 @@ def _read(docs: DataFrame, id_column: str, text_column: str, lang_column: str, s
     )
 
 
+def _combined(keys: list[np.ndarray], codes: list[np.ndarray], names: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Counts of phrases as rows ``shard, least, high, lows, ns``; a code stands for a shard and its local support."""
+    bits = 64 - HIGH - LOW
+    keys, codes = np.concatenate(keys) >> np.uint64(bits), np.concatenate(codes).astype(np.uint64)
+    # a worker meets few pairs of shard and support; they go above the hash, so one plain sort does
+    rows = (codes << np.uint64(HIGH + LOW)) | keys
+    rows.sort()
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    ns = np.diff(np.append(first, len(rows))).astype(np.int32)
+    rows = rows[first]
+    groups = rows >> np.uint64(LOW)
+    start = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    bounds = pa.array(np.append(start, len(rows)).astype(np.int32))
+    group = groups[start]
+    shard, least = (np.array(x, np.int64)[group >> np.uint64(HIGH)] for x in zip(*names, strict=True))
+    lows = (rows & np.uint64((1 << LOW) - 1)).astype(np.uint32).view(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard.astype(np.int32)), pa.array(least), pa.array((group & np.uint64((1 << HIGH) - 1)).astype(np.int32)), pa.ListArray.from_arrays(bounds, pa.array(lows)), pa.ListArray.from_arrays(bounds, pa.array(ns))],
+        names=["shard", "least", "high", "lows", "ns"],
+    )
+
+
 def _local_counts(rows: DataFrame, lengths: tuple[int, ...], pairs: np.ndarray | None) -> DataFrame:
-    """``shard, lang, key, n`` of all phrases of these lengths whose pairs the map ``pairs`` lets through."""
+    """``least, high, low, n`` of all phrases of these lengths, in each shard, whose pairs the map ``pairs`` lets through."""
     held = rows.sparkSession.sparkContext.broadcast(pairs)
 
-    def flush(keys: list, own: list, at: list, names: list) -> pa.RecordBatch:
-        keys, own, at = np.concatenate(keys), np.concatenate(own), np.concatenate(at)
-        # shard and language belong to the key: equal numbers here are one phrase of one shard
-        _, first, n = np.unique(own, return_index=True, return_counts=True)
-        shard, lang = zip(*names, strict=True)
-        place = pa.array(at[first], pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()).take(place), pa.array(lang, pa.string()).take(place), pa.array(keys[first].view(np.int64)), pa.array(n)], names=["shard", "lang", "key", "n"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, own, at, names, size = [], [], [], {}, 0
+        keys, codes, names, size = [], [], {}, 0
         for part in _parts(batches):
             words, language = Words(texts(part.column("text"))), _languages(part.column("lang"))
-            code = np.array([names.setdefault(x, len(names)) for x in zip(part.column("shard").to_pylist(), part.column("lang").to_pylist(), strict=True)], np.int32)
-            shard = mix(part.column("shard").to_numpy().astype(np.uint64), 5)
+            code = np.array([names.setdefault(x, len(names)) for x in zip(part.column("shard").to_pylist(), part.column("least").to_pylist(), strict=True)], np.int32)
             if held.value is not None:
                 two = words.phrases(2)
                 known = np.zeros(len(words.starts), bool)
@@ -155,25 +172,27 @@ def _local_counts(rows: DataFrame, lengths: tuple[int, ...], pairs: np.ndarray |
                 if held.value is not None:
                     for j in range(k - 1):
                         first = first[known[first + j]]
-                key = words.keys(first, k, language)
-                keys.append(key)
-                own.append(key ^ shard[words.row[first]])
-                at.append(code[words.row[first]])
+                keys.append(words.keys(first, k, language))
+                codes.append(code[words.row[first]])
                 size += len(first)
-            if size > MOST_HELD:
-                yield flush(keys, own, at, list(names))
-                keys, own, at, names, size = [], [], [], {}, 0
+            if size > MOST_HELD or len(names) > MOST_CODES:
+                if size:
+                    yield _combined(keys, codes, list(names))
+                keys, codes, names, size = [], [], {}, 0
         if size:
-            yield flush(keys, own, at, list(names))
+            yield _combined(keys, codes, list(names))
 
-    return rows.mapInArrow(count, "shard int, lang string, key long, n long").groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
+    moved = rows.mapInArrow(count, "shard int, least long, high int, lows array<int>, ns array<int>").repartition("shard", "high")
+    each = moved.select("shard", "least", "high", F.explode(F.arrays_zip("lows", "ns")).alias("x")).select("shard", "least", "high", F.col("x.lows").alias("low"), F.col("x.ns").alias("n"))
+    return each.groupBy("shard", "high", "low").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
 
 
-def _union(local: DataFrame, least: DataFrame) -> np.ndarray:
+def _union(local: DataFrame) -> np.ndarray:
     """The bit map of all phrases that reach the local support in their shard; its size is fixed."""
-    frequent = local.join(least, ["shard", "lang"]).where("n >= least")
-    bits = F.explode(F.array(F.shiftrightunsigned("key", 64 - BITS), F.shiftrightunsigned(F.shiftleft("key", BITS), 64 - BITS))).alias("bit")
-    words = frequent.select(bits).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    key = F.shiftleft(F.col("high").cast("long"), LOW).bitwiseOR(F.col("low").cast("long").bitwiseAND(F.lit((1 << LOW) - 1)))
+    frequent = local.where("n >= least").select(key.alias("key"))
+    bits = frequent.select(F.explode(F.array(F.shiftright("key", HIGH + LOW - BITS), F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)))).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
@@ -226,8 +245,9 @@ def frequent_phrases(docs: DataFrame, support: int = 30, shards: int = SHARDS, i
     share = rows.groupBy("shard", "lang").agg(F.sum(F.octet_length("text").cast("long")).alias("own"))
     whole = share.groupBy("lang").agg(F.sum("own").alias("whole"))
     least = saved(share.join(whole, "lang").where("own > 0").select("shard", "lang", F.expr(f"({support} * own + whole - 1) div whole").alias("least")))
-    bits = _union(_local_counts(rows, (1, 2), None), least)
-    bits |= _union(_local_counts(rows, tuple(range(3, LONGEST + 1)), bits), least)
+    supported = rows.join(small_side(least), ["shard", "lang"])
+    bits = _union(_local_counts(supported, (1, 2), None))
+    bits |= _union(_local_counts(supported, tuple(range(3, LONGEST + 1)), bits))
     return _global_counts(rows, bits).where((F.col("n") >= support) | (F.col("phrase") == ""))
 
 
