@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.stars import components
 from ..operators import rollup, severity
 from ..plans import visual_qa
 from .pixels import METRICS_SQL_CTE, rounded
@@ -222,3 +223,14 @@ def _(t):
 @query("last_status", f"WITH {HISTORY} SELECT slide, arg_max(severity, event_id) AS severity, max(d)::VARCHAR AS iteration FROM hi GROUP BY slide", "fx_issues")
 def _(t):
     return rollup.last_status(t.fx_issues.withColumn("iteration", F.to_date("ts").cast("string")))
+
+
+@query("linked_components", """SELECT 1000000 + c_custkey AS node, n_regionkey AS label FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 1000 + n_nationkey, n_regionkey FROM nation UNION ALL SELECT DISTINCT CAST(n_regionkey AS BIGINT), CAST(n_regionkey AS BIGINT) FROM nation""")
+def _(t):
+    """Customers hang on nations and nations on regions: few nodes with very many links."""
+    c = F.col
+    up = t.customer.select((c("c_custkey") + 1000000).alias("u"), (c("c_nationkey") + 1000).alias("v"))
+    links = up.unionByName(t.nation.select((c("n_nationkey") + 1000).alias("u"), c("n_regionkey").alias("v")))
+    whole = links.select(F.lit(0).alias("graph"), c("u").cast("bigint").alias("u"), c("v").cast("bigint").alias("v"))
+    return components(whole, ["graph"], local=0).drop("graph")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.quantiles import exact_quantile
-from ..session import checkpoint_folder
+from ..functions.rounds import Rounds
+from ..functions.stars import components
 
 BAND = 64
 PLACE = 1 << 31        # columns of a raster, so that y * PLACE + x names one pixel
@@ -396,29 +397,17 @@ def foreground_runs(mask: DataFrame) -> DataFrame:
 def connected_components(mask: DataFrame) -> DataFrame:
     """8-connected components of mask pixels: label, bounding box and area.
 
-    Works on runs, not pixels. Each round takes the smallest label among touching
-    runs and then jumps to that label's own label, so the number of rounds grows
-    with the logarithm of a component's length. Lineage is cut by checkpoint().
+    Works on runs, not pixels; touching runs of neighbouring lines are edges of stars
+    (``functions.stars``), so a component that holds most runs is no hot key.
     """
-    spark = mask.sparkSession
-    checkpoint_folder(spark)
-    runs = foreground_runs(mask).checkpoint()
+    rounds = Rounds(mask.sparkSession)
+    runs = rounds.save(foreground_runs(mask), lasting=True)
     a, b = runs.alias("a"), runs.alias("b")
     touch = ((F.col("a.slide") == F.col("b.slide")) & (F.col("a.y") + 1 == F.col("b.y"))
              & (F.col("a.x0") <= F.col("b.x1") + 1) & (F.col("b.x0") <= F.col("a.x1") + 1))
-    down = a.join(b, touch).select(F.col("a.slide").alias("slide"), F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    edges = down.union(down.select("slide", F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
-    labels = runs.select("slide", "node", F.col("node").alias("label"))
-    while True:
-        near = (edges.join(labels.select("slide", F.col("node").alias("v"), "label"), ["slide", "v"])
-                .groupBy("slide", F.col("u").alias("node")).agg(F.min("label").alias("near")))
-        hooked = labels.join(near, ["slide", "node"], "left").select(
-            "slide", "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("mid"))
-        parent = hooked.select("slide", F.col("node").alias("mid"), F.col("mid").alias("top"))
-        moved = hooked.join(parent, ["slide", "mid"]).select("slide", "node", "old", F.least("mid", "top").alias("label")).checkpoint()
-        labels = moved.select("slide", "node", "label")
-        if moved.where(F.col("old") != F.col("label")).isEmpty():
-            break
+    edges = a.join(b, touch).select(F.col("a.slide").alias("slide"), F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    linked = components(edges, ["slide"])
+    labels = runs.select("slide", "node").join(linked, ["slide", "node"], "left").select("slide", "node", F.coalesce("label", "node").alias("label"))
     return (runs.join(labels, ["slide", "node"]).groupBy("slide", "label").agg(
         F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("w"),
         (F.max("y") - F.min("y") + 1).alias("h"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
