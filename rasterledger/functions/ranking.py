@@ -74,3 +74,19 @@ def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str =
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_lookup(big: DataFrame, small: DataFrame, keys: list[str], share: int = 4096, least: int = 4096) -> DataFrame:
+    """Left join of ``big`` with a table that is unique on ``keys``; rows of hot keys stay where they are.
+
+    At most ``share`` keys hold more than one in ``share`` rows of ``big`` each, so their rows of ``small`` are
+    broadcast; all other keys meet by an exchange in which no key has more rows than that.
+    """
+    rows = big.count()
+    if rows <= least:
+        return big.join(small, keys, "left")
+    hot = big.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(least, rows // share)).select(*keys, F.lit(True).alias("_hot"))
+    marked = big.join(F.broadcast(hot.join(small, keys, "left")), keys, "left")
+    columns = [*big.columns, *[n for n in small.columns if n not in keys]]
+    rest = marked.where("_hot is null").select(*big.columns).join(small, keys, "left")
+    return marked.where("_hot").select(*columns).unionByName(rest.select(*columns))

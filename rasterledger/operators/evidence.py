@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.columns import blank, lookup, round_to
-from ..functions.ranking import running_number, salted_lookup
+from ..functions.ranking import hot_lookup, running_number, salted_lookup
 
 c = F.col
 
@@ -233,20 +235,30 @@ def physical_numbering(sources: DataFrame) -> DataFrame:
 
 
 def style_match(slides: DataFrame, library: DataFrame, dims: list[str]) -> DataFrame:
-    """Nearest library profile by number of agreeing dimensions.
+    """Nearest library profile by number of agreeing dimensions; of equally near ones the smallest id.
 
-    Slides with the same look are folded first and meet the library only on equal
-    (dimension, value) pairs, so nothing is compared that does not agree at all.
+    The library is an index with a key for each subset of the dimensions and its values, and one profile
+    per key, the smallest. A look asks for each of its subsets; the largest that answers wins. So nothing is joined
+    on a single value as such, a key of the index is one row, and keys that many looks share are looked up in
+    place (``hot_lookup``). A null agrees with nothing.
     """
-    looks = slides.select(*dims).distinct()
-    def long(df, *keys):
-        return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), c(d).alias("value")) for d in dims])).alias("e")).select(*keys, "e.*")
-    keyed = looks.withColumn("look", F.struct(*dims))
-    agree = long(keyed, "look").join(long(library.withColumnRenamed("id", "profile"), "profile"), ["dim", "value"]).groupBy("look", "profile").agg(F.count(F.lit(1)).alias("agreeing"))
-    best = agree.groupBy("look").agg(F.max(F.struct("agreeing", (-c("profile")).alias("neg"))).alias("b")).select(
-        "look.*", c("b.agreeing").alias("agreeing"), (-c("b.neg")).alias("profile"))
-    n = F.coalesce("agreeing", F.lit(0))
-    return slides.join(best, dims, "left").select(
+    subsets = [[d for i, d in enumerate(dims) if m >> i & 1] for m in range(1, 1 << len(dims))]
+    texts = {d: c(d).cast("string") for d in dims}
+
+    def asked(df: DataFrame, keep: str) -> DataFrame:
+        each = [F.when(reduce(lambda a, b: a & b, [texts[d].isNotNull() for d in s]), F.struct(F.lit(len(s)).alias("size"), F.concat(F.lit("|".join(s) + ":"), F.to_json(F.array(*[texts[d] for d in s]))).alias("key"))) for s in subsets]
+        return df.select(keep, F.explode(F.array_compact(F.array(*each))).alias("e")).select(keep, "e.*")
+
+    index = asked(library.withColumnRenamed("id", "profile"), "profile").groupBy("key").agg(F.min("profile").alias("profile"))
+    look = F.to_json(F.struct(*[texts[d].alias(d) for d in dims]), {"ignoreNullFields": "false"})
+    seen = slides.select("id", look.alias("look"))
+    looks = slides.select(*dims).distinct().withColumn("look", look)
+    found = hot_lookup(asked(looks, "look"), index, ["key"]).groupBy("look").agg(*[F.min(F.when(F.col("size") == k, F.col("profile"))).alias(f"p{k}") for k in range(len(dims), 0, -1)])
+    sizes = range(len(dims), 0, -1)
+    agreeing = F.coalesce(*[F.when(c(f"p{k}").isNotNull(), F.lit(k).cast("bigint")) for k in sizes])
+    best = found.select("look", F.coalesce(*[c(f"p{k}") for k in sizes]).alias("profile"), agreeing.alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    return hot_lookup(seen, best, ["look"]).select(
         "id", "profile", n.alias("agreeing"), F.when(n == len(dims), "high").when(n > 0, "partial").otherwise("none").alias("confidence"))
 
 
