@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.columns import bankers, blank, clamp, contains_any, lookup, name_of, rank_of, round_even
-from ..functions.geometry import corners, iou, with_cells
+from ..functions.geometry import corners, iou
+from ..functions.quadtree import CELL, CROWD, LEAF, leaves, meeting
 from ..functions.quantiles import exact_quantile
 from ..functions.ranking import running_number
 from .pixels import mask_spans, with_bands
 from .polygons import union_spans
 
-CELL = 128
+X_CELL = 64
 
 
 def clamp_boxes(boxes: DataFrame, width: int = vocab.CANVAS_W, height: int = vocab.CANVAS_H, pad: int | None = None) -> DataFrame:
@@ -47,21 +48,22 @@ def score_candidates(boxes: DataFrame, width: int = vocab.CANVAS_W, height: int
             .withColumn("confidence", round_even(F.when(c("detector") == "ocr", ocr).otherwise(shape), 3)))
 
 
-def iou_pairs(boxes: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
+def iou_pairs(boxes: DataFrame, threshold: float, cell: int = CELL, crowd: int = CROWD) -> DataFrame:
     """Overlapping box pairs per slide with IoU >= ``threshold``.
 
     Copies of one box are folded first: a pair of distinct boxes is reported once
     with the number of row pairs it stands for, and a box with copies is paired
-    with itself. Distinct boxes meet through grid cells; the cell that holds the
-    corner of the intersection owns the pair, so it is found once.
+    with itself. Distinct boxes meet through grid cells, cut in four where they crowd; the
+    cell that holds the corner of the intersection owns the pair, so it is found once.
     """
     box = ["x", "y", "w", "h"]
     distinct = boxes.groupBy("slide", *box).agg(F.count(F.lit(1)).alias("n"))
-    a = with_cells(distinct, cell).select("slide", "cx", "cy", *[F.col(c).alias("a" + c) for c in [*box, "n"]])
-    b = with_cells(distinct, cell).select("slide", "cx", "cy", *[F.col(c).alias("b" + c) for c in [*box, "n"]])
-    owner = ((F.floor(F.greatest("ax", "bx") / cell) == F.col("cx")) & (F.floor(F.greatest("ay", "by") / cell) == F.col("cy")))
+    spread, full = leaves(distinct, cell, crowd=crowd)
+    side = lambda p: spread.select(*LEAF, *[F.col(c).alias(p + c) for c in [*box, "n"]])
+    a, b, on = meeting(side("a"), side("b"), full, crowd)
+    owner = ((F.floor(F.greatest("ax", "bx") / F.col("size")) == F.col("cx")) & (F.floor(F.greatest("ay", "by") / F.col("size")) == F.col("cy")))
     ordered = F.struct("ay", "ax", "ah", "aw") < F.struct("by", "bx", "bh", "bw")
-    pairs = (a.join(b, ["slide", "cx", "cy"]).where(ordered & owner).withColumn("iou", iou("a", "b"))
+    pairs = (a.join(b, on).where(ordered & owner).withColumn("iou", iou("a", "b"))
              .where(F.col("iou") >= threshold)
              .select("slide", *["a" + c for c in box], *["b" + c for c in box], (F.col("an") * F.col("bn")).alias("row_pairs"), "iou"))
     own = distinct.where("n > 1").select("slide", *[F.col(c).alias("a" + c) for c in box], *[F.col(c).alias("b" + c) for c in box],
@@ -242,12 +244,14 @@ def suppress(manual: DataFrame, candidates: DataFrame, threshold: float = 0.45)
     return ordered.mapInPandas(walk, "slide bigint, x bigint, y bigint, w bigint, h bigint, origin string, confidence double, copies bigint")
 
 
-def clear_of_manual(manual: DataFrame, candidates: DataFrame, threshold: float = 0.45, cell: int = CELL) -> DataFrame:
+def clear_of_manual(manual: DataFrame, candidates: DataFrame, threshold: float = 0.45, cell: int = CELL, crowd: int = CROWD) -> DataFrame:
     """Candidates that no manual box covers (the order-free half of ``suppress``)."""
     box = ["x", "y", "w", "h"]
-    m = with_cells(manual.select("slide", *box).distinct(), cell).select("slide", "cx", "cy", *[F.col(c).alias("a" + c) for c in box])
-    k = with_cells(candidates.select("slide", *box).distinct(), cell).select("slide", "cx", "cy", *[F.col(c).alias("b" + c) for c in box])
-    hit = k.join(m, ["slide", "cx", "cy"]).where(iou("a", "b") >= threshold).select("slide", *[F.col("b" + c).alias(c) for c in box]).distinct()
+    named = lambda df, flag: df.select("slide", *box).distinct().withColumn("manual", F.lit(flag))
+    spread, full = leaves(named(manual, True).unionByName(named(candidates, False)), cell, crowd=crowd)
+    side = lambda p, cond: spread.where(cond).select(*LEAF, *[F.col(c).alias(p + c) for c in box])
+    m, k, on = meeting(side("a", "manual"), side("b", "not manual"), full, crowd)
+    hit = k.join(m, on).where(iou("a", "b") >= threshold).select("slide", *[F.col("b" + c).alias(c) for c in box]).distinct()
     return candidates.join(hit, ["slide", *box], "left_anti")
 
 
@@ -383,14 +387,17 @@ def with_many_neighbours(pixels: DataFrame, values: dict[str, str], band: int =
 def region_pixels(pixels: DataFrame, boxes: DataFrame, pad, width: int, height: int, keys=("id",)) -> DataFrame:
     """Pixels of each padded box, with ``inner`` = inside the unpadded box.
 
-    Boxes become scan lines, so pixels meet them on (slide, y), not through a
+    Boxes become scan lines, so pixels meet them on (slide, y, cell of x), not through a
     comparison of every pixel with every box.
     """
     inner = corners(*[F.col(c) for c in "xywh"], width, height, 0)
     outer = corners(*[F.col(c) for c in "xywh"], width, height, pad)
     b = boxes.select("slide", *keys, *[c.alias("i" + n) for c, n in zip(inner, ("x1", "y1", "x2", "y2"))], *outer)
     lines = b.select("*", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y"))
-    hit = lines.join(pixels, ["slide", "y"]).where((F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")))
+    # a scan line is cut into cells too, so a wide raster's line is not one key
+    lines = lines.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("x1") / X_CELL), F.floor((F.col("x2") - 1) / X_CELL))))
+    placed = pixels.withColumn("_cx", F.floor(F.col("x") / X_CELL))
+    hit = lines.join(placed, ["slide", "y", "_cx"]).drop("_cx").where((F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")))
     inside = ((F.col("x") >= F.col("ix1")) & (F.col("x") < F.col("ix2")) & (F.col("y") >= F.col("iy1")) & (F.col("y") < F.col("iy2")))
     return hit.withColumn("inner", inside)
 
