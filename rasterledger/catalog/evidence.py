@@ -287,13 +287,13 @@ def _(t):
     return ev.resolve_targets(links)
 
 
-@query("link_integrity", f"""WITH {LINK_CTE}, pt AS (SELECT DISTINCT pkg, resolved FROM rs WHERE ord % 2 = 0)
+@query("link_integrity", f"""WITH {LINK_CTE}, pt AS (SELECT DISTINCT pkg, CASE ord % 2 WHEN 1 THEN 'old/' ELSE '' END || resolved AS resolved FROM rs)
 SELECT pkg, rels_part, rel_id, 'empty_target' AS rule, '' AS detail FROM rs WHERE mode IS NULL AND resolved = ''
 UNION ALL SELECT pkg, rels_part, rel_id, 'missing_target', resolved FROM rs WHERE mode IS NULL AND resolved <> '' AND NOT EXISTS (SELECT 1 FROM pt WHERE pt.pkg = rs.pkg AND pt.resolved = rs.resolved)
 UNION ALL SELECT pkg, rels_part, rel_id, 'duplicate_id', CAST(count(*) AS VARCHAR) FROM rs GROUP BY pkg, rels_part, rel_id HAVING count(*) > 1""", "fx_links")
 def _(t):
     links = rel_links(t)
-    parts = ev.resolve_targets(links.where(c("ord") % 2 == 0)).select("pkg", c("resolved").alias("part"))
+    parts = ev.resolve_targets(links).select("pkg", F.concat(F.when(c("ord") % 2 == 1, "old/").otherwise(""), "resolved").alias("part"))  # every second target has moved
     return ev.link_integrity(parts, links.drop("ord"))
 
 

@@ -110,16 +110,21 @@ def _(t):
 ALLOWED = "inpaint_allowed AND (class <> 'unknown_text' OR (exception_approved AND trim(exception_reason) <> ''))"
 ROUTE = sql_case("background_type", vocab.REPAIR_OF, "'manual_review'")
 JOINED_CTE = f"""jb AS (SELECT r.slide, r.id, r.region_key, r.class, coalesce(b.background_type, 'complex_unknown') AS background_type, b.recommended_repair
-  FROM fx_regions r LEFT JOIN (SELECT * FROM fx_backgrounds WHERE notes <> '') b ON b.slide = r.slide AND b.region_key = r.region_key WHERE {ALLOWED}),
+  FROM fx_regions r LEFT JOIN fx_backgrounds b ON b.slide = r.slide AND CASE b.notes WHEN '' THEN 'old_' ELSE '' END || b.region_key = r.region_key WHERE {ALLOWED}),
 rt AS (SELECT *, {ROUTE} AS repair_method, CASE {ROUTE} WHEN 'redraw' THEN 'pass' WHEN 'inpaint' THEN 'pass' WHEN 'native_reconstruct' THEN 'partial'
    ELSE CASE background_type WHEN 'complex_unknown' THEN 'fail' ELSE 'partial' END END AS repair_status,
   CASE {ROUTE} WHEN 'redraw' THEN 'low' WHEN 'inpaint' THEN CASE background_type WHEN 'photo_texture' THEN 'medium' ELSE 'low' END WHEN 'native_reconstruct' THEN 'medium'
    ELSE CASE background_type WHEN 'complex_unknown' THEN 'high' ELSE 'medium' END END AS residual FROM jb)"""
 
 
+def backgrounds(t):
+    """All background rows; those without notes stand for regions that are there no more."""
+    key = F.concat(F.when(c("notes") == "", "old_").otherwise(""), "region_key")
+    return t.fx_backgrounds.select("slide", key.alias("region_key"), "background_type", "recommended_repair")
+
+
 def joined(t):
-    bg = t.fx_backgrounds.where("notes <> ''").select("slide", "region_key", "background_type", "recommended_repair")
-    return rg.join_background(t.fx_regions, bg, "region_key")
+    return rg.join_background(t.fx_regions, backgrounds(t), "region_key")
 
 
 @query("region_background_join", f"WITH {JOINED_CTE} SELECT slide, id, region_key, class, background_type, recommended_repair FROM jb", "fx_regions fx_backgrounds")
@@ -307,12 +312,13 @@ def _(t):
     return rg.worst_risk(residual(t))
 
 
-@query("mask_coverage", f"""WITH bx AS (SELECT * FROM fx_boxes8 WHERE slide % 6 <> 0), m AS (SELECT slide, count(*) FILTER ({MASKED.format(a='p').replace('fx_boxes8', 'bx')}) AS masked, count(*) FILTER ({MASKED.format(a='p').replace('fx_boxes8', 'bx')})::DOUBLE/64 AS coverage FROM fx_pixels p GROUP BY slide)
+@query("mask_coverage", f"""WITH m AS (SELECT slide, count(*) FILTER ({MASKED.format(a='p')}) AS masked, count(*) FILTER ({MASKED.format(a='p')})::DOUBLE/64 AS coverage FROM fx_pixels p GROUP BY slide
+  UNION ALL SELECT 1000000 + vec_id, 0, 0.0 FROM embeddings)
 SELECT slide, masked, coverage, CASE WHEN coverage > 0.25 THEN 'fail' ELSE 'pass' END AS policy_status, CASE WHEN coverage > 0.25 THEN 'high' WHEN coverage > 0.1 THEN 'medium' ELSE 'low' END AS artifact_risk,
   CASE WHEN coverage > 0.18 THEN 'high' WHEN coverage > 0.06 THEN 'medium' ELSE 'low' END AS residual_risk FROM m""", "fx_pixels fx_boxes8")
 def _(t):
-    masked = t.fx_boxes8.where("slide % 6 <> 0")  # a sixth of the slides has an empty mask
-    return rg.mask_coverage(rg.inclusive(masked, 8, 8, 0), 8, 8, slides=t.embeddings.select(c("vec_id").alias("slide")))
+    slides = t.embeddings.select(F.explode(F.array(c("vec_id"), c("vec_id") + 1000000)).alias("slide"))  # every second slide has no boxes
+    return rg.mask_coverage(rg.inclusive(t.fx_boxes8, 8, 8, 0), 8, 8, slides=slides)
 
 
 @query("feather_alpha", f"""WITH {PADDED_CTE.format(p=0)},
@@ -340,8 +346,7 @@ def _(t):
 
 @query("plan_repair", f"""WITH {JOINED_CTE} SELECT slide, region_key, background_type, repair_method, repair_status, residual FROM rt""", "fx_regions fx_backgrounds")
 def _(t):
-    bg = t.fx_backgrounds.where("notes <> ''").select("slide", "region_key", "background_type")
-    return text_layer.plan_repair(t.fx_regions, bg, "region_key").select("slide", "region_key", "background_type", "repair_method", "repair_status", "residual")
+    return text_layer.plan_repair(t.fx_regions, backgrounds(t).drop("recommended_repair"), "region_key").select("slide", "region_key", "background_type", "repair_method", "repair_status", "residual")
 
 
 POLYGONS_SQL = """WITH rp AS (SELECT slide, id, x, y, w, h, CASE id

@@ -1,9 +1,12 @@
 """Queries of sources and sinks, on inputs that Spark derives from the tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import severity
+from ..session import checkpoint_folder
 from ..sources import documents, images, packages, sinks
 from .registry import query
 from .rollup import FIX_SQL, SLIDE_CTE
@@ -118,3 +121,11 @@ def _(t):
     return sinks.report_lines(severity.slide_severity(m, s), m, plan)
 
 
+@query("publish_results", "SELECT slide, severity, issue_count, status, CASE status WHEN 'fail' THEN 2 ELSE 1 END AS run FROM fx_summary", "fx_summary")
+def _(t):
+    """All slides are published by status, then the failed ones again; the second run replaces its own partition only."""
+    path = f"{checkpoint_folder(t.spark).rstrip('/')}/published-{uuid.uuid4().hex}"
+    rows = t.fx_summary.select("slide", "severity", "issue_count", "status")
+    sinks.publish(rows.withColumn("run", F.lit(1)), path, ["status"])
+    sinks.publish(rows.where("status = 'fail'").withColumn("run", F.lit(2)), path, ["status"])
+    return sinks.read_published(t.spark, path).select("slide", "severity", "issue_count", "status", "run")

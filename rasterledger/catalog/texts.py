@@ -122,14 +122,15 @@ def _(t):
 
 def text_docs(t):
     k, n, r = c("conv_id").cast("string"), c("turn").cast("string"), c("role")
-    doc = F.concat(F.lit('{"title":"conv '), k, F.lit('","size":3,"regions":[{"text":"'), r, F.lit('","evidence":{"ocrText":"t'), n, F.lit('","score":1}},{"Label":"'), r,
+    body = F.expr("substring(to_json(array(coalesce(text, ''))), 2, length(to_json(array(coalesce(text, '')))) - 2)")
+    doc = F.concat(F.lit('{"title":"conv '), k, F.lit('","text":'), body, F.lit(',"size":3,"regions":[{"text":"'), r, F.lit('","evidence":{"ocrText":"t'), n, F.lit('","score":1}},{"Label":"'), r,
                    F.lit('"}],"meta":{"a":{"b":{"content":["deep '), k, F.lit('","more"]}}},"other":"no"}'))
     return t.conversations.select((c("conv_id") * 1000 + c("turn")).alias("slide"), doc.alias("doc"))
 
 
-@query("collect_text_values", """WITH d AS (SELECT conv_id*1000 + turn AS slide, conv_id AS k, turn AS n, role AS r FROM conversations)
-SELECT slide, 0::BIGINT AS place, 'title' AS key, 'conv ' || k AS value FROM d UNION ALL SELECT slide, 1, 'text', r FROM d UNION ALL SELECT slide, 2, 'ocrText', 't' || n FROM d
-UNION ALL SELECT slide, 3, 'Label', r FROM d UNION ALL SELECT slide, 4, 'content', 'deep ' || k FROM d UNION ALL SELECT slide, 5, 'content', 'more' FROM d""")
+@query("collect_text_values", """WITH d AS (SELECT conv_id*1000 + turn AS slide, conv_id AS k, turn AS n, role AS r, coalesce(text, '') AS t FROM conversations)
+SELECT slide, 0::BIGINT AS place, 'title' AS key, 'conv ' || k AS value FROM d UNION ALL SELECT slide, 1, 'text', t FROM d UNION ALL SELECT slide, 2, 'text', r FROM d UNION ALL SELECT slide, 3, 'ocrText', 't' || n FROM d
+UNION ALL SELECT slide, 4, 'Label', r FROM d UNION ALL SELECT slide, 5, 'content', 'deep ' || k FROM d UNION ALL SELECT slide, 6, 'content', 'more' FROM d""")
 def _(t):
     return tx.collect_texts(text_docs(t))
 

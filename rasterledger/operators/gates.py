@@ -41,11 +41,13 @@ def relabel(rows: DataFrame, gate: str, rule: Column | str, level: str = "error"
 
 
 def gate_status(violations: DataFrame, slides: DataFrame | None = None, gate: str | None = None) -> DataFrame:
-    """pass / fail per gate and slide; with ``slides`` (column ``slide``) and ``gate`` also for slides without a finding."""
+    """pass / fail per gate and slide; with ``slides`` (column ``slide``) and ``gate`` also for slides without a finding.
+
+    Findings on slides that the list does not name stay."""
     found = violations.groupBy("gate", "slide").agg(F.count_if(c("level") == "error").alias("errors"), F.count_if(c("level") == "warning").alias("warnings"))
     if slides is not None:
         every = slides.select(F.lit(gate).alias("gate"), "slide").distinct()
-        found = every.join(found, ["gate", "slide"], "left").select("gate", "slide", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("errors", "warnings")])
+        found = every.join(found, ["gate", "slide"], "full").select("gate", "slide", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("errors", "warnings")])
     return found.withColumn("status", F.when(c("errors") > 0, "fail").otherwise("pass"))
 
 

@@ -333,6 +333,31 @@ def reading_order(boxes: DataFrame, unique: str) -> DataFrame:
     return out.drop("_h")
 
 
+def free_numbers(asked: DataFrame, used: DataFrame) -> DataFrame:
+    """``asked`` with ``num``, the ``_k``-th whole number from 1 on that ``used`` (``slide, num``) does not hold.
+
+    The i-th used number u has u - i free ones below it, so the k-th free number is k plus how many used
+    ones have fewer than k below them: a lookup among gaps, in bands of k. No number is written out.
+    """
+    below = running_number(used, ["slide"], [], "num", "_i").select("slide", (F.col("num") - F.col("_i")).alias("_at"), "_i")
+    gaps = below.groupBy("slide", "_at").agg(F.max("_i").alias("_i"))
+    band = F.floor(F.col("_at") / 4096).alias("_band")
+    marks = gaps.select("slide", "_at", band, "_i")
+    carried = marks.groupBy("slide", "_band").agg(F.max("_i").alias("_i")).select("slide", "_band", "_i")
+    # a band starts with the count that the bands before it have reached
+    bands = asked.select("slide", F.floor(F.col("_k") / 4096).alias("_band")).distinct()
+    earlier = W.partitionBy("slide").orderBy("_band", F.col("_i").isNotNull()).rowsBetween(W.unboundedPreceding, -1)
+    both = bands.select("slide", "_band", F.lit(None).cast("bigint").alias("_i")).unionByName(carried)
+    start = both.select("slide", "_band", F.col("_i").alias("_own"), F.max("_i").over(earlier).alias("_start")).where("_own is null").drop("_own")
+    rows = asked.withColumn("_at", F.col("_k")).withColumn("_band", F.floor(F.col("_k") / 4096)).withColumn("_i", F.lit(None).cast("bigint"))
+    events = rows.select("slide", "_at", "_band", "_i", F.struct(*asked.columns).alias("_row")).unionByName(marks.select("slide", "_at", "_band", "_i"), allowMissingColumns=True)
+    # at one place the question comes before the gap: only gaps with fewer than k free numbers below count
+    upto = W.partitionBy("slide", "_band").orderBy("_at", F.col("_i").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = events.withColumn("_seen", F.max("_i").over(upto)).where("_row is not null")
+    out = seen.join(start, ["slide", "_band"], "left")
+    return out.select("_row.*", (F.col("_row._k") + F.coalesce("_seen", "_start", F.lit(0))).alias("num"))
+
+
 def assign_ids(regions: DataFrame, unique: str) -> DataFrame:
     """Give rows without id (null or empty) the lowest free ``r001..`` of their slide, in reading order."""
     regions = regions.withColumn("id", F.nullif("id", F.lit("")))
@@ -341,13 +366,7 @@ def assign_ids(regions: DataFrame, unique: str) -> DataFrame:
             .where(F.format_string("%03d", "num") == F.col("d")).select("slide", "num").distinct())
     missing = regions.where("id IS NULL")
     numbered = reading_order(missing, unique).withColumnRenamed("place", "_k")
-    need = missing.groupBy("slide").agg(F.count(F.lit(1)).alias("m")).join(used.groupBy("slide").agg(F.count(F.lit(1)).alias("u")), "slide", "left")
-    top = F.col("m") + F.coalesce("u", F.lit(0))
-    blocks = need.select("slide", top.alias("top"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(top / 4096))).alias("blk"))
-    numbers = (blocks.select("slide", F.explode(F.sequence(F.greatest(F.col("blk") * 4096, F.lit(1)), F.least(F.col("blk") * 4096 + 4095, F.col("top")))).alias("num"))
-               .join(used, ["slide", "num"], "left_anti"))
-    free = running_number(numbers, ["slide"], [], "num", "_k")
-    filled = numbered.join(free, ["slide", "_k"]).withColumn("id", F.format_string("r%03d", "num")).drop("num", "_k")
+    filled = free_numbers(numbered, used).withColumn("id", F.format_string("r%03d", "num")).drop("num", "_k")
     return regions.where("id IS NOT NULL").unionByName(filled.select(*regions.columns))
 
 

@@ -53,6 +53,16 @@ def range_pieces(ranges: Column, keep_order: bool) -> Column:
     return F.aggregate(ordered, none, lambda done, p: F.concat(done, F.array(F.struct(p["low"].alias("low"), p["high"].alias("high"), total(done).cast("bigint").alias("before")))))
 
 
+def written_out(pieces: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep, place, slide``: every id of the pieces ``_p``, block by block, so that no list of ids is longer than a block."""
+    wide = pieces.select(*keep, "_p", F.explode(F.sequence(c("_p.low"), c("_p.high"), F.lit(WIDE).cast("bigint"))).alias("_w"))
+    blocks = wide.select(*keep, "_p", F.explode(F.sequence(c("_w"), F.least(c("_w") + WIDE - 1, c("_p.high")), F.lit(BLOCK).cast("bigint"))).alias("_b"), "_w")
+    # an exchange deals one wide range out to all tasks; without it a task would hold all ids of a row at once
+    blocks = blocks.repartition("_b", "_w")
+    ids = blocks.select(*keep, "_p", F.explode(F.sequence(c("_b"), F.least(c("_b") + BLOCK - 1, c("_w") + WIDE - 1, c("_p.high")))).alias("slide"))
+    return ids.select(*keep, (c("_p.before") + c("slide") - c("_p.low")).alias("place"), "slide")
+
+
 def parse_ranges(df: DataFrame, column: str, keep_order: bool = False) -> DataFrame:
     """One row per slide id with its place; one row with ``error`` and ``reason`` for a bad text.
 
@@ -65,10 +75,7 @@ def parse_ranges(df: DataFrame, column: str, keep_order: bool = False) -> DataFr
     digits = F.forall(range_tokens(c(column)), lambda p: p.rlike(TOKEN))
     large = digits & F.exists(range_tokens(c(column)), lambda p: F.regexp_extract(p, TOKEN, 1).try_cast("bigint").isNull() | (F.nullif(F.regexp_extract(p, TOKEN, 2), F.lit("")).isNotNull() & F.regexp_extract(p, TOKEN, 2).try_cast("bigint").isNull()))
     pieces = rows.where(~bad).select(*keep, F.explode(range_pieces(c("_ranges"), keep_order)).alias("_p"))
-    wide = pieces.select(*keep, "_p", F.explode(F.sequence(c("_p.low"), c("_p.high"), F.lit(WIDE).cast("bigint"))).alias("_w"))
-    blocks = wide.select(*keep, "_p", F.explode(F.sequence(c("_w"), F.least(c("_w") + WIDE - 1, c("_p.high")), F.lit(BLOCK).cast("bigint"))).alias("_b"), "_w")
-    ids = blocks.select(*keep, "_p", F.explode(F.sequence(c("_b"), F.least(c("_b") + BLOCK - 1, c("_w") + WIDE - 1, c("_p.high")))).alias("slide"))
-    good = ids.select(*keep, (c("_p.before") + c("slide") - c("_p.low")).alias("place"), "slide", F.lit(False).alias("error"), F.lit(None).cast("string").alias("reason"))
+    good = written_out(pieces, keep).select(*keep, "place", "slide", F.lit(False).alias("error"), F.lit(None).cast("string").alias("reason"))
     reason = F.when(c(column).isNull(), "missing").when(large, "number too large").otherwise("malformed")
     flagged = rows.where(bad).select(*keep, F.lit(None).cast("bigint").alias("place"), F.lit(None).cast("bigint").alias("slide"), F.lit(True).alias("error"), reason.alias("reason"))
     return good.unionByName(flagged)
@@ -244,8 +251,13 @@ def _positive(v: Column) -> Column:
     return F.when(n >= 1, F.floor(n))
 
 
+def single_ids(ids: Column) -> Column:
+    """Ids one by one as pieces, in order; repeats stay."""
+    return F.transform(ids, lambda v, i: F.struct(v.alias("low"), v.alias("high"), i.cast("bigint").alias("before")))
+
+
 def trace_value(raw: Column) -> Column:
-    """Ids of one trace value: range text, number, list of ids or list of objects."""
+    """Pieces ``low, high, before`` of one trace value: range text, number, list of ids or list of objects; null when it is bad."""
     items = F.from_json(raw, "array<string>")
     is_list = F.trim(raw).startswith("[")
     objects = F.exists(items, lambda i: i.startswith("{"))
@@ -253,57 +265,67 @@ def trace_value(raw: Column) -> Column:
         *[_positive(F.get_json_object(i, "$." + k)) for k in TRACE_IDS])))
     plain = F.transform(items, _positive)
     from_plain = F.when(F.forall(plain, lambda v: v.isNotNull()), plain)
-    return F.when(is_list, F.when(objects, from_objects).otherwise(from_plain)).otherwise(range_ids(raw))
+    ranges = F.transform(range_tokens(raw), token_range)
+    sound = F.forall(ranges, lambda r: r.isNotNull())
+    return F.when(is_list, single_ids(F.when(objects, from_objects).otherwise(from_plain))).when(sound, range_pieces(ranges, True))
+
 
+MOST_ID = (1 << 63) - 1
 
-def _deep_trace(node):
-    """First slide list under a preferred key at any depth (small JSON helper)."""
-    def ids(value):
+
+def _deep_trace(node) -> tuple[list[tuple[int, int]], bool]:
+    """Ranges of the first slide list under a preferred key at any depth, and whether they are single ids whose repeats stay."""
+    def ranges(value):
         if isinstance(value, bool) or value is None or isinstance(value, dict):
             return []
         if isinstance(value, (int, float)):
-            return [int(value)] if value >= 1 else []
+            return [(int(value), int(value))] if 1 <= value <= MOST_ID else []
         if isinstance(value, str):
             out = []
             for part in filter(None, (p.strip() for p in value.split(","))):
-                lo, _, hi = part.partition("-")
-                if not lo.strip().isdigit() or (hi and not hi.strip().isdigit()) or part.endswith("-"):
+                lo, dash, hi = (x.strip() for x in part.partition("-"))
+                if not lo.isdigit() or (dash and not hi.isdigit()):
                     return []
                 a, b = int(lo), int(hi or lo)
-                if a <= 0 or b < a:
+                if not 0 < a <= b <= MOST_ID:
                     return []
-                out += range(a, b + 1)
-            return list(dict.fromkeys(out))
+                out.append((a, b))
+            return out
         if any(isinstance(v, dict) for v in value):
-            picked = [next((ids(v[k])[0] for k in TRACE_IDS if k in v and len(ids(v[k])) == 1), None) for v in value if isinstance(v, dict)]
-            return [p for p in picked if p]
-        found = [ids(v) for v in value]
-        return [f[0] for f in found] if all(len(f) == 1 for f in found) else []
+            picked = [next((one(v[k]) for k in TRACE_IDS if k in v and one(v[k])), None) for v in value if isinstance(v, dict)]
+            return [(p, p) for p in picked if p]
+        found = [one(v) for v in value]
+        return [(f, f) for f in found] if all(found) else []
+
+    def one(value):
+        """The id of a value that stands for a single one."""
+        held = set(ranges(value))
+        return next(iter(held))[0] if len(held) == 1 and all(a == b for a, b in held) else None
 
     if isinstance(node, dict):
         for k, v in node.items():
-            if k.lower() in TRACE_KEYS and ids(v):
-                return ids(v)
-    if isinstance(node, list) and ids(node):
-        return ids(node)
+            if k.lower() in TRACE_KEYS and ranges(v):
+                return ranges(v), not isinstance(v, str)
+    if isinstance(node, list) and ranges(node):
+        return ranges(node), True
     for v in node.values() if isinstance(node, dict) else node if isinstance(node, list) else []:
         found = _deep_trace(v)
-        if found:
+        if found[0]:
             return found
-    return []
+    return [], False
 
 
 def trace_slides(traces: DataFrame, column: str = "trace") -> DataFrame:
     """Slides named by a run trace: nine known paths first, then any preferred key.
 
     The known paths are read by built-in JSON functions; only documents without a
-    hit go through Python.
+    hit go through Python. Both give ranges; ids are written out in blocks at the end. Numbers
+    beyond BIGINT name no slide.
     """
     parsed = traces.select("id", column, F.try_parse_json(c(column)).alias("_v"))  # one parse for all paths
     raws = F.array_compact(F.array(*[F.try_variant_get("_v", "$." + p, "string") for p in TRACE_PATHS]))
-    direct = F.get(F.filter(F.transform(raws, lambda r: trace_value(r)), lambda ids: F.coalesce(F.size(ids), F.lit(0)) > 0), 0)
-    rows = parsed.select("id", column, direct.alias("ids"))
-    hit = rows.select("id", F.posexplode("ids").alias("place", "slide"))
+    direct = F.get(F.filter(F.transform(raws, lambda r: trace_value(r)), lambda found: F.coalesce(F.size(found), F.lit(0)) > 0), 0)
+    rows = parsed.select("id", column, direct.alias("pieces"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -313,11 +335,15 @@ def trace_slides(traces: DataFrame, column: str = "trace") -> DataFrame:
                     node = json.loads(text)
                 except (TypeError, ValueError):
                     continue
-                out += [(key, i, s) for i, s in enumerate(_deep_trace(node))]
-            yield pd.DataFrame(out, columns=["id", "place", "slide"])
-
-    deep = rows.where("ids IS NULL").select("id", column).mapInPandas(walk, "id bigint, place int, slide bigint")
-    return hit.unionByName(deep).withColumn("place", c("place").cast("bigint"))
+                found, single = _deep_trace(node)
+                if found:
+                    out.append((key, [{"low": a, "high": b} for a, b in found], single))
+            yield pd.DataFrame(out, columns=["id", "ranges", "single"])
+
+    deep = rows.where("pieces IS NULL").select("id", column).mapInPandas(walk, "id bigint, ranges array<struct<low:bigint,high:bigint>>, single boolean")
+    deep = deep.select("id", F.when(c("single"), single_ids(F.transform("ranges", lambda r: r["low"]))).otherwise(range_pieces(c("ranges"), True)).alias("pieces"))
+    pieces = rows.where("pieces IS NOT NULL").select("id", "pieces").unionByName(deep).select("id", F.explode("pieces").alias("_p"))
+    return written_out(pieces, ["id"])
 
 
 def has_exception(exceptions: Column, *needles: Column, pattern: str | None = None) -> Column:

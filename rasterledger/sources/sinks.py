@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 c = F.col
@@ -17,6 +17,30 @@ def write_evidence(df: DataFrame, path: str, fmt: str = "parquet", partition_by:
     writer.save(path)
 
 
+SCHEMA_VERSION = "rasterledger.evidence.v1"
+
+
+def publish(df: DataFrame, path: str, partition_by: list[str], version: str = SCHEMA_VERSION) -> None:
+    """Replace the partitions (a deck, a status) that ``df`` has rows of and leave all others as they are.
+
+    Files are staged and moved on commit, so a job that fails leaves the table as it was. Every
+    row carries ``schema_version``.
+    """
+    rows = df.withColumn("schema_version", F.lit(version))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def read_published(spark: SparkSession, path: str, version: str = SCHEMA_VERSION) -> DataFrame:
+    """A published table; an error where rows of another version (or of none) are found."""
+    rows = spark.read.parquet(path)
+    if "schema_version" not in rows.columns:
+        raise ValueError(f"{path} has no schema version")
+    others = [r[0] for r in rows.where(~c("schema_version").eqNullSafe(version)).select("schema_version").distinct().limit(3).collect()]
+    if others:
+        raise ValueError(f"{path} holds schema versions {others}, not {version}")
+    return rows.drop("schema_version")
+
+
 def report_lines(slides: DataFrame, metrics: DataFrame, issues: DataFrame, mode: str = "qa-polish") -> DataFrame:
     """Text report as rows ``slide, section, place, line``; sort by these to print.
 
