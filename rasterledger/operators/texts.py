@@ -251,23 +251,20 @@ def _positive(v: Column) -> Column:
     return F.when(n >= 1, F.floor(n))
 
 
-def single_ids(ids: Column) -> Column:
-    """Ids one by one as pieces, in order; repeats stay."""
-    return F.transform(ids, lambda v, i: F.struct(v.alias("low"), v.alias("high"), i.cast("bigint").alias("before")))
-
-
 def trace_value(raw: Column) -> Column:
-    """Pieces ``low, high, before`` of one trace value: range text, number, list of ids or list of objects; null when it is bad."""
+    """``ranges, single`` of one trace value: range text, number, list of ids or list of objects; null when it is bad. Repeats of single ids stay."""
     items = F.from_json(raw, "array<string>")
-    is_list = F.trim(raw).startswith("[")
     objects = F.exists(items, lambda i: i.startswith("{"))
     from_objects = F.array_compact(F.transform(F.filter(items, lambda i: i.startswith("{")), lambda i: F.coalesce(
         *[_positive(F.get_json_object(i, "$." + k)) for k in TRACE_IDS])))
     plain = F.transform(items, _positive)
     from_plain = F.when(F.forall(plain, lambda v: v.isNotNull()), plain)
+    listed = F.transform(F.when(objects, from_objects).otherwise(from_plain), lambda v: F.struct(v.alias("low"), v.alias("high")))
     ranges = F.transform(range_tokens(raw), token_range)
-    sound = F.forall(ranges, lambda r: r.isNotNull())
-    return F.when(is_list, single_ids(F.when(objects, from_objects).otherwise(from_plain))).when(sound, range_pieces(ranges, True))
+    sound = F.when(F.forall(ranges, lambda r: r.isNotNull()), ranges)
+    is_list = F.trim(raw).startswith("[")
+    found = F.when(is_list, listed).otherwise(sound)
+    return F.struct(found.alias("ranges"), is_list.alias("single"))
 
 
 MOST_ID = (1 << 63) - 1
@@ -324,8 +321,8 @@ def trace_slides(traces: DataFrame, column: str = "trace") -> DataFrame:
     """
     parsed = traces.select("id", column, F.try_parse_json(c(column)).alias("_v"))  # one parse for all paths
     raws = F.array_compact(F.array(*[F.try_variant_get("_v", "$." + p, "string") for p in TRACE_PATHS]))
-    direct = F.get(F.filter(F.transform(raws, lambda r: trace_value(r)), lambda found: F.coalesce(F.size(found), F.lit(0)) > 0), 0)
-    rows = parsed.select("id", column, direct.alias("pieces"))
+    direct = F.get(F.filter(F.transform(raws, lambda r: trace_value(r)), lambda v: F.coalesce(F.size(v["ranges"]), F.lit(0)) > 0), 0)
+    rows = parsed.select("id", column, direct.alias("found"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -340,9 +337,12 @@ def trace_slides(traces: DataFrame, column: str = "trace") -> DataFrame:
                     out.append((key, [{"low": a, "high": b} for a, b in found], single))
             yield pd.DataFrame(out, columns=["id", "ranges", "single"])
 
-    deep = rows.where("pieces IS NULL").select("id", column).mapInPandas(walk, "id bigint, ranges array<struct<low:bigint,high:bigint>>, single boolean")
-    deep = deep.select("id", F.when(c("single"), single_ids(F.transform("ranges", lambda r: r["low"]))).otherwise(range_pieces(c("ranges"), True)).alias("pieces"))
-    pieces = rows.where("pieces IS NOT NULL").select("id", "pieces").unionByName(deep).select("id", F.explode("pieces").alias("_p"))
+    deep = rows.where("found IS NULL").select("id", column).mapInPandas(walk, "id bigint, ranges array<struct<low:bigint,high:bigint>>, single boolean")
+    every = rows.where("found IS NOT NULL").select("id", "found.ranges", "found.single").unionByName(deep)
+    # one range or single ids need no cutting
+    alone = F.transform("ranges", lambda r, i: F.struct(r["low"].alias("low"), r["high"].alias("high"), i.cast("bigint").alias("before")))
+    cut = F.when(c("single") | (F.size("ranges") == 1), alone).otherwise(range_pieces(c("ranges"), True))
+    pieces = every.select("id", F.explode(cut).alias("_p"))
     return written_out(pieces, ["id"])
 
 
