@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Hashable, Iterable, Iterator, Sequence
 
 
@@ -31,3 +33,45 @@ def distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     for score in prefix_distances(a, b):  # noqa: B007
         pass
     return score
+
+
+def aligned_cost(a: list[str], b: list[str]) -> int:
+    """An upper bound of the distance in characters between two lines of words, each word with its space.
+
+    Words that occur once in both lines and in the same order are kept; between them equal beginnings and
+    ends are kept and the rest is replaced.
+    """
+    place, in_a, in_b = {w: j for j, w in enumerate(b)}, Counter(a), Counter(b)
+    common = [(i, place[w]) for i, w in enumerate(a) if in_a[w] == 1 and in_b[w] == 1]
+    # the longest run of kept words whose places rise in both lines
+    ends: list[int] = []
+    nodes: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(common):
+        at = bisect_left(ends, j)
+        before.append(nodes[at - 1] if at else -1)
+        ends[at : at + 1], nodes[at : at + 1] = [j], [k]
+    kept, k = [(len(a), len(b))], nodes[-1] if nodes else -1
+    while k >= 0:
+        kept.append(common[k])
+        k = before[k]
+    cost, i, j = 0, 0, 0
+    for to_i, to_j in reversed(kept):
+        stop_i, stop_j = to_i, to_j
+        while i < stop_i and j < stop_j and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        while i < stop_i and j < stop_j and a[stop_i - 1] == b[stop_j - 1]:
+            stop_i, stop_j = stop_i - 1, stop_j - 1
+        cost += max(sum(map(len, a[i:stop_i])) + stop_i - i, sum(map(len, b[j:stop_j])) + stop_j - j)
+        i, j = to_i + 1, to_j + 1
+    return cost
+
+
+def within(a: str, b: str, most: float) -> bool:
+    """Whether two lines of words are at most ``most`` edits apart; exact, bounds from words and letters come first."""
+    if aligned_cost(a.split(" "), b.split(" ")) <= most:
+        return True
+    letters, others = Counter(a), Counter(b)
+    if max((letters - others).total(), (others - letters).total()) > most:
+        return False
+    return distance(a, b) <= most
