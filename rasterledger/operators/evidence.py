@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.columns import blank, lookup, round_to
-from ..functions.ranking import hot_lookup, running_number, salted_lookup
+from ..functions.ranking import crowded, hot_lookup, running_number, salted_lookup
 
 c = F.col
 
@@ -143,12 +143,20 @@ def object_counts(objects: DataFrame) -> DataFrame:
 def _occurrences(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Every row with ``first`` = is it the first of its key.
 
-    Equal rows are folded to one row with a count before anything moves, the first
+    Rows move once, by their key, and the first is marked there. Where a key may hold very many rows,
+    equal ones are folded to one row with a count before anything moves, the first
     row of a key is a partial aggregate, and it is brought back with salted keys;
     so neither a key with very many rows nor very many copies of one row ends in a
     single task. The copies are unfolded at the end.
     """
     full = [*order, *[n for n in rows.columns if n not in order]]
+    hot = crowded(rows, keys)
+    few = rows if hot is None else rows.where(~hot)
+    marked = few.withColumn("first", F.row_number().over(W.partitionBy(*keys).orderBy(*full)) == 1)
+    return marked if hot is None else marked.unionByName(_hot_occurrences(rows.where(hot), keys, full))
+
+
+def _hot_occurrences(rows: DataFrame, keys: list[str], full: list[str]) -> DataFrame:
     folded = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
     first = folded.groupBy(*keys).agg(F.min(F.struct(*full)).alias("_first"))
     marked = salted_lookup(folded, first, keys).withColumn("_lead", F.struct(*full).eqNullSafe(c("_first")))

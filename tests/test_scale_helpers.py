@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterledger.functions.quantiles import exact_quantile
-from rasterledger.functions.ranking import running_number, salted_lookup
+from rasterledger.functions.ranking import crowded, running_number, salted_lookup
 from rasterledger.operators import evidence as ev
 
 
@@ -64,3 +64,38 @@ def test_exact_copies_are_counted(spark):
     assert sorted((r.k, r.o or "") for r in ev.duplicates(rows, ["k"], ["o"]).collect()) == [(1, "a")] * 3 + [(1, "b"), (3, "")]
     both = ev.merge_partitions([rows, rows.where("k = 2")], "k", ["o"])
     assert both.where("NOT duplicate").count() == 3 and both.count() == 9
+
+
+def _exchanged(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_few_rows_per_key_move_once(spark):
+    """Keys with few rows each: rows move once and the first of a key goes back to no salts."""
+    rows = spark.range(20000).select((F.col("id") % 9000).alias("k"), F.col("id").alias("i"))
+    found = ev.duplicates(rows, ["k"], ["i"])
+    assert found.count() == 11000 and _exchanged(found) == 1
+
+
+def test_null_keys_are_a_key(spark):
+    """Rows of null keys are numbered as SQL does, however many there are."""
+    for n in (10, 20000):
+        rows = spark.range(n).select(F.lit(None).cast("bigint").alias("k"), F.col("id").alias("i"))
+        assert ev.duplicates(rows, ["k"], ["i"]).count() == n - 1
+        assert running_number(rows, ["k"], [], "i").agg(F.max("rn")).first()[0] == n
+
+
+def test_running_number_of_small_and_hot_keys(spark):
+    """One exchange where keys hold few rows; the same numbers where one key holds most rows."""
+    even = spark.range(20000).select((F.col("id") % 5000).alias("k"), (F.col("id") * 7919 % 20000).alias("i"))
+    number = lambda df: running_number(df, ["k"], [(F.col("i") % 10, True)], "i")
+    assert _exchanged(number(even)) == 1
+    hot = even.withColumn("k", F.when(F.col("i") % 3 > 0, F.lit(-1)).otherwise(F.col("k")))
+    assert crowded(hot, ["k"]) is not None
+    want = hot.withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy(F.desc(F.col("i") % 10), "i")).cast("bigint"))
+    assert number(hot).exceptAll(want).isEmpty() and number(hot).count() == 20000
+
+
+def _exchanged(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
