@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rasterledger.operators import regions as rg
 from rasterledger.plans import text_layer
@@ -116,3 +117,29 @@ def test_clamp_rounds_half_to_even(spark):
     rows = spark.createDataFrame([(0.5, 1.5, 2.5, 5000.0), (-4.0, 2000.0, 0.2, 3.0), (None, 1.0, 1.0, 1.0)], "x double, y double, w double, h double")
     got = [tuple(r) for r in rg.clamp_boxes(rows).collect()]
     assert got == [(0, 2, 2, 939), (0, 940, 1, 1)]
+
+
+def test_islands_of_few_and_crowded_slides(spark, monkeypatch):
+    """Boxes of a slide with few of them move once; both ways of cutting give the same islands, and walks the same boxes."""
+    rng = random.Random(5)
+    rows = [(s, rng.randrange(0, 900, 7), rng.randrange(0, 600, 5), rng.randint(0, 60), rng.randint(0, 40), rng.choice(["cv", "ocr"]), rng.randint(1, 9) / 10, "t")
+            for s, n in ((1, 400), (2, 3), (3, 60), (4, 1)) for _ in range(n)]
+    boxes = spark.createDataFrame(rows, "slide bigint, x bigint, y bigint, w bigint, h bigint, detector string, confidence double, text string")
+    shape = ["slide", "x", "y", "w", "h"]
+
+    def cut(df):
+        held = {}
+        for r in df.collect():
+            held.setdefault((r["slide"], r["iy"], r["ix"]), set()).add(tuple(r[c] for c in shape))
+        return sorted(sorted(g) for g in held.values())
+
+    distinct = boxes.select(*shape).distinct()
+    assert cut(rg._own_islands(distinct)) == cut(rg._edge_islands(distinct))
+    placed = rg._in_order(boxes, [], ["y", "x"])
+    assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    found = [sorted(map(tuple, rg.merge_overlaps(boxes).collect()))]
+    monkeypatch.setattr(rg, "crowding", lambda df, keys: (F.col("slide").isin(1, 4), 600_000))
+    found.append(sorted(map(tuple, rg.merge_overlaps(boxes).collect())))
+    monkeypatch.setattr(rg, "FEW_KEPT", 0)
+    found.append(sorted(map(tuple, rg.merge_overlaps(boxes).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
