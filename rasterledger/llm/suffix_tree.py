@@ -13,15 +13,15 @@ P(word | word before) = P(first two | closing bytes) * P(word | its first two).
 contexts are counted over all training texts; one is kept as a state if it occurs
 ``least`` times, whatever the size of the corpus, and if its next-symbol distribution departs from that of its
 parent (count times Kullback-Leibler divergence over ``divergence``). So the trees grow with
-the corpus; beyond ``most_edges`` edges the divergence asked for is doubled until they fit, which leaves
-less telling states to the next shorter ones. A kept state keeps all its edges. Each state's
+the corpus. A kept state keeps all its edges. Each state's
 distribution is smoothed towards that of the next shorter state. A symbol is scored
 by the longest suffix of what stands before it that is a state.
 
 Counts move as (word, count) and (context, count) rows; the number of different words
-and contexts grows with the corpus. The trees alone are bounded by ``most_edges`` and
-go to all tasks. Scores belong to different words: chunks of documents ask for the
-words they hold, a join answers, and each chunk adds up its documents.
+and contexts grows with the corpus. A tree of up to ``MOST_EDGES`` edges goes to all tasks; a
+larger one stays a table, chunks of words or documents ask for the contexts they hold
+and joins answer level by level. The scores are the same either way. Scores belong to different
+words: chunks of documents ask for the words they hold, a join answers, and each chunk adds up its documents.
 
 Null text is empty: one token, the end. A null id counts as empty text when texts are
 split for training. Repeated rows stay; an empty table gives an empty result; with
@@ -32,11 +32,12 @@ columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ from .hashing import LOWER, word_spans
 DEPTH, OUTER = 5, 3
 CHUNK_BYTES = 8 << 20
 MOST_WORDS = 150_000
+#: Edges of a tree that goes to all tasks; a larger one is asked by joins.
 MOST_EDGES = 4_000_000
 WORD_END, TEXT_END = 0x20, 0x0A
 
@@ -102,6 +104,12 @@ def grams(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key.astype(np.int64), row
 
 
+def lower_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes of all texts in a row and the bounds between them."""
+    body, offsets = raw_bytes(texts(array))
+    return LOWER[body], offsets
+
+
 def word_edges(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every token of lower-cased texts: the number made of up to ``OUTER`` closing bytes of the word before and the token's first two symbols; n+1 bounds by text."""
     starts, ends, bounds = word_spans(body, offsets)
@@ -143,16 +151,16 @@ def outer_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch):
-                body, offsets = raw_bytes(texts(part.column("text")))
-                yield _counted(word_edges(LOWER[body], offsets)[0])
+                yield _counted(word_edges(*lower_bytes(part.column("text")))[0])
 
     return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def states(counts: DataFrame, depth: int, bits: int, least: int = 4, divergence: float = 12.0, most_edges: int = MOST_EDGES) -> DataFrame:
+def states(counts: DataFrame, depth: int, bits: int, least: int = 4, divergence: float = 12.0, most_edges: int | None = None) -> DataFrame:
     """Edges ``k, context, symbol, n, total, kinds`` of the kept states, the root (k = 0) among them, from ``key, n``.
 
     A key is up to ``depth`` bytes of context (the last byte lowest) above ``bits`` bits of the symbol.
+    Only with ``most_edges`` is the divergence asked for doubled until that many are left.
     """
     levels = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright("key", bits).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context")) for k in range(depth + 1)]))
     edges = counts.select(levels.alias("at"), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("symbol"), "n").groupBy("at.k", "at.context", "symbol").agg(F.sum("n").alias("n"))
@@ -165,7 +173,7 @@ def states(counts: DataFrame, depth: int, bits: int, least: int = 4, divergence:
     own = held.where("k > 0").withColumn("shorter", F.expr("context & (shiftleft(1L, 8 * (k - 1)) - 1)"))
     gain = own.join(parent, ["k", "shorter", "symbol"]).groupBy("k", "context").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"), F.count("*").alias("own"))
     gain = saved(gain.where(F.col("gain") > divergence))
-    while (gain.where(F.col("gain") > divergence).agg(F.sum("own")).first()[0] or 0) > most_edges:
+    while most_edges is not None and (gain.where(F.col("gain") > divergence).agg(F.sum("own")).first()[0] or 0) > most_edges:
         divergence *= 2
     kept = gain.where(F.col("gain") > divergence).select("k", "context")
     return held.join(kept, ["k", "context"]).unionByName(held.where("k = 0")).select("k", "context", "symbol", "n", "total", "kinds")
@@ -204,6 +212,46 @@ class Tree:
         return p[at]
 
 
+def probabilities(keys: DataFrame, edges: DataFrame, root: np.ndarray, depth: int, bits: int) -> DataFrame:
+    """``key, p`` of every row of ``key``: what ``Tree.probability`` gives, by joins with the edges of each level."""
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key")
+            yield pa.RecordBatch.from_arrays([key, pa.array(root[key.to_numpy() & ((1 << bits) - 1)])], names=["key", "p"])
+
+    rows = keys.select("key").mapInArrow(start, "key long, p double")
+    symbol = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    for k in range(1, depth + 1):
+        own = edges.where(F.col("k") == k)
+        kept = own.groupBy("context").agg(F.first("total").alias("total"), F.first("kinds").alias("kinds"))
+        context = F.shiftright("key", bits).bitwiseAND(F.lit((1 << 8 * k) - 1))
+        met = rows.withColumns({"context": context, "symbol": symbol}).join(kept, "context", "left").join(own.select("context", "symbol", "n"), ["context", "symbol"], "left")
+        smoothed = (F.coalesce("n", F.lit(0)) + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))
+        rows = met.select("key", F.when(F.col("total").isNull(), F.col("p")).otherwise(smoothed).alias("p"))
+    return rows
+
+
+def asked(rows: DataFrame, column: str, keys_of: Callable[[pa.Array], np.ndarray], edges: DataFrame, root: np.ndarray, depth: int, bits: int) -> DataFrame:
+    """``chunk, key, p`` of the different keys of each ``chunk`` of ``rows``."""
+
+    def ask(group: pa.Table) -> pa.Table:
+        found = [np.unique(keys_of(part.column(column))) for batch in group.select([column]).to_batches() for part in by_bytes(batch, column)]
+        keys = np.unique(np.concatenate(found))
+        return pa.table({"chunk": pa.repeat(group["chunk"][0], len(keys)), "key": pa.array(keys)})
+
+    questions = saved(rows.select("chunk", column).groupBy("chunk").applyInArrow(ask, "chunk long, key long"))
+    return questions.join(probabilities(questions.select("key").distinct(), edges, root, depth, bits), "key").select("chunk", "key", "p")
+
+
+def _looked_up(answer: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
+    """The probability of each number from ``key, p`` rows."""
+    keys, p = answer["key"].to_numpy(), answer["p"].to_numpy()
+    order = np.argsort(keys)
+    keys, p = keys[order], p[order]
+    return lambda key: p[np.searchsorted(keys, key)]
+
+
 class Model:
     """Both trees, and the weight ``trust`` (in tokens; the number of different words) of the inner tree beside the counted words."""
 
@@ -218,18 +266,20 @@ class Model:
         pair[TEXT_END << 8] = start[TEXT_END]
         self.first = (outer.root + self.trust * pair) / (self.tokens + self.trust)
 
-    def words(self, array: pa.Array, n: np.ndarray) -> np.ndarray:
-        """log10 probability of each word given its first two symbols."""
+    def words(self, array: pa.Array, n: np.ndarray, inner_of: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """log10 probability of each word given its first two symbols; ``inner_of`` answers for an inner tree that is not here."""
         if not len(array):
             return np.zeros(0)
         key, row = grams(array)
-        inner = 10 ** np.maximum(np.bincount(row, np.log10(self.inner.probability(key, self.bytes)), len(array)), -300)
+        p = self.inner.probability(key, self.bytes) if inner_of is None else inner_of(key)
+        inner = 10 ** np.maximum(np.bincount(row, np.log10(p), len(array)), -300)
         body, offsets = raw_bytes(array)
         first = (body[offsets[:-1]].astype(np.int64) << 8) | np.where(np.diff(offsets) > 1, body[np.minimum(offsets[:-1] + 1, len(body) - 1)], WORD_END)
         return np.log10((n + self.trust * inner) / (self.tokens + self.trust)) - np.log10(self.first[first])
 
-    def edges(self, key: np.ndarray) -> np.ndarray:
-        return np.log10(np.maximum(self.outer.probability(key, self.first), 1e-300))
+    def edges(self, key: np.ndarray, outer_of: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        p = self.outer.probability(key, self.first) if outer_of is None else outer_of(key)
+        return np.log10(np.maximum(p, 1e-300))
 
 
 def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -241,9 +291,14 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
     tokens, known = words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
     tokens, known = (tokens or 0) + rows, known + (rows > 0)
     ends = docs.sparkSession.createDataFrame([((WORD_END << 8) | TEXT_END, rows)], "key long, n long").where("n > 0")
-    rows_of = lambda edges: np.stack([c.to_numpy().astype(np.int64) for c in edges.toArrow().columns], 1)  # noqa: E731  at most MOST_EDGES and the root's
-    inner = Tree(rows_of(states(inner_counts(words).unionByName(ends), DEPTH, 8)), DEPTH, 8)
-    outer = Tree(rows_of(states(outer_counts(training.where("train")), OUTER, 16)), OUTER, 16)
+    rows_of = lambda edges: np.stack([c.to_numpy().astype(np.int64) for c in edges.toArrow().columns], 1)  # noqa: E731  at most MOST_EDGES, or levels of 65,536
+    inner_edges = saved(states(inner_counts(words).unionByName(ends), DEPTH, 8))
+    outer_edges = saved(states(outer_counts(training.where("train")), OUTER, 16))
+    many_inner, many_outer = inner_edges.count() > MOST_EDGES, outer_edges.count() > MOST_EDGES
+    # of a large tree the model holds what the first two symbols of words need: levels 0 and 1 and the contexts of one byte after a word end
+    head = (F.col("k") < 2) | ((F.col("k") == 2) & (F.shiftright("context", 8) == WORD_END))
+    inner = Tree(rows_of(inner_edges.where(head) if many_inner else inner_edges), DEPTH, 8)
+    outer = Tree(rows_of(outer_edges.where("k = 0") if many_outer else outer_edges), OUTER, 16)
     model = Model(inner, outer, tokens, known)
     below = tokens + 0.1 * (known + 1)
     end_base = float(np.log10((rows + 0.1) / below))
@@ -254,6 +309,22 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
                 n = part.column("n")
                 yield pa.RecordBatch.from_arrays([part.column("word"), n, pa.array(model.words(part.column("word"), n.to_numpy()))], names=["word", "n", "lp"])
 
+    valued = "word binary, n long, lp double"
+    if many_inner:
+        bulk = words.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+        dealt = words.withColumn("chunk", F.pmod(F.xxhash64("word"), F.lit(max(1, -(-bulk // CHUNK_BYTES)))))
+
+        def value_asked(group: pa.Table, answer: pa.Table) -> pa.Table:
+            inner_of, lp = _looked_up(answer), []
+            for batch in group.to_batches():
+                for part in by_bytes(batch, "word"):
+                    lp.append(model.words(part.column("word"), part.column("n").to_numpy(), inner_of))
+            return pa.table({"word": group["word"], "n": group["n"], "lp": np.concatenate(lp)})
+
+        answered = asked(dealt, "word", lambda array: grams(array)[0], inner_edges, model.bytes, DEPTH, 8)
+        values = dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(value_asked, valued)
+    else:
+        values = words.mapInArrow(value, valued)
     chunks = max(1, -(-(size or 0) // CHUNK_BYTES))
     chunked = own.withColumn("chunk", F.pmod(F.xxhash64("id", F.md5("text")), F.lit(chunks)))
 
@@ -261,18 +332,24 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
         seen = set(chain.from_iterable(words_of(t) for batch in group.select(["text"]).to_batches() for t in batch.column(0).to_pylist()))
         return pa.table({"chunk": pa.repeat(group["chunk"][0], len(seen)), "word": pa.array(list(seen), pa.binary())})
 
-    answers = chunked.groupBy("chunk").applyInArrow(ask, "chunk long, word binary").join(words.mapInArrow(value, "word binary, n long, lp double"), "word")
+    answers = chunked.groupBy("chunk").applyInArrow(ask, "chunk long, word binary").join(values, "word")
+    if many_outer:
+        edge_keys = lambda array: word_edges(*lower_bytes(array))[0]
+        answers = answers.unionByName(asked(chunked, "text", edge_keys, outer_edges, model.first, OUTER, 16), allowMissingColumns=True)
 
     def add_up(group: pa.Table, answer: pa.Table) -> pa.Table:
+        outer_of = None
+        if many_outer:
+            outer_of = _looked_up(answer.filter(pc.is_valid(answer["key"])))
+            answer = answer.filter(pc.is_valid(answer["word"]))
         place = dict(zip(answer["word"].to_pylist(), range(answer.num_rows), strict=True))
         n = answer["n"].to_numpy()
         base, lp = np.log10((n + 0.1) / below), answer["lp"].to_numpy()
         out, i = np.zeros((4, group.num_rows)), 0
         for batch in group.select(["text"]).to_batches():
             for part in by_bytes(batch):
-                body, offsets = raw_bytes(texts(part.column("text")))
-                edges, bounds = word_edges(LOWER[body], offsets)
-                own_edges = np.add.reduceat(model.edges(edges), bounds[:-1])
+                edges, bounds = word_edges(*lower_bytes(part.column("text")))
+                own_edges = np.add.reduceat(model.edges(edges, outer_of), bounds[:-1])
                 for t, edge in zip(part.column("text").to_pylist(), own_edges, strict=True):
                     at = np.fromiter(map(place.__getitem__, words_of(t)), np.int64)
                     out[:, i] = len(at) + 1, (n[at] > 0).sum() + (rows > 0), base[at].sum() + end_base, lp[at].sum() + edge

@@ -98,3 +98,25 @@ def test_edges_of_words():
 
 def test_empty_table(docs_of):
     assert suffix_tree.score(docs_of([]), crc_mod("doc_id", 10) == 0).count() == 0
+
+
+def test_a_tree_too_large_for_one_place_scores_alike(docs_of, rng, monkeypatch):
+    parts = ["th", "ing", "er", "ou", "Ä", "st", "a", "\x00"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 60))) for _ in range(200)] + [None, "", "x" * 3000]
+    monkeypatch.setattr(suffix_tree, "CHUNK_BYTES", 2000)
+    levels, tree = [], suffix_tree.Tree
+
+    def noted(edges, depth, bits):
+        levels.append(max(row[0] for row in edges))
+        return tree(edges, depth, bits)
+
+    monkeypatch.setattr(suffix_tree, "Tree", noted)
+    docs = docs_of(texts)
+    want, got = [], []
+    for most, rows in ((10**6, want), (0, got)):
+        monkeypatch.setattr(suffix_tree, "MOST_EDGES", most)
+        rows += sorted(suffix_tree.score(docs, crc_mod("doc_id", 10) == 0).collect(), key=lambda r: r["id"])
+    assert levels[0] > 2 and levels[1] > 0
+    assert levels[2] <= 2 and levels[3] == 0
+    assert [r[:6] for r in got] == [r[:6] for r in want]
+    assert all(math.isclose(g["score"], w["score"], rel_tol=1e-12) for g, w in zip(got, want, strict=True))
