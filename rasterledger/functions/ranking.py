@@ -25,14 +25,14 @@ def crowded(df: DataFrame, keys: list[str], least: int = BLOCK) -> Column | None
     return crowding(df, keys, least)[0]
 
 
-def crowding(df: DataFrame, keys: list[str], least: int = BLOCK) -> tuple[Column | None, int]:
-    """What ``crowded`` tells, and the number of rows.
+def crowding(df: DataFrame, keys: list[str], least: int = BLOCK, weight: Column | None = None) -> tuple[Column | None, int]:
+    """What ``crowded`` tells, and the number of rows; each counts as ``weight`` where that is given.
 
     Rows are counted in ``BUCKETS`` buckets by a hash of the keys, so the list at the driver has at most that many
     rows; a key with over four of ``BUCKETS`` shares of all rows is always told.
     """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    counts = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).collect()
+    counts = df.groupBy(bucket.alias("_b")).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n")).collect()
     rows = sum(r["_n"] for r in counts)
     most = max(least, 4 * rows // BUCKETS)
     hot = [r["_b"] for r in counts if r["_n"] > most]

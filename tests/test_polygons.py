@@ -3,6 +3,7 @@
 import random
 from fractions import Fraction
 
+from rasterledger.functions.ranking import crowding
 from rasterledger.operators import polygons as pg
 from rasterledger.operators import regions as rg
 
@@ -82,3 +83,19 @@ def test_mask_of_pixels_follows_polygons(spark):
     got = {(r["slide"], r["x"], r["y"]) for r in rg.pixels_in_boxes(grid, df, "mask", SIZE, SIZE).collect()}
     want = {(s, x, y) for s, k, *_, p in rows if p for x, y in covered(p)} | {(2, x, y) for x in range(20, SIZE) for y in range(20, SIZE)}
     assert got == want
+
+
+def test_union_is_dealt_by_lines(spark, monkeypatch):
+    """Tasks hold about ``TASK_LINES`` scan lines each, and a slide that holds very many is spread; the mask stays the same."""
+    rng = random.Random(5)
+    shapes = [(s, f"r{i}", 0, 0, 2, 2, doubles([(rng.uniform(-2, SIZE + 2), rng.uniform(-2, SIZE + 2)) for _ in range(rng.randint(3, 6))]))
+              for s in [1] * 12 + [2, 3, 4, 5, 6] for i in range(1)] + [(7, "box", 3, 4, 5, 6, None)]
+    want = {(s, x, y) for s, *_, points in shapes if points for x, y in covered(points)} | {(7, x, y) for x in range(3, 9) for y in range(4, 11)}
+    monkeypatch.setattr(pg, "TASK_LINES", 40)
+    frame = spark.createDataFrame(shapes, SHAPE)
+    assert pg.crowding(frame, ["slide"], 200, pg._lines(SIZE, SIZE))[0] is not None
+    for least in (200, 10**6):
+        monkeypatch.setattr(pg, "crowding", lambda df, keys, _, weight, least=least: crowding(df, keys, least, weight))
+        spans = pg.union_spans(frame, SIZE, SIZE)
+        assert {(r["slide"], x, r["y"]) for r in spans.collect() for x in range(r["x0"], r["x1"] + 1)} == want
+    assert spans.rdd.getNumPartitions() > 5
