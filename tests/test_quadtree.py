@@ -57,3 +57,29 @@ def test_wide_lines(spark):
     rows = rg.region_pixels(pixels, boxes, 1, 1000, 10).collect()
     assert sorted((r["id"], r["x"]) for r in rows) == [("a", x) for x in range(4, 596)] + [("b", x) for x in range(62, 66)]
     assert {r["x"] for r in rows if r["id"] == "b" and r["inner"]} == {63, 64}
+
+
+def test_slides_with_few_boxes_need_no_grid(spark, monkeypatch):
+    """Only boxes of crowded slides are cut into cells; columns of the candidates stay as they are."""
+    rng = random.Random(11)
+    rows = [(s, rng.randrange(300), rng.randrange(300), rng.randrange(20, 200), rng.randrange(20, 200)) for s in [*range(30)] * 5 + [99] * 40]
+    rows += rows[:9]
+    grids, leaves = [], rg.leaves
+    monkeypatch.setattr(rg, "leaves", lambda boxes, *args, **more: grids.append({r["slide"] for r in boxes.select("slide").distinct().collect()}) or leaves(boxes, *args, **more))
+    frame = spark.createDataFrame(rows, SHAPE)
+    want = {}
+    for i, (s, *a) in enumerate(rows):
+        for t, *b in rows[i + 1 :]:
+            if s == t and iou(a, b) >= 0.3:
+                key = (s, *sorted([tuple(a), tuple(b)]))
+                want[key] = want.get(key, 0) + 1
+    marked = frame.selectExpr("cast(slide as int) slide", "cast(x as int) x", "y", "w", "h", "'own' as manual", "1 as crowd")
+    manual = rows[::6]
+    clear = sorted(r for r in rows if not any(m[0] == r[0] and iou(m[1:], r[1:]) >= 0.45 for m in manual))
+    for crowd, gridded in ((256, []), (20, [{99}, {99}])):
+        got = rg.iou_pairs(frame, 0.3, crowd=crowd).collect()
+        assert {(r["slide"], *sorted([(r["ax"], r["ay"], r["aw"], r["ah"]), (r["bx"], r["by"], r["bw"], r["bh"])])): r["row_pairs"] for r in got} == want
+        kept = rg.clear_of_manual(spark.createDataFrame(manual, SHAPE), marked, crowd=crowd)
+        assert kept.dtypes == marked.dtypes
+        assert sorted(tuple(r)[:5] for r in kept.collect()) == clear
+        assert grids == gridded
