@@ -11,6 +11,10 @@ from ..functions.columns import bankers
 
 c = F.col
 CORRUPT = "_corrupt"
+#: What is read of a crop that is an object, aliases among it.
+CROP_FIELDS = {"name": "string", "slide": "string", **dict.fromkeys("xywh", "double"), **dict.fromkeys((
+    "feather_edges", "edges", "feather", "content_type", "contentType", "reconstruction_reason", "reconstructionReason", "editable_replacement",
+    "editableReplacement", "allow_large_crop", "allowLargeCrop", "reason", "justification"), "string")}
 
 
 def read_evidence(spark: SparkSession, glob: str, ddl: str) -> DataFrame:
@@ -53,24 +57,30 @@ def normalize_crop_plan(plans: DataFrame, column: str = "doc", fallback: str = "
     first = F.try_variant_get("value", "$[0]", "variant")
     listed = F.coalesce(first.isNotNull(), F.lit(False))
 
-    def at(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get("value", path, kind)
+    # an entry is read once as an object, or once as a list of numbers and once as one of texts; a field that does not fit is null
+    whole = F.try_variant_get("value", "$", f"struct<{', '.join(n + ': ' + kind for n, kind in CROP_FIELDS.items())}>")
+    rows = rows.withColumn("_listed", listed).withColumns({
+        "_o": F.when(~c("_listed"), whole), "_numbers": F.when(c("_listed"), F.try_variant_get("value", "$", "array<double>")),
+        "_texts": F.when(c("_listed"), F.try_variant_get("value", "$", "array<string>"))})
+
+    def at(name: str) -> Column:
+        return c("_o." + name)
 
     def field(*names: str) -> Column:
         """First alias whose value is neither missing nor empty."""
-        return F.coalesce(*[F.nullif(at("$." + n), F.lit("")) for n in names])
+        return F.coalesce(*[F.when(at(n) != "", at(n)) for n in names])
 
     def number(place: int, name: str) -> Column:
-        return bankers(F.when(listed, at(f"$[{place}]", "double")).otherwise(at("$." + name, "double")))
+        return bankers(F.when(c("_listed"), F.get("_numbers", F.lit(place))).otherwise(at(name)))
 
-    edges = F.upper(F.coalesce(F.when(listed, at("$[5]")).otherwise(F.coalesce(at("$.feather_edges"), at("$.edges"), at("$.feather"))), F.lit("")))
-    slide = bankers(F.when(listed, at("$[0]")).otherwise(F.coalesce(at("$.slide"), c("_slide"))).try_cast("double"))
+    edges = F.upper(F.coalesce(F.when(c("_listed"), F.get("_texts", F.lit(5))).otherwise(F.coalesce(at("feather_edges"), at("edges"), at("feather"))), F.lit("")))
+    slide = bankers(F.when(c("_listed"), F.get("_texts", F.lit(0))).otherwise(F.coalesce(at("slide"), c("_slide"))).try_cast("double"))
     policy = {"content_type": ("content_type", "contentType"), "reconstruction_reason": ("reconstruction_reason", "reconstructionReason"),
               "editable_replacement": ("editable_replacement", "editableReplacement")}
     default = {"content_type": "dense_infographic", "reconstruction_reason": vocab.LEGACY_REASON, "editable_replacement": "none"}
     missing = F.array_compact(F.array(*[F.when(field(*names).isNull(), F.lit(k)) for k, names in policy.items()]))
     out = rows.select(
-        *keep, F.coalesce(at("$.name"), c("name")).alias("name"), slide.alias("slide"),
+        *keep, F.coalesce(at("name"), c("name")).alias("name"), slide.alias("slide"),
         number(1, "x").alias("x"), number(2, "y").alias("y"), number(3, "w").alias("w"), number(4, "h").alias("h"), edges.alias("feather_edges"),
         *[F.coalesce(field(*names), F.lit(default[k])).alias(k) for k, names in policy.items()],
         field("allow_large_crop", "allowLargeCrop").try_cast("boolean").alias("allow_large_crop"),
