@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 KEYS = ["key", "sha256", "fingerprint"]
 PARTS = 16
+#: Entries of a batch that one task compares.
+TASK_ROWS = 200_000
 
 
 def fresh_stream(stream: DataFrame, event_time: str, delay: str) -> DataFrame:
@@ -20,11 +22,13 @@ def incremental_refresh(stream: DataFrame, table: str, checkpoint: str) -> None:
 
     Each batch owns one folder of the table and overwrites it, so a batch that is
     replayed after a lost driver or executor leaves the same rows. The table is cut by
-    a hash of the key; a batch reads the parts that its keys fall into and no others.
+    a hash of the key; a batch reads the parts that its keys fall into and no others. The
+    number of tasks grows with the batch.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select(*KEYS).distinct().withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+        entries = batch.select(*KEYS)
+        fresh = entries.repartition(1 + entries.count() // TASK_ROWS, *KEYS).distinct().withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
         if batch_id > 0:
             touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most PARTS numbers
             seen = read_state(spark, table).where((F.col("batch_id") < batch_id) & F.col("part").isin(touched))

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterledger.catalog import stateful
+from rasterledger.fixtures import Tables
 from rasterledger.operators import evidence as ev
 from rasterledger.operators import texts as tx
 from rasterledger.sources import documents, images, packages, sinks
@@ -178,3 +180,28 @@ def test_sink_round_trip(spark, tmp_path):
     out = str(tmp_path / "o")
     sinks.write_evidence(spark.createDataFrame([(1, "pass"), (2, "fail")], "slide bigint, status string"), out, "json", ["status"])
     assert spark.read.json(out).count() == 2
+
+
+def test_refresh_tasks_and_feed_files_grow_with_the_events(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(refresh, "TASK_ROWS", 50)
+    monkeypatch.setattr(stateful, "FILE_ROWS", 250)
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    base = str(tmp_path)
+    entries = {tuple(r) for r in tables.events.selectExpr("user_id", "sha2(props, 256)", "CASE event_type WHEN 'error' THEN 'v2' ELSE 'v1' END").collect()}
+    refresh.incremental_refresh(stateful._feed(tables, base).select(*refresh.KEYS), base + "/state", base + "/progress")
+    rows = refresh.read_state(spark, base + "/state")
+    assert sorted(tuple(r) for r in rows.select(*refresh.KEYS).collect()) == sorted(entries)
+    assert {r["batch_id"] for r in rows.select("batch_id").distinct().collect()} <= {0, 1, 2, 3}
+    assert len(list((tmp_path / "feed").glob("*.parquet"))) == 4 * (1 + tables.events.count() // 250) > 4
+    assert max(len(list(part.glob("*.parquet"))) for part in (tmp_path / "state" / "batch_id=0").glob("part=*")) > 1
+
+
+def test_crop_fields_that_do_not_fit(spark):
+    """A field of another kind is null and leaves the others as they are."""
+    docs = ['[{"name":"a","slide":"2","x":"7.5","y":true,"w":[1],"h":4,"reason":{"k":1},"contentType":"","allowLargeCrop":"yes"}]',
+            '{"crops":{"b":[3,"4",null,6,7.5,"lt"],"c":5,"d":[null,1]}}']
+    rows = {r["name"]: r for r in documents.normalize_crop_plan(spark.createDataFrame([(d, 9) for d in docs], "doc string, fallback_slide int")).collect()}
+    a, b = rows["a"], rows["b"]
+    assert (a["slide"], a["x"], a["w"], a["h"], a["reason"], a["content_type"], a["allow_large_crop"]) == (2, 8, None, 4, '{"k":1}', "dense_infographic", True)
+    assert (b["slide"], b["x"], b["y"], b["w"], b["h"], b["feather_edges"]) == (3, 4, None, 6, 8, "LT")
+    assert rows["c"]["error"] and rows["d"]["error"]
