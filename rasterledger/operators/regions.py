@@ -396,8 +396,30 @@ def free_numbers(asked: DataFrame, used: DataFrame) -> DataFrame:
     """``asked`` with ``num``, the ``_k``-th whole number from 1 on that ``used`` (``slide, num``) does not hold.
 
     The i-th used number u has u - i free ones below it, so the k-th free number is k plus how many used
-    ones have fewer than k below them: a lookup among gaps, in bands of k. No number is written out.
+    ones have fewer than k below them: a lookup among gaps, on crowded slides in bands of k. No number is written out.
     """
+    hot = crowded(asked.select("slide").unionByName(used.select("slide")), ["slide"])
+    part = lambda df, cond: df if hot is None else df.where(cond)
+    few = _free_numbers(part(asked, hot is None or ~hot), part(used, hot is None or ~hot))
+    return few if hot is None else few.unionByName(_free_numbers_in_bands(asked.where(hot), used.where(hot)))
+
+
+def _gap_events(asked: DataFrame, gaps: DataFrame, *more: str) -> DataFrame:
+    """Questions and gaps by place; at one place the question comes before the gap: only gaps with fewer than k free numbers below count."""
+    rows = asked.withColumn("_at", F.col("_k")).withColumn("_band", F.floor(F.col("_k") / 4096)).withColumn("_i", F.lit(None).cast("bigint"))
+    events = rows.select("slide", "_at", *more, "_i", F.struct(*asked.columns).alias("_row")).unionByName(gaps.select("slide", "_at", *more, "_i"), allowMissingColumns=True)
+    upto = W.partitionBy("slide", *more).orderBy("_at", F.col("_i").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return events.withColumn("_seen", F.max("_i").over(upto)).where("_row is not null")
+
+
+def _free_numbers(asked: DataFrame, used: DataFrame) -> DataFrame:
+    """One window per slide."""
+    own = F.row_number().over(W.partitionBy("slide").orderBy("num")).cast("bigint")
+    gaps = used.select("slide", "num", own.alias("_i")).select("slide", (F.col("num") - F.col("_i")).alias("_at"), "_i")
+    return _gap_events(asked, gaps).select("_row.*", (F.col("_row._k") + F.coalesce("_seen", F.lit(0))).alias("num"))
+
+
+def _free_numbers_in_bands(asked: DataFrame, used: DataFrame) -> DataFrame:
     below = running_number(used, ["slide"], [], "num", "_i").select("slide", (F.col("num") - F.col("_i")).alias("_at"), "_i")
     gaps = below.groupBy("slide", "_at").agg(F.max("_i").alias("_i"))
     band = F.floor(F.col("_at") / 4096).alias("_band")
@@ -408,12 +430,7 @@ def free_numbers(asked: DataFrame, used: DataFrame) -> DataFrame:
     earlier = W.partitionBy("slide").orderBy("_band", F.col("_i").isNotNull()).rowsBetween(W.unboundedPreceding, -1)
     both = bands.select("slide", "_band", F.lit(None).cast("bigint").alias("_i")).unionByName(carried)
     start = both.select("slide", "_band", F.col("_i").alias("_own"), F.max("_i").over(earlier).alias("_start")).where("_own is null").drop("_own")
-    rows = asked.withColumn("_at", F.col("_k")).withColumn("_band", F.floor(F.col("_k") / 4096)).withColumn("_i", F.lit(None).cast("bigint"))
-    events = rows.select("slide", "_at", "_band", "_i", F.struct(*asked.columns).alias("_row")).unionByName(marks.select("slide", "_at", "_band", "_i"), allowMissingColumns=True)
-    # at one place the question comes before the gap: only gaps with fewer than k free numbers below count
-    upto = W.partitionBy("slide", "_band").orderBy("_at", F.col("_i").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = events.withColumn("_seen", F.max("_i").over(upto)).where("_row is not null")
-    out = seen.join(start, ["slide", "_band"], "left")
+    out = _gap_events(asked, marks, "_band").join(start, ["slide", "_band"], "left")
     return out.select("_row.*", (F.col("_row._k") + F.coalesce("_seen", "_start", F.lit(0))).alias("num"))
 
 

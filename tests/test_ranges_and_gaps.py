@@ -59,3 +59,18 @@ def test_publishing_replaces_its_own_partitions(spark, tmp_path):
     df.write.parquet(f"{path}-plain")
     with pytest.raises(ValueError, match="no schema version"):
         sinks.read_published(spark, f"{path}-plain")
+
+
+def test_free_numbers_of_crowded_and_other_slides(spark, monkeypatch):
+    """Bands of numbers are for crowded slides alone; both ways give the same."""
+    used = {1: [*range(1, 9000, 3)], 2: [1, 2, 5], 3: [7], 4: []}
+    asked = [(s, k) for s, n in ((1, 7000), (2, 4), (3, 8), (4, 2)) for k in range(1, n + 1)]
+    want = {(s, k): n for s, own in used.items() for k, n in enumerate((n for n in range(1, 20_000) if n not in set(own)), 1) if k <= {1: 7000, 2: 4, 3: 8, 4: 2}[s]}
+    left = spark.createDataFrame(asked, "slide bigint, _k bigint")
+    right = spark.createDataFrame([(s, n) for s, own in used.items() for n in own], "slide bigint, num bigint")
+    banded, bands = [], regions._free_numbers_in_bands
+    monkeypatch.setattr(regions, "_free_numbers_in_bands", lambda *sides: banded.append(1) or bands(*sides))
+    for hot, times in ((None, 0), (F.col("slide") == 1, 1), (F.col("slide") > 0, 2)):
+        monkeypatch.setattr(regions, "crowded", lambda *_, hot=hot: hot)
+        assert {(r["slide"], r["_k"]): r["num"] for r in regions.free_numbers(left, right).collect()} == want
+        assert len(banded) == times
