@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.columns import blank, lookup, round_to
+from ..functions.columns import blank, lookup, round_to, whole_number
 from ..functions.ranking import crowded, hot_lookup, running_number, salted_lookup
 
 c = F.col
@@ -341,24 +341,33 @@ def check_numeric_attrs(parts: DataFrame) -> DataFrame:
     """
     keys = ["slide", "part"]
 
-    def named(text: Column, names: str) -> Column:
-        pattern = F.lit(rf"""\s({names})\s*=\s*(?:"([^"]*)"|'([^']*)')""")
-        pick = [F.regexp_extract_all(text, pattern, i) for i in (1, 2, 3)]
-        return F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(pick, "abc", strict=True)]), lambda z: F.struct(z["a"].alias("attr"), F.concat(F.coalesce(z["b"], F.lit("")), F.coalesce(z["c"], F.lit(""))).alias("raw")))
-
-    attrs = parts.select(*keys, F.explode(named(c("text"), "x|y|cx|cy|w|h")).alias("a")).select(*keys, "a.*")
-    ungrouped = F.regexp_replace("text", r"(?s)<((?:[\w.-]+:)?grpSpPr)(?:\s[^<>]*)?(?<!/)>.*?</\1\s*>", "")
-    extents = parts.select(*keys, F.explode(F.regexp_extract_all(ungrouped, F.lit(r"<(?:[\w.-]+:)?ext(?=[\s/>])[^<>]*>"), 0)).alias("tag"))
-    extents = extents.select(*keys, F.explode(named(c("tag"), "cx|cy")).alias("a")).select(*keys, "a.*")
-    value = c("raw").try_cast("bigint")
+    def named(rows: DataFrame, text: str, names: str) -> DataFrame:
+        """One row per attribute: matches are cut out whole and taken apart as plain strings."""
+        found = F.regexp_extract_all(text, F.lit(rf"""\s(?:{names})\s*=\s*(?:"[^"]*"|'[^']*')"""), 0)
+        each = rows.select(*keys, F.explode(found).alias("_m"))
+        name, after = F.substring_index("_m", "=", 1), F.expr("substring(_m, instr(_m, '=') + 1)")
+        quoted = F.btrim(after, F.lit(blanks))
+        raw = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+        # a list of one is a fence: without it every rule would take the match apart again
+        return each.select(*keys, F.btrim(name, F.lit(blanks)).alias("attr"), F.explode(F.array(raw)).alias("raw")).select(*keys, "attr", "raw", F.explode(F.array(whole_number(c("raw")))).alias("value"))
+
+    blanks = " \t\n\x0b\f\r"  # what \s stands for
+    attrs = named(parts, "text", "x|y|cx|cy|w|h")
+    ungrouped = F.when(F.contains("text", F.lit("grpSpPr")), F.regexp_replace("text", r"(?s)<((?:[\w.-]+:)?grpSpPr)(?:\s[^<>]*)?(?<!/)>.*?</\1\s*>", "")).otherwise(c("text"))
+    extents = parts.select(*keys, F.explode(F.regexp_extract_all(ungrouped, F.lit(r"<(?:[\w.-]+:)?ext(?=[\s/>])[^<>]*>"), 0)).alias("_tag"))
+    extents = named(extents, "_tag", "cx|cy")
+    value = c("value")
+    wordy = value.isNull()  # a whole number holds no word
 
     def rules(rows: DataFrame, found: list[tuple[Column, str, str]]) -> DataFrame:
         each = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(level).alias("level"))) for cond, name, level in found]
-        return rows.select(*keys, "attr", "raw", F.explode(F.array_compact(F.array(*each))).alias("r")).select(*keys, "attr", "raw", "r.*")
+        # most rows break no rule, so they are left out before any list is made
+        broken = rows.where(reduce(Column.__or__, [F.coalesce(cond, F.lit(False)) for cond, _, _ in found]))
+        return broken.select(*keys, "attr", "raw", F.explode(F.array_compact(F.array(*each))).alias("r")).select(*keys, "attr", "raw", "r.*")
 
     everywhere = rules(attrs, [
-        (c("raw").rlike(vocab.NOT_A_NUMBER), "non_finite", "error"),
-        (c("raw").rlike(r"(?i)\bnull\b"), "null_in_number", "error"),
+        (wordy & c("raw").rlike(vocab.NOT_A_NUMBER), "non_finite", "error"),
+        (wordy & c("raw").rlike(r"(?i)\bnull\b"), "null_in_number", "error"),
         (c("attr").isin("cx", "cy", "w", "h") & (value < 0), "negative_size", "warning"),
         (F.abs(value) > vocab.EMU_EXTREME, "extremely_large", "warning")])
     sizes = rules(extents, [(value.isNull(), "not_a_whole_number", "error"), (value <= 0, "size_not_positive", "error")])

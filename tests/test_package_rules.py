@@ -75,3 +75,20 @@ def test_structure(spark):
     assert pr.package_structure(df, defaults).where("pkg = 'full'").count() == 0
     assert rows == [("duplicate_entry", "docs/x.xml"), ("missing_default", "rels"), ("missing_media_default", "svg"), ("missing_required_part", "[Content_Types].xml"), ("missing_required_part", "ppt/_rels/presentation.xml.rels"),
                     ("zero_byte_media", "ppt/media/x.svg"), ("zero_byte_required_part", "ppt/presentation.xml"), ("zero_byte_slide", "ppt/slides/slide2.xml"), ("zero_byte_xml", "docs/x.xml")]
+
+
+def test_odd_numbers(spark):
+    """Blanks and signs as a cast takes them, words, numbers beyond BIGINT, quotes of both kinds."""
+    texts = ["<a:off\tx\n=\t\"+7\" y=' -3000000000 '/>", '<a:ext cx="" cy=" 12 "/>', '<a:ext cx="99999999999999999999" cy="1e3"/>', "<a w='\"null\"' h='-\t5'/>", '<a:ext cy="-4"/>\x01', None]
+    rows = ev.check_numeric_attrs(spark.createDataFrame(list(enumerate(texts)), "slide int, text string").selectExpr("slide", "'s' part", "text")).collect()
+    assert sorted((r["slide"], r["attr"], r["raw"], r["rule"]) for r in rows) == [
+        (0, "y", " -3000000000 ", "extremely_large"), (1, "cx", "", "not_a_whole_number"), (2, "cx", "9" * 20, "not_a_whole_number"), (2, "cy", "1e3", "not_a_whole_number"), (3, "w", '"null"', "null_in_number"),
+        (4, "", "", "control_character"), (4, "cy", "-4", "negative_size"), (4, "cy", "-4", "size_not_positive")]
+
+
+def test_matches_are_taken_apart_once(spark):
+    """Rules read columns: no plan step holds the text functions of an attribute more than once, and no cast sees a text that it refuses."""
+    plan = ev.check_numeric_attrs(spark.createDataFrame([(1, "s", "x")], "slide int, part string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    steps = plan.split("\n")
+    assert max(s.count("try_cast(") for s in steps) == 1
+    assert all("RLIKE" in s for s in steps if "try_cast(" in s)
