@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.colors import darken, lighten, mix, pick, solid_over
-from ..functions.columns import blank, contains_any
+from ..functions.columns import blank, contains_any, number
 
 c = F.col
 TOKEN = r"^\s*([0-9]+)\s*(?:-\s*([0-9]+)\s*)?$"
@@ -23,7 +23,7 @@ def token_range(p: Column) -> Column:
     first, last = F.regexp_extract(p, TOKEN, 1), F.regexp_extract(p, TOKEN, 2)
     low = first.try_cast("bigint")
     high = F.when(last == "", low).otherwise(last.try_cast("bigint"))
-    return F.when((low > 0) & (high >= low), F.struct(low.alias("low"), high.alias("high")))
+    return F.when(p.rlike(TOKEN) & (low > 0) & (high >= low), F.struct(low.alias("low"), high.alias("high")))
 
 
 def range_tokens(text: Column) -> Column:
@@ -58,7 +58,10 @@ def written_out(pieces: DataFrame, keep: list[str]) -> DataFrame:
     wide = pieces.select(*keep, "_p", F.explode(F.sequence(c("_p.low"), c("_p.high"), F.lit(WIDE).cast("bigint"))).alias("_w"))
     blocks = wide.select(*keep, "_p", F.explode(F.sequence(c("_w"), F.least(c("_w") + WIDE - 1, c("_p.high")), F.lit(BLOCK).cast("bigint"))).alias("_b"), "_w")
     # an exchange deals one wide range out to all tasks; without it a task would hold all ids of a row at once
-    blocks = blocks.repartition("_b", "_w")
+    # (shorter ones mostly start at the same few ids, which alone would gather all rows in a few tasks, so their rows count too)
+    named = [f.name for f in blocks.schema if f.name in keep and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    short = c("_p.high") - c("_p.low") < WIDE
+    blocks = blocks.repartition(*[F.when(short, c(n)) for n in named], "_b", "_w")
     ids = blocks.select(*keep, "_p", F.explode(F.sequence(c("_b"), F.least(c("_b") + BLOCK - 1, c("_w") + WIDE - 1, c("_p.high")))).alias("slide"))
     return ids.select(*keep, (c("_p.before") + c("slide") - c("_p.low")).alias("place"), "slide")
 
@@ -247,22 +250,23 @@ TRACE_KEYS = ["selectedslides", "source_slides", "sourceslides", "requestedslide
 
 
 def _positive(v: Column) -> Column:
-    n = v.try_cast("double")
+    n = number(v)
     return F.when(n >= 1, F.floor(n))
 
 
 def trace_value(raw: Column) -> Column:
     """``ranges, single`` of one trace value: range text, number, list of ids or list of objects; null when it is bad. Repeats of single ids stay."""
-    items = F.from_json(raw, "array<string>")
+    # neither reading is tried on the other's texts: one that fails costs far more than one that works
+    is_list = F.trim(raw).startswith("[")
+    items = F.when(is_list, F.from_json(raw, "array<string>"))
     objects = F.exists(items, lambda i: i.startswith("{"))
     from_objects = F.array_compact(F.transform(F.filter(items, lambda i: i.startswith("{")), lambda i: F.coalesce(
         *[_positive(F.get_json_object(i, "$." + k)) for k in TRACE_IDS])))
     plain = F.transform(items, _positive)
     from_plain = F.when(F.forall(plain, lambda v: v.isNotNull()), plain)
     listed = F.transform(F.when(objects, from_objects).otherwise(from_plain), lambda v: F.struct(v.alias("low"), v.alias("high")))
-    ranges = F.transform(range_tokens(raw), token_range)
+    ranges = F.transform(range_tokens(F.when(~is_list, raw)), token_range)
     sound = F.when(F.forall(ranges, lambda r: r.isNotNull()), ranges)
-    is_list = F.trim(raw).startswith("[")
     found = F.when(is_list, listed).otherwise(sound)
     return F.struct(found.alias("ranges"), is_list.alias("single"))
 
@@ -322,7 +326,8 @@ def trace_slides(traces: DataFrame, column: str = "trace") -> DataFrame:
     parsed = traces.select("id", column, F.try_parse_json(c(column)).alias("_v"))  # one parse for all paths
     raws = F.array_compact(F.array(*[F.try_variant_get("_v", "$." + p, "string") for p in TRACE_PATHS]))
     direct = F.get(F.filter(F.transform(raws, lambda r: trace_value(r)), lambda v: F.coalesce(F.size(v["ranges"]), F.lit(0)) > 0), 0)
-    rows = parsed.select("id", column, direct.alias("found"))
+    # a list of one is a fence: without it every use below would read the document again
+    rows = parsed.select("id", column, F.explode(F.array(direct)).alias("found"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -74,3 +74,26 @@ def test_free_numbers_of_crowded_and_other_slides(spark, monkeypatch):
         monkeypatch.setattr(regions, "crowded", lambda *_, hot=hot: hot)
         assert {(r["slide"], r["_k"]): r["num"] for r in regions.free_numbers(left, right).collect()} == want
         assert len(banded) == times
+
+
+def test_short_ranges_are_dealt_to_all_tasks(spark):
+    """Rows whose ranges start alike do not meet in one task."""
+    pieces = spark.range(2000).selectExpr("id", "named_struct('low', 1L, 'high', 2L, 'before', 0L) _p")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = texts.written_out(pieces, ["id"]).withColumn("task", F.spark_partition_id())
+        tasks = out.groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 4000
+
+
+def test_odd_trace_values(spark):
+    cases = {
+        '{"slides":["x","2"]}': [], '{"slides":["3.7"," 5 ",".5e1"]}': [3, 5, 5], '{"slides":[{"id":"a"},{"slide":3.5},7]}': [3], '{"slides":" [1,2"}': [],
+        '{"slides":"[1,2]"}': [1, 2], '{"slides":null,"render":{"slides":"8-9"}}': [8, 9], '{"selectedSlides":"","slides":"4"}': [4], '{"slides":"+3"}': [], '{"slides":"\\t3 - 5"}': [3, 4, 5],
+    }
+    found = {}
+    for r in sorted(texts.trace_slides(spark.createDataFrame(list(enumerate(cases)), "id bigint, trace string")).collect(), key=lambda r: (r["id"], r["place"])):
+        found.setdefault(r["id"], []).append(r["slide"])
+    assert {i: found.get(i, []) for i in range(len(cases))} == dict(enumerate(cases.values()))
