@@ -97,3 +97,20 @@ def test_odd_trace_values(spark):
     for r in sorted(texts.trace_slides(spark.createDataFrame(list(enumerate(cases)), "id bigint, trace string")).collect(), key=lambda r: (r["id"], r["place"])):
         found.setdefault(r["id"], []).append(r["slide"])
     assert {i: found.get(i, []) for i in range(len(cases))} == dict(enumerate(cases.values()))
+
+
+def test_rules_are_tested_once(spark):
+    rows = spark.createDataFrame([(1, "needle"), (2, "x"), (3, None)], "slide bigint, x string")
+    out = gates.apply_rules(rows, "g", [(F.col("x").rlike("need+le"), "one", "error"), (F.col("x") != "x", "two", "warning")], "slide")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("need+le") == 1
+    assert sorted((r["slide"], r["rule"], r["level"]) for r in out.collect()) == [(1, "one", "error"), (1, "two", "warning")]
+
+
+def test_absent_artifacts_are_read_off_the_flags(spark):
+    kinds = gates.vocab.RECONSTRUCTION_ARTIFACTS
+    slides = spark.createDataFrame([(1, "reconstruction"), (2, "reconstruction"), (3, "canary"), (4, None)], "slide bigint, quality string")
+    present = spark.createDataFrame([(1, k) for k in (*kinds[1:], kinds[1], "other", None)], "slide bigint, kind string")
+    out = gates.gate_quality_mode(slides, present, [])
+    got = sorted((r["slide"], r["id"], r["rule"]) for r in out.collect())
+    assert got == sorted([(1, kinds[0], "missing_artifact"), *((2, k, "missing_artifact") for k in kinds), (3, "3", "no_artifacts"), (4, "4", "invalid_quality")])
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
